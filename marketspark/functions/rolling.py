@@ -101,10 +101,11 @@ def kurt(s: Series, c, n: int) -> Column:
 
 
 def corr(s: Series, x, y, n: int) -> Column:
-    w = s.w(n)
-    both = F.when(col(x).isNotNull() & col(y).isNotNull(), F.lit(1))
-    flat = (F.min(col(x)).over(w) == F.max(col(x)).over(w)) | (F.min(col(y)).over(w) == F.max(col(y)).over(w))
-    return F.when((F.count(both).over(w) == n) & ~flat, F.corr(col(x), col(y)).over(w))
+    """Pearson correlation; null when a side is constant or the window is not full."""
+    w, x, y = s.w(n), col(x), col(y)
+    both = F.when(x.isNotNull() & y.isNotNull(), F.lit(1))
+    r = F.try_divide(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w))
+    return F.when(F.count(both).over(w) == n, r)
 
 
 def zscore(s: Series, c, n: int) -> Column:
