@@ -8,16 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marketspark.functions import rolling as R
-from marketspark.functions.rolling import clip, div, flag
+from marketspark.functions.rolling import div, flag
 from marketspark.operators.series import Series, span, wilder_alpha
 
-C, H, L, O, V = (F.col(c) for c in ("close", "high", "low", "open", "volume"))
-
 
 def tr_expr(s: Series) -> Column:
     """True range; the first row has only its own high-low."""
     pc = s.lag("close")
-    return F.greatest(H - L, F.abs(H - pc), F.abs(L - pc))
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))
 
 
 def returns(s: Series) -> Series:
@@ -30,18 +28,18 @@ def atr(s: Series, *periods: int) -> Series:
     periods = periods or (14,)
     s = s if "trange" in s.df.columns else s.add(trange=tr_expr(s))
     s = s.add(**{f"atr{n}": R.mean(s, "trange", n) for n in periods})
-    return s.add(**{f"atr{n}_pct": div(f"atr{n}", C) for n in periods})
+    return s.add(**{f"atr{n}_pct": div(f"atr{n}", F.col("close")) for n in periods})
 
 
 def ema(s: Series, *periods: int) -> Series:
     s = s.emas(**{f"ema{n}": ("close", span(n)) for n in periods})
-    return s.add(**{f"ema{n}_dist": div(C - F.col(f"ema{n}"), C) for n in periods})
+    return s.add(**{f"ema{n}_dist": div(F.col("close") - F.col(f"ema{n}"), F.col("close")) for n in periods})
 
 
 def sma(s: Series, *periods: int) -> Series:
     s = s.add(**{f"sma{n}": R.mean(s, "close", n) for n in periods})
-    return s.add(**{f"sma{n}_dist": div(C - F.col(f"sma{n}"), C) for n in periods},
-                 **{f"close_vs_sma{n}": div(C - F.col(f"sma{n}"), f"sma{n}") for n in periods})
+    return s.add(**{f"sma{n}_dist": div(F.col("close") - F.col(f"sma{n}"), F.col("close")) for n in periods},
+                 **{f"close_vs_sma{n}": div(F.col("close") - F.col(f"sma{n}"), f"sma{n}") for n in periods})
 
 
 def rsi_expr(gain: Column, loss: Column) -> Column:
@@ -71,7 +69,7 @@ def bollinger(s: Series, n: int = 20, k: float = 2.0, rank: int | None = 100) ->
     s = s.add(bb_middle=R.mean(s, "close", n), _sd=R.std(s, "close", n))
     s = s.add(bb_upper=F.col("bb_middle") + F.col("_sd") * k, bb_lower=F.col("bb_middle") - F.col("_sd") * k)
     s = s.add(bb_width=div(F.col("bb_upper") - F.col("bb_lower"), "bb_middle"),
-              bb_pct=div(C - F.col("bb_lower"), F.col("bb_upper") - F.col("bb_lower")))
+              bb_pct=div(F.col("close") - F.col("bb_lower"), F.col("bb_upper") - F.col("bb_lower")))
     return s.add(bb_width_pct=R.pct_rank(s, "bb_width", rank)) if rank else s
 
 
@@ -80,20 +78,20 @@ def donchian(s: Series, n: int = 20, lagged: bool = True) -> Series:
     end = -1 if lagged else 0
     s = s.add(donchian_high=R.high(s, "high", n, end), donchian_low=R.low(s, "low", n, end))
     hi, lo = F.col("donchian_high"), F.col("donchian_low")
-    return s.add(donchian_mid=(hi + lo) / 2, donchian_width=div(hi - lo, C))
+    return s.add(donchian_mid=(hi + lo) / 2, donchian_width=div(hi - lo, F.col("close")))
 
 
 def typical() -> Column:
-    return (H + L + C) / 3
+    return (F.col("high") + F.col("low") + F.col("close")) / 3
 
 
 def vwap(s: Series, n: int = 100) -> Series:
-    s = s.add(vwap=div(R.total(s, typical() * V, n), R.total(s, "volume", n)))
-    return s.add(vwap_dist=div(C - F.col("vwap"), C))
+    s = s.add(vwap=div(R.total(s, typical() * F.col("volume"), n), R.total(s, "volume", n)))
+    return s.add(vwap_dist=div(F.col("close") - F.col("vwap"), F.col("close")))
 
 
 def vwap_cumulative(s: Series) -> Series:
-    s = s.running_sums(_pv=typical() * V, _vv=V)
+    s = s.running_sums(_pv=typical() * F.col("volume"), _vv=F.col("volume"))
     return s.add(vwap_cum=div("_pv", "_vv"))
 
 
@@ -135,21 +133,21 @@ def volatility(s: Series, rank: int = 100) -> Series:
 
 def parkinson(s: Series, n: int = 20) -> Series:
     """Root of the mean of squared log ranges, and the mean of their roots."""
-    lr = F.ln(div(H, L))
+    lr = F.ln(div(F.col("high"), F.col("low")))
     k = 1 / (4 * math.log(2))
     return s.add(parkinson_vol=F.sqrt(R.mean(s, lr * lr, n) * k), parkinson_mean=R.mean(s, F.sqrt(lr * lr * k), n))
 
 
 def volume_features(s: Series) -> Series:
     s = s.add(**{f"vol_ma{n}": R.mean(s, "volume", n) for n in (10, 20, 50)})
-    s = s.add(**{f"vol_ratio{n}": div(V, f"vol_ma{n}") for n in (10, 20, 50)})
+    s = s.add(**{f"vol_ratio{n}": div(F.col("volume"), f"vol_ma{n}") for n in (10, 20, 50)})
     return s.add(vol_spike=flag(F.col("vol_ratio20") > 1.5), vol_surge=flag(F.col("vol_ratio20") > 2.0),
                  vol_dry=flag(F.col("vol_ratio20") < 0.5))
 
 
 def obv(s: Series) -> Series:
     """Signed running volume; the first row has no change and stays null."""
-    s = s.add(_sv=F.signum(R.diff(s, "close")) * V).running_sums(_obv="_sv")
+    s = s.add(_sv=F.signum(R.diff(s, "close")) * F.col("volume")).running_sums(_obv="_sv")
     s = s.add(obv=F.when(F.col("_sv").isNotNull(), F.col("_obv")))
     return s.emas(adjust=True, obv_ema=("obv", span(20), 1))
 
@@ -167,19 +165,19 @@ def keltner(s: Series, n: int = 20, k: float = 2.0) -> Series:
 def pullback(s: Series, n: int = 50) -> Series:
     s = s if "atr14" in s.df.columns else atr(s, 14)
     s = s.add(_rh=R.high(s, "close", n), _rl=R.low(s, "low", n), _since=R.bars_since_high(s, "close", n))
-    return s.add(pullback_depth=div(F.col("_rh") - C, "atr14"), pullback_time=F.coalesce(F.col("_since"), F.lit(0)),
-                 dist_nearest_sr0=div(F.least(F.abs(F.col("_rh") - C), F.abs(C - F.col("_rl"))), "atr14"))
+    return s.add(pullback_depth=div(F.col("_rh") - F.col("close"), "atr14"), pullback_time=F.coalesce(F.col("_since"), F.lit(0)),
+                 dist_nearest_sr0=div(F.least(F.abs(F.col("_rh") - F.col("close")), F.abs(F.col("close") - F.col("_rl"))), "atr14"))
 
 
 def wicks() -> dict[str, Column]:
     """Shape of one bar; ratios of an empty range are 0."""
-    rng = H - L
-    up, lo = H - F.greatest(O, C), F.least(O, C) - L
+    rng = F.col("high") - F.col("low")
+    up, lo = F.col("high") - F.greatest(F.col("open"), F.col("close")), F.least(F.col("open"), F.col("close")) - F.col("low")
     z = F.lit(0.0)
     ur, lr = F.coalesce(div(up, rng), z), F.coalesce(div(lo, rng), z)
     return {"upper_wick_ratio": ur, "lower_wick_ratio": lr, "wick_pressure": ur - lr,
-            "body_ratio": F.coalesce(div(F.abs(C - O), rng), z),
-            "close_position": F.coalesce(div(C - L, rng), F.lit(0.5)), "bar_range": div(rng, C)}
+            "body_ratio": F.coalesce(div(F.abs(F.col("close") - F.col("open")), rng), z),
+            "close_position": F.coalesce(div(F.col("close") - F.col("low"), rng), F.lit(0.5)), "bar_range": div(rng, F.col("close"))}
 
 
 def ema_slope(s: Series, n: int, k: int) -> dict[str, Column]:
@@ -189,9 +187,9 @@ def ema_slope(s: Series, n: int, k: int) -> dict[str, Column]:
 
 
 def gaps(s: Series) -> Series:
-    s = s.add(gap=O - s.lag("close"), _vm=R.mean(s, "volume", 20))
-    return s.add(gap_pct=div("gap", s.lag("close")), volume_surge=div(V, "_vm"),
-                 volume_anomaly=flag(div(V, "_vm") > 2))
+    s = s.add(gap=F.col("open") - s.lag("close"), _vm=R.mean(s, "volume", 20))
+    return s.add(gap_pct=div("gap", s.lag("close")), volume_surge=div(F.col("volume"), "_vm"),
+                 volume_anomaly=flag(div(F.col("volume"), "_vm") > 2))
 
 
 #: fixed values: retracement levels
@@ -208,11 +206,11 @@ def swing_fib(s: Series, n: int = 20) -> Series:
 
 
 def breakout_strength(atr_col: str = "atr14") -> Column:
-    return div(C - O, atr_col)
+    return div(F.col("close") - F.col("open"), atr_col)
 
 
 def deviation(ma: str, atr_col: str = "atr14") -> Column:
-    return div(C - F.col(ma), atr_col)
+    return div(F.col("close") - F.col(ma), atr_col)
 
 
 def consolidation(s: Series, n: int = 20, k: float = 1.5) -> Column:
@@ -220,7 +218,7 @@ def consolidation(s: Series, n: int = 20, k: float = 1.5) -> Column:
 
 
 def at_level(level: str, tol: float = 0.5) -> Column:
-    return flag(F.abs(C - F.col(level)) < F.col("atr14") * tol)
+    return flag(F.abs(F.col("close") - F.col(level)) < F.col("atr14") * tol)
 
 
 def momentum(s: Series, *ks: int) -> dict[str, Column]:
@@ -234,7 +232,7 @@ def volatility_ratio(s: Series, short: int = 10, long: int = 50) -> Column:
 def momentum_shape(s: Series) -> Series:
     """Acceleration, sign consistency, and counts of higher highs and lower lows."""
     s = s.add(_r=R.pct_change(s, "close", 1), **momentum(s, 5, 10),
-              hh=flag(H > s.lag("high")), ll=flag(L < s.lag("low")))
+              hh=flag(F.col("high") > s.lag("high")), ll=flag(F.col("low") < s.lag("low")))
     return s.add(momentum_accel=R.diff(s, "momentum_5", 5), momentum_consistency=R.mean(s, F.signum("_r"), 10),
                  hh_count=R.count_of(s, "hh", 10), ll_count=R.count_of(s, "ll", 10))
 
@@ -244,5 +242,3 @@ def wilder(s: Series, **specs) -> Series:
     return s.emas(**{k: (v[0], wilder_alpha(v[1]), *v[2:]) for k, v in specs.items()})
 
 
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = clip
