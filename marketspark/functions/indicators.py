@@ -177,7 +177,7 @@ def wicks() -> dict[str, Column]:
     ur, lr = F.coalesce(div(up, rng), z), F.coalesce(div(lo, rng), z)
     return {"upper_wick_ratio": ur, "lower_wick_ratio": lr, "wick_pressure": ur - lr,
             "body_ratio": F.coalesce(div(F.abs(F.col("close") - F.col("open")), rng), z),
-            "close_position": F.coalesce(div(F.col("close") - F.col("low"), rng), F.lit(0.5)), "bar_range": div(rng, F.col("close"))}
+            "close_position": F.coalesce(div(F.col("close") - F.col("low"), rng), z), "bar_range": div(rng, F.col("close"))}
 
 
 def ema_slope(s: Series, n: int, k: int) -> dict[str, Column]:

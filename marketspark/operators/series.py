@@ -130,6 +130,29 @@ class Series:
         df = df.withColumns(out)
         return self._with(df.drop(*(f"_s_{n}" for n in meta), *(f"_p_{n}" for n in meta)))
 
+    def affine(self, name: str, keep: Column, add: Column, first: int, floor: float) -> Series:
+        """Recursion ``y_t = keep_t y_{t-1} + add_t`` from row ``first`` on, with ``keep_t`` in (0, exp(-floor)].
+
+        Each sub-block is an affine map found with running sums; maps of the sub-blocks before it are
+        folded for the value carried in. Rows older than ``DECAY / floor`` no longer count.
+        """
+        size = LEVELS[2]
+        live = F.col("_i") >= first
+        df = self.df.withColumns({"_k": F.when(live, -F.ln(keep)).otherwise(0.0), "_b": F.when(live, add).otherwise(0.0)})
+        inner = (Window.partitionBy(*self._part, *self._sort[:3]).orderBy(*self._sort[3:])
+                 .rowsBetween(Window.unboundedPreceding, 0))
+        df = df.withColumn("_e", F.sum("_k").over(inner))
+        df = df.withColumn("_y", F.exp(-F.col("_e")) * F.sum(F.col("_b") * F.exp("_e")).over(inner))
+        sub = f"_c{size}"
+        ends = df.groupBy(*self._part, sub).agg(F.max("_e").alias("_e"), F.max_by("_y", "_i").alias("_y"))
+        n = math.ceil(DECAY / floor / size) + 1
+        past = Window.partitionBy(*self._part).orderBy(sub).rowsBetween(-n, -1)
+        ends = ends.withColumn("_in", F.aggregate(
+            F.collect_list(F.struct("_e", "_y")).over(past), F.lit(0.0), lambda acc, m: acc * F.exp(-m["_e"]) + m["_y"]))
+        df = df.join(ends.select(*self._part, sub, "_in"), [*self._part, sub])
+        df = df.withColumn(name, F.when(live, F.col("_y") + F.coalesce("_in", F.lit(0.0)) * F.exp(-F.col("_e"))))
+        return self._with(df.drop("_k", "_b", "_e", "_y", "_in"))
+
     def running_sums(self, **cols: str | Column) -> Series:
         """Sums from the start of the series, halo rows included (two-level: block totals first)."""
         tmp = {f"_x_{n}": (F.col(c) if isinstance(c, str) else c) for n, c in cols.items()}

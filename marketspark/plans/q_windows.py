@@ -341,7 +341,7 @@ def ind_15(s):
 WICKS = [{"upper_wick_ratio": "coalesce((high - greatest(open, close)) / nullif(high - low, 0), 0)",
           "lower_wick_ratio": "coalesce((least(open, close) - low) / nullif(high - low, 0), 0)"},
          {"wick_pressure": "upper_wick_ratio - lower_wick_ratio", "body_ratio": "coalesce(abs(close - open) / nullif(high - low, 0), 0)",
-          "close_position": "coalesce((close - low) / nullif(high - low, 0), 0.5)", "bar_range": "(high - low) / close"}]
+          "close_position": "coalesce((close - low) / nullif(high - low, 0), 0)", "bar_range": "(high - low) / close"}]
 
 
 @simple("ind_16_wicks", 0, "upper_wick_ratio lower_wick_ratio wick_pressure body_ratio close_position bar_range", WICKS)
