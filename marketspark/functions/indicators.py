@@ -26,7 +26,7 @@ def returns(s: Series) -> Series:
 def atr(s: Series, *periods: int) -> Series:
     """Simple mean of the true range, and its share of the close."""
     periods = periods or (14,)
-    s = s if "trange" in s.df.columns else s.add(trange=tr_expr(s))
+    s = s if s.has("trange") else s.add(trange=tr_expr(s))
     s = s.add(**{f"atr{n}": R.mean(s, "trange", n) for n in periods})
     return s.add(**{f"atr{n}_pct": div(f"atr{n}", F.col("close")) for n in periods})
 
@@ -50,7 +50,7 @@ def rsi_expr(gain: Column, loss: Column) -> Column:
 def rsi(s: Series, *periods: int) -> Series:
     """Relative strength from simple means of gains and losses."""
     periods = periods or (14,)
-    if "_gain" not in s.df.columns:
+    if not s.has("_gain"):
         d = R.diff(s, "close")
         s = s.add(_gain=F.when(d > 0, d).otherwise(0.0), _loss=F.when(d < 0, -d).otherwise(0.0))
     s = s.add(**{f"rsi{n}": rsi_expr(R.mean(s, "_gain", n), R.mean(s, "_loss", n)) for n in periods})
@@ -126,7 +126,7 @@ def adx_ewm(s: Series, n: int = 14) -> Series:
 
 
 def volatility(s: Series, rank: int = 100) -> Series:
-    s = s if "return_1" in s.df.columns else s.add(return_1=R.pct_change(s, "close", 1))
+    s = s if s.has("return_1") else s.add(return_1=R.pct_change(s, "close", 1))
     s = s.add(**{f"vol{n}": R.std(s, "return_1", n) for n in (10, 20, 50)})
     return s.add(vol_percentile=R.pct_rank(s, "vol20", rank))
 
@@ -153,8 +153,8 @@ def obv(s: Series) -> Series:
 
 
 def keltner(s: Series, n: int = 20, k: float = 2.0) -> Series:
-    s = s if "ema20" in s.df.columns else s.emas(**{f"ema{n}": ("close", span(n))})
-    s = s if "bb_width" in s.df.columns else bollinger(s, n, rank=None)
+    s = s if s.has("ema20") else s.emas(**{f"ema{n}": ("close", span(n))})
+    s = s if s.has("bb_width") else bollinger(s, n, rank=None)
     s = atr(s, 14, 20)
     band, mid = F.coalesce("atr20", "atr14"), F.col(f"ema{n}")
     s = s.add(kelt_up=mid + band * k, kelt_lo=mid - band * k)
@@ -163,7 +163,7 @@ def keltner(s: Series, n: int = 20, k: float = 2.0) -> Series:
 
 
 def pullback(s: Series, n: int = 50) -> Series:
-    s = s if "atr14" in s.df.columns else atr(s, 14)
+    s = s if s.has("atr14") else atr(s, 14)
     s = s.add(_rh=R.high(s, "close", n), _rl=R.low(s, "low", n), _since=R.bars_since_high(s, "close", n))
     return s.add(pullback_depth=div(F.col("_rh") - F.col("close"), "atr14"), pullback_time=F.coalesce(F.col("_since"), F.lit(0)),
                  dist_nearest_sr0=div(F.least(F.abs(F.col("_rh") - F.col("close")), F.abs(F.col("close") - F.col("_rl"))), "atr14"))

@@ -98,7 +98,7 @@ def aroon(s: Series, n: int = 25) -> dict[str, Column]:
 def oscillators(s: Series) -> Series:
     """STOCH 5/3/3, STOCHF 5/3, STOCHRSI 14/5/3, WILLR 14, CCI 14 (mean absolute deviation * .015), MFI 14, ULTOSC 7/14/28,
     BOP, MOM, ROC, ROCP, ROCR, ROCR100 of 10, AROON 25."""
-    s = s if "rsi_14" in s.df.columns else wilder_family(s)
+    s = s if s.has("rsi_14") else wilder_family(s)
     h, lw, c, pc = F.col("high"), F.col("low"), F.col("close"), s.lag("close")
     tp = ind.typical()
     s = s.add(_tp=tp, _flow=tp * F.col("volume"), _bp=c - F.least(lw, pc), _rng=F.greatest(h, pc) - F.least(lw, pc),

@@ -23,6 +23,7 @@ def atr_or(share: float = 0.02) -> Column:
 
 def base(s: Series) -> Series:
     """Returns, ATR, averages, RSI, MACD, bands, channels, VWAP, ADX, volatility and volume columns."""
+    s = ind.obv(s)  # first: its two-level sum reads the series twice, so the less is in it the better
     s = ind.returns(s)
     s = ind.atr(s, 14)
     s = ind.ema(s, 10, 20, 50, 100, 200)
@@ -35,12 +36,12 @@ def base(s: Series) -> Series:
     s = ind.adx(s)
     s = ind.volatility(s)
     s = ind.parkinson(s)
-    s = ind.volume_features(s)
-    return ind.obv(s)
+    return ind.volume_features(s)
 
 
 def live(s: Series) -> Series:
     """Essential live columns; library indicators are Wilder and exponential ones."""
+    s = ta.volume_lines(s)  # first: it reads the series twice
     s = ind.keltner(s)
     s = s.emas(ema50=("close", span(50)), ema200=("close", span(200)))
     s = s.add(returns=R.pct_change(s, "close", 1), log_returns=R.log_return(s, "close"), **{f"sma{n}": R.mean(s, "close", n) for n in (10, 20, 50)})
@@ -51,7 +52,6 @@ def live(s: Series) -> Series:
     s = ind.pullback(s)
     s = ta.wilder_family(s)
     s = ta.oscillators(s)
-    s = ta.volume_lines(s)
     s = ind.macd(s)
     s = s.add(**ind.wicks())
     ts = F.col("bar_ts")

@@ -70,7 +70,7 @@ def triple_barrier(s: Series, horizon: int, tp: float, sl: float) -> DataFrame:
         expected_return=F.when(up, gain("_up")).when(down, gain("_dn")).when(known, gain("_end")).otherwise(0.0),
         expected_duration=F.when(up, F.col("_tp")).when(down, F.col("_sl")).when(known, horizon).otherwise(0).cast("int"),
         tp_hit=flag(up), sl_hit=flag(down))
-    return s._with(s.df.where(s.from_end >= horizon)).rows()
+    return s.where(s.from_end >= horizon).rows()
 
 
 def triple_barrier_partial(s: Series, horizon: int, tp: float, sl: float, share: float = 0.9) -> DataFrame:
@@ -91,7 +91,7 @@ def triple_barrier_partial(s: Series, horizon: int, tp: float, sl: float, share:
         expected_duration=F.when(up, F.col("_tp")).when(touched, F.col("_sl")).otherwise(n).cast("int"),
         hit_type=F.when(up, "tp").when(touched, "sl").when(part_up, "partial_up").when(part_dn, "partial_down")
         .otherwise("flat"))
-    return s._with(s.df.where(s.from_end >= n)).rows()
+    return s.where(s.from_end >= n).rows()
 
 
 def _two_sided(s: Series, horizon: int, tp: float, sl: float, share: float = 1.0, atr: Column | None = None) -> Series:
@@ -116,7 +116,7 @@ def adaptive_two_sided(s: Series, horizon: int, tp: float, sl: float, flat: floa
         expected_return=F.when(r1 | r2, a * tp / c).when(r3 | r4, -a * sl / c).otherwise((F.col("_end") - c) / c),
         expected_duration=F.when(r1, F.col("_tl")).when(r2, F.col("_ts")).when(r3, F.col("_sl")).when(r4, F.col("_ss"))
         .otherwise(horizon).cast("int"))
-    return s._with(s.df.where(s.from_end >= horizon)).rows()
+    return s.where(s.from_end >= horizon).rows()
 
 
 def tp_first_only(s: Series, horizon: int, tp: float, sl: float, share: float = 1.0, gate: float | None = None,
@@ -134,7 +134,7 @@ def tp_first_only(s: Series, horizon: int, tp: float, sl: float, share: float =
         down = F.coalesce(div(F.col("close") - F.col("_mn"), "_a") >= gate, F.lit(False))
         long, short = up & long, ~up & down & short
     s = s.add(target=F.when(long, 1).when(short, 2).otherwise(0))
-    return s._with(s.df.where(s.from_end >= horizon)).rows()
+    return s.where(s.from_end >= horizon).rows()
 
 
 def quantile_return(s: Series, ahead: int = 10, q: float = 0.6) -> DataFrame:
@@ -168,7 +168,7 @@ def label_distribution(labels: DataFrame, *keys: str) -> DataFrame:
 def forward_outcome_by_label(s: Series, label: str = "target", ahead: int = 10) -> DataFrame:
     """Mean forward return and share of right calls per label; flat is right within 0.2 %."""
     s = s.add(_fr=div(s.lead("close", ahead), "close") - 1)
-    df = s._with(s.df.where(F.col("_fr").isNotNull())).select(label, F.col("_fr").alias("fr"))
+    df = s.where(F.col("_fr").isNotNull()).select(label, F.col("_fr").alias("fr"))
     right = F.when(F.col(label) == 1, F.col("fr") > 0).when(F.col(label) == 2, F.col("fr") < 0).otherwise(F.abs("fr") < 0.002)
     return df.groupBy(label).agg(F.count("fr").alias("n"), F.avg(F.col("fr") * 100).alias("avg_return_pct"),
                                  (F.avg(right.cast("double")) * 100).alias("hit_rate_pct"))

@@ -33,13 +33,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, qs:
     br = br.select(*keys, F.inline(F.array(*items)))
     counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     tagged = counts.join(br, keys) if keys else counts.crossJoin(F.broadcast(br))
-    tagged = tagged.where(F.col("_v") <= F.col("_hi")).withColumn(
-        "_k", F.when(F.col("_v") < F.col("_lo"), F.lit(None)).otherwise(F.col("_v")))
-    # values below the bracket fold to one row per (key, quantile), values inside stay apart
-    g = (tagged.groupBy(*keys, "_q", "_k").agg(F.sum("_c").alias("_c"), F.first("_r").alias("_r")))
-    w = Window.partitionBy(*keys, "_q").orderBy(F.col("_k").asc_nulls_first())
-    g = g.withColumn("_cum", F.sum("_c").over(w))
-    at = lambda rank: F.min(F.when(F.col("_k").isNotNull() & (F.col("_cum") > rank), F.col("_k")))
+    # values below and above the bracket fold to one row each, keeping the value next to the bracket
+    zone = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
+    tagged = tagged.withColumns({"_z": zone, "_k": F.when(zone == 0, F.col("_v"))})
+    g = tagged.groupBy(*keys, "_q", "_z", "_k").agg(F.sum("_c").alias("_c"), F.first("_r").alias("_r"), F.max("_v").alias("_top"), F.min("_v").alias("_low"))
+    g = g.withColumn("_k", F.when(F.col("_z") == -1, F.col("_top")).when(F.col("_z") == 1, F.col("_low")).otherwise(F.col("_k")))
+    g = g.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*keys, "_q").orderBy("_k")))
+    at = lambda rank: F.min(F.when(F.col("_cum") > rank, F.col("_k")))
     r = F.first("_r")
     res = g.groupBy(*keys, "_q").agg(at(F.floor("_r")).alias("_lo"), at(F.ceil("_r")).alias("_hi"), r.alias("_r"))
     res = res.withColumn("_x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_r") - F.floor("_r")))

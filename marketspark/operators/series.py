@@ -15,7 +15,8 @@ average included, reuses that order.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from marketspark.schema import KEYS, ORDER
 BLOCK_ROWS = 65536
 #: sub-block sizes for exponential averages, finest last; each divides the one before
 LEVELS = (8192, 2048, 512, 128)
+_NAME = re.compile(r"\w+")
 #: exp(-40) is below the relative precision of a double
 DECAY = 40.0
 
@@ -48,10 +50,12 @@ def wilder_alpha(n: float) -> float:
 class Series:
     """Rows of many ordered series, cut into blocks. Build with :func:`blocked`."""
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], block: int,
-                 back: int, fwd: int, cols: Sequence[str]):
-        self.df, self.keys, self.order = df, tuple(keys), tuple(order)
-        self.block, self.back, self.fwd, self.cols = block, back, fwd, tuple(cols)
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], block: int, back: int, fwd: int):
+        self._df, self.keys, self.order = df, tuple(keys), tuple(order)
+        self.block, self.back, self.fwd = block, back, fwd
+        self._pending: dict[int, dict[str, Column]] = {}
+        self._level: dict[str, int] = {}
+        self._names = set(df.columns)
         self._part = [*self.keys, "_blk"]
         self._sort = [*(f"_c{n}" for n in LEVELS), "_i"]
         self.part = Window.partitionBy(*self._part)
@@ -75,17 +79,45 @@ class Series:
 
     # ---- steps ------------------------------------------------------------------------
     def add(self, **cols: Column) -> Series:
-        """Add columns; one call is one step, later steps may use earlier ones."""
-        return self._with(self.df.withColumns(cols))
+        """Add columns that may use columns added before.
 
-    def _with(self, df: DataFrame) -> Series:
+        Columns are gathered and written level by level of dependency, not call by call, so a long
+        chain of small steps becomes a few projections and as few window operators.
+        """
+        s = self if self._names.isdisjoint(cols) else self._with(self.df)
+        s = s._with(s._df, {k: dict(v) for k, v in s._pending.items()}, dict(s._level))
+        for name, c in cols.items():
+            used = [s._level[w] for w in set(_NAME.findall(str(c))) if w in s._level]
+            s._level[name] = 1 + max(used, default=0)
+            s._pending.setdefault(s._level[name], {})[name] = c
+        s._names = s._names | cols.keys()
+        return s
+
+    @property
+    def df(self) -> DataFrame:
+        """The rows with every column added so far."""
+        for k in sorted(self._pending):
+            self._df = self._df.withColumns(self._pending[k])
+        self._pending, self._level = {}, {}
+        return self._df
+
+    def has(self, name: str) -> bool:
+        return name in self._names
+
+    @property
+    def columns(self) -> set[str]:
+        return self._names
+
+    def _with(self, df: DataFrame, pending: dict | None = None, level: dict | None = None) -> Series:
         s = object.__new__(Series)
         s.__dict__.update(self.__dict__)
-        s.df = df
+        s._df, s._pending, s._level = df, pending or {}, level or {}
+        s._names = self._names if df is self._df else set(df.columns)
         return s
 
-    def pipe(self, fn, *a, **k) -> Series:
-        return fn(self, *a, **k)
+    def where(self, cond: Column) -> Series:
+        """Keep rows; windows added later no longer see the others."""
+        return self._with(self.df.where(cond))
 
     def emas(self, adjust: bool = False, **specs: tuple[str, float] | tuple[str, float, int]) -> Series:
         """Exponential averages ``name=(column, alpha[, leading_nulls])``.
@@ -94,8 +126,10 @@ class Series:
         runs inside a sub-block short enough not to overflow and long enough that only the sub-block
         before it still counts, whose last value is carried over. No recursion, no Python.
         """
-        step: dict[str, Column] = {}
-        meta = {}
+        sums: dict[str, Column] = {}
+        carry: dict[str, Column] = {}
+        out: dict[str, Column] = {}
+        prev = self.upto.rowsBetween(Window.unboundedPreceding, -1)
         for name, spec in specs.items():
             col, a, lead = (*spec, 0)[:3]
             decay = -math.log1p(-a)
@@ -104,7 +138,7 @@ class Series:
                 raise ValueError(f"alpha {a} too close to 1")
             if LEVELS[0] * decay < DECAY * 0.9:
                 raise ValueError(f"alpha {a} too small for sub-blocks of {LEVELS[0]} rows")
-            if self.back < DECAY / decay and self.block < 1 << 40:
+            if self.back < DECAY / decay:
                 raise ValueError(f"{name}: halo of {self.back} rows is shorter than {DECAY / decay:.0f}")
             off = (F.col("_i") % size).cast("double")
             cut = [f"_c{n}" for n in LEVELS if n >= size]
@@ -113,22 +147,15 @@ class Series:
                      .rowsBetween(Window.unboundedPreceding, 0))
             x = F.col(col)
             gain = F.lit(1.0) if adjust else F.when(F.col("_i") == lead, F.lit(1.0)).otherwise(F.lit(a))
-            step[f"_s_{name}"] = F.exp(-decay * off) * F.sum(x * gain * F.exp(decay * off)).over(inner)
-            meta[name] = (x, a, lead, decay, size, off)
-        df = self.df.withColumns(step)
-        prev = self.upto.rowsBetween(Window.unboundedPreceding, -1)
-        df = df.withColumns({
-            f"_p_{n}": F.last(F.when(F.col("_i") % m[4] == m[4] - 1, F.col(f"_s_{n}")), True).over(prev)
-            for n, m in meta.items()})
-        out = {}
-        for n, (x, a, lead, decay, _, off) in meta.items():
-            y = F.col(f"_s_{n}") + F.coalesce(F.col(f"_p_{n}"), F.lit(0.0)) * F.exp(-decay * (off + 1))
+            t, p = f"_s_{name}", f"_p_{name}"
+            sums[t] = F.exp(-decay * off) * F.sum(x * gain * F.exp(decay * off)).over(inner)
+            carry[p] = F.last(F.when(F.col("_i") % size == size - 1, F.col(t)), True).over(prev)
+            y = F.col(t) + F.coalesce(F.col(p), F.lit(0.0)) * F.exp(-decay * (off + 1))
             if adjust:
                 rows = F.col("_i") - lead + 1
                 y = y / ((1.0 - F.exp(-decay * rows.cast("double"))) / a)
-            out[n] = F.when(x.isNotNull(), y)
-        df = df.withColumns(out)
-        return self._with(df.drop(*(f"_s_{n}" for n in meta), *(f"_p_{n}" for n in meta)))
+            out[name] = F.when(x.isNotNull(), y)
+        return self.add(**sums).add(**carry).add(**out)
 
     def affine(self, name: str, keep: Column, add: Column, first: int, floor: float) -> Series:
         """Recursion ``y_t = keep_t y_{t-1} + add_t`` from row ``first`` on, with ``keep_t`` in (0, exp(-floor)].
@@ -205,7 +232,6 @@ def blocked(df: DataFrame, back: int = 0, fwd: int = 0, keys: Sequence[str] = KE
     """
     order = (order,) if isinstance(order, str) else tuple(order)
     block = block or BLOCK_ROWS
-    cols = df.columns
     df = df.withColumn("_bkt", F.col(order[0]).cast("date") if bucket is None else bucket)
     by_key = Window.partitionBy(*keys)
     sizes = (df.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
@@ -223,8 +249,4 @@ def blocked(df: DataFrame, back: int = 0, fwd: int = 0, keys: Sequence[str] = KE
             .where((F.col("_i") >= F.col("_blk") * block - back)
                    & (F.col("_i") < (F.col("_blk") + 1) * block + fwd)))
     rows = rows.withColumns({f"_c{n}": F.floor(F.col("_i") / n) for n in LEVELS})
-    return Series(rows, keys, order, block, back, fwd, cols)
-
-
-def add_all(s: Series, cols: Mapping[str, Column]) -> Series:
-    return s.add(**dict(cols))
+    return Series(rows, keys, order, block, back, fwd)

@@ -16,7 +16,6 @@ from marketspark.functions.sessions import in_hours
 from marketspark.operators.gates import reasons
 from marketspark.operators.joins import rule_blackout
 from marketspark.operators.series import Series, span
-from marketspark.schema import require_columns
 
 x = lambda c: F.col(c)
 
@@ -66,7 +65,7 @@ def mean_reversion_scored(s: Series) -> Series:
 
     The RSI term of the confidence takes the smaller of its two distances and so always lowers it.
     """
-    s = s if "vwap_cum" in s.df.columns else ind.vwap_cumulative(s)
+    s = s if s.has("vwap_cum") else ind.vwap_cumulative(s)
     dist, rsi, c, vw = F.abs(x("close") - x("vwap_cum")), x("rsi14"), x("close"), x("vwap_cum")
     low, high = (rsi <= 30) & (c < vw), (rsi >= 70) & (c > vw)
     enter = (x("atr14") > 0) & (x("adx") < 25) & (dist >= x("atr14") * 1.5) & (low | high)
@@ -151,7 +150,7 @@ def momentum_adx_scored(s: Series) -> Series:
     s = s.add(_med=R.median(s, "atr14", 100), _q90=R.quantile(s, "atr14", 100, 0.90), s5b_adx_rising=flag(x("adx") > s.lag("adx")), s5b_strong=flag(x("adx") >= 25),
               s5b_uptrend=flag(x("close") > x("ema50")), s5b_downtrend=flag(x("close") < x("ema50")), s5b_at_ema20=flag(div(F.abs(x("close") - x("ema20")), "atr14") < 0.3),
               s5b_cross_down=R.crosses_below(s, "close", "ema20"), s5b_cross_up=R.crosses_above(s, "close", "ema20"),
-              s5b_spread_ok=flag(x("spread") < R.quantile(s, "spread", 60, 0.90)) if "spread" in s.df.columns else F.lit(1))
+              s5b_spread_ok=flag(x("spread") < R.quantile(s, "spread", 60, 0.90)) if s.has("spread") else F.lit(1))
     pc, was = s.lag("close"), s.lag("s5b_at_ema20") == 1
     s = s.add(s5b_atr_ok=flag((x("atr14") >= x("_med")) & (x("atr14") < x("_q90"))), s5b_bounce_up=flag(was & (x("close") > pc) & on("s5b_uptrend")),
               s5b_bounce_down=flag(was & (x("close") < pc) & on("s5b_downtrend")))
@@ -164,7 +163,7 @@ def mtf_alignment(s: Series) -> Series:
     """Own and daily trend agree, price is near EMA20 on the right side. ``ema100_htf`` comes from an as-of join; without it the own trend stands in."""
     s = s.add(_s100=R.pct_change(s, "ema100", 10), _s50=R.pct_change(s, "ema50", 10), s6_dist_to_ema20=ind.deviation("ema20"), s6_atr_percentile=R.pct_rank(s, "atr14", 100),
               s6_swing_high=R.high(s, "high", 10), s6_swing_low=R.low(s, "low", 10))
-    if "ema100_htf" in s.df.columns:
+    if s.has("ema100_htf"):
         s = s.add(_htf=R.pct_change(s, "ema100_htf", 5))
         up, dn = flag(x("_htf") > 0), flag(x("_htf") < 0)
     else:
@@ -255,7 +254,11 @@ def register(name: str, strategy: Strategy) -> None:
 def run_strategy(s: Series, name: str) -> Series:
     """Run a registered strategy after checking what it reads, and check what it wrote."""
     st = REGISTRY[name]
-    require_columns(s.df, *st.requires, who=name)
+    missing = [c for c in st.requires if not s.has(c)]
+    if missing:
+        raise ValueError(f"{name}: missing columns {missing}")
     out = st.build(s)
-    require_columns(out.df, *st.produces, who=f"{name} output")
+    missing = [c for c in st.produces if not out.has(c)]
+    if missing:
+        raise ValueError(f"{name}: did not write {missing}")
     return out

@@ -31,7 +31,7 @@ def barrier_trades(bars: DataFrame, signals: DataFrame, costs: DataFrame, target
               _tc=F.last("close").over(s.ahead(1, max_bars + 1)))
     s = s.add(atr=F.when(F.col("_ea") > 0, F.col("_ea")).otherwise(F.col("entry_price") * L.FALLBACK_ATR), hi=F.col("_hi"),
               lo=F.col("_lo"), timeout_close=F.col("_tc"))
-    paths = s._with(s.df.where(s.from_end >= max_bars + 1)).select("entry_time", "entry_price", "atr", "hi", "lo", "timeout_close")
+    paths = s.where(s.from_end >= max_bars + 1).select("entry_time", "entry_price", "atr", "hi", "lo", "timeout_close")
     t = with_tp_sl(with_costs(signals.join(paths, ["symbol", "timeframe", "bar_ts"]), costs), targets)
     t = tp_sl_prices(t)
     first = lambda arr, test: F.coalesce(F.array_position(F.transform(arr, test), True), F.lit(0))

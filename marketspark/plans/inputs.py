@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketspark.operators.bars import resample_bars, ticks_to_bars
+from marketspark.session import materialize
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,6 +21,11 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf: str, tf: str = "1H") -> DataFrame:
+    """Bars, computed once and kept: block positions and windows both read them, the ticks are read once."""
+    return materialize(_bars(spark, sf, tf))
+
+
+def _bars(spark: SparkSession, sf: str, tf: str) -> DataFrame:
     return ticks_to_bars(ticks(spark, sf).select("symbol", "ts", "price", "id"), tf)
 
 

@@ -11,7 +11,7 @@ BAR_COLS = "symbol, timeframe, bar_ts, open, high, low, close, volume"
 
 @query("bar_1_ticks_to_bars", f"WITH {I.SQL_BARS} SELECT {BAR_COLS} FROM bars")
 def bar_1(spark, sf):
-    return I.bars(spark, sf)
+    return ticks_to_bars(I.ticks(spark, sf).select("symbol", "ts", "price", "id"), "1H")
 
 
 @query("bar_2_trade_bars", f"""WITH {I.SQL_TICKS} SELECT symbol, '15T' AS timeframe,
