@@ -14,6 +14,7 @@ from marketspark.operators.joins import join_expected
 from marketspark.operators.quantiles import exact_quantiles
 from marketspark.operators.scan import running
 from marketspark.operators.series import blocked
+from marketspark.session import materialize
 
 KEYS = ("symbol", "timeframe")
 
@@ -100,6 +101,7 @@ def session_problems(trades: DataFrame, hours: int = 4, now: Column | None = Non
 def signal_audit(signals: DataFrame, ts: str = "bar_ts", keys: Sequence[str] = KEYS, order: Sequence[str] | None = None) -> DataFrame:
     """Closed signals per series: best and worst session and confidence quartile, drift of the last fifth, advice."""
     k, order = list(keys), list(order or (ts,))
+    signals = materialize(signals)
     cut = exact_quantiles(signals, k, "confidence", {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
     c = F.col("confidence")
     s = signals.join(cut, k).withColumns({
@@ -107,7 +109,8 @@ def signal_audit(signals: DataFrame, ts: str = "bar_ts", keys: Sequence[str] = K
         "quartile": F.when(c <= F.col("_q1"), 1).when(c <= F.col("_q2"), 2).when(c <= F.col("_q3"), 3).otherwise(4)})
     s = running(s, k, order, counts={"_n": F.lit(True)})
     total = s.groupBy(*k).agg(F.count(F.lit(1)).alias("closed"))
-    s = s.join(total, k).withColumn("_recent", F.col("_n") > F.floor(F.col("closed") * 0.8))
+    # three aggregates read the tagged signals, so they are computed once
+    s = materialize(s.join(total, k).withColumn("_recent", F.col("_n") > F.floor(F.col("closed") * 0.8)))
     n, w, p = F.count(F.lit(1)), F.count_if("win"), F.col("pnl")
     base = s.groupBy(*k).agg(n.alias("closed"), w.alias("wins"), F.coalesce(F.sum(F.when(p > 0, p)), F.lit(0.0)).alias("_g"), F.abs(F.sum(F.when(p <= 0, p))).alias("_l"),
                              (F.count_if(F.col("win") & F.col("_recent")) * 100.0 / F.count_if("_recent")).alias("recent_win_rate"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +24,23 @@ def build_session(app: str = "marketspark", master: str | None = None, **conf: s
     return b.getOrCreate()
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; one of our own only where it names none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ms-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{checkpoint_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once, keep on shared storage, and cut the lineage.
 
-    Uses the folder the cluster names in ``spark.checkpoint.dir``. A folder of our own is set
-    only where the cluster names none (tests, one machine).
+    The written copy survives lost executors; nothing is recomputed from the sources.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ms-ckpt-"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
