@@ -18,8 +18,8 @@ BOOSTS = {"none": {}, "directional": {0: 1.5, 1: 1.2, 2: 1.2}, "flat": {0: 4.0,
 def class_weights(df: DataFrame, label: str = "target", boost: dict[int, float] | None = None, live: Column | None = None, losing: Column | None = None) -> DataFrame:
     """Balanced weight ``n / (k n_c)`` per class times a boost; live rows count double, a losing pattern half more."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"))
-    w = counts.crossJoin(F.broadcast(total)).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("weight"))
+    rows, classes = counts.agg(F.sum("_n")).scalar(), counts.agg(F.count(F.lit(1))).scalar()
+    w = counts.select(label, (rows / (classes * F.col("_n"))).alias("weight"))
     out = df.join(F.broadcast(w), label)  # one row per class
     x = F.col("weight")
     for c, b in (boost or {}).items():

@@ -18,7 +18,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, qs:
     ranked, on top of the exact count below it, so the answer is exact while a hot key never sorts
     more than a sliver of its rows in one task.
     """
-    keys = list(keys)
+    whole = not keys
+    keys = list(keys) or ["_all"]
+    df = df.withColumn("_all", F.lit(0)) if whole else df
     v = F.col(value) if isinstance(value, str) else value
     rows = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     step = 2.0 / ACCURACY
@@ -32,7 +34,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, qs:
              for i, (name, q) in enumerate(qs.items())]
     br = br.select(*keys, F.inline(F.array(*items)))
     counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    tagged = counts.join(br, keys) if keys else counts.crossJoin(F.broadcast(br))
+    tagged = counts.join(br, keys)
     # values below and above the bracket fold to one row each, keeping the value next to the bracket
     zone = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
     tagged = tagged.withColumns({"_z": zone, "_k": F.when(zone == 0, F.col("_v"))})
@@ -43,4 +45,5 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, qs:
     r = F.first("_r")
     res = g.groupBy(*keys, "_q").agg(at(F.floor("_r")).alias("_lo"), at(F.ceil("_r")).alias("_hi"), r.alias("_r"))
     res = res.withColumn("_x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_r") - F.floor("_r")))
-    return res.groupBy(*keys).pivot("_q", list(qs)).agg(F.first("_x"))
+    out = res.groupBy(*keys).pivot("_q", list(qs)).agg(F.first("_x"))
+    return out.drop("_all") if whole else out

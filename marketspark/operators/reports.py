@@ -83,9 +83,8 @@ def error_patterns(trades: DataFrame, keys: Sequence[str] = ("symbol",)) -> Data
 
 def session_problems(trades: DataFrame, hours: int = 4, now: Column | None = None, min_losers: int = 3, min_trades: int = 5) -> DataFrame:
     """Weak series, overconfident losers and weak sides among trades that closed in the last hours."""
-    last = trades.agg(F.max("exit_time").alias("_now"))
-    t = trades.crossJoin(F.broadcast(last)) if now is None else trades.withColumn("_now", now)
-    t = t.where(F.col("exit_time") >= F.col("_now") - F.make_dt_interval(hours=F.lit(hours)))
+    now = trades.agg(F.max("exit_time")).scalar() if now is None else now
+    t = trades.where(F.col("exit_time") >= now - F.make_dt_interval(hours=F.lit(hours)))
     win, n = F.col("exit_reason") == "tp", F.count(F.lit(1))
     g = t.groupBy("symbol", "timeframe").agg(
         n.alias("trades"), F.count_if(win).alias("wins"), F.count_if(F.col("exit_reason") == "sl").alias("losses"), F.sum("pnl").alias("total_pnl"),
@@ -157,12 +156,11 @@ def rolling_drift(trades: DataFrame, n: int = 20, warn: float = 1.1, halt: float
 
 def signal_health(signals: DataFrame, hours: int = 6, stale_minutes: int = 10, min_conf: float = 0.40, min_edge: float = 0.02, now: Column | None = None) -> DataFrame:
     """Signals of the last hours per series with staleness and weakness flags."""
-    last = signals.agg(F.max("bar_ts").alias("_now"))
-    t = signals.crossJoin(F.broadcast(last)) if now is None else signals.withColumn("_now", now)
-    g = (t.where(F.col("bar_ts") >= F.col("_now") - F.make_dt_interval(hours=F.lit(hours))).groupBy(*KEYS)
-         .agg(F.count(F.lit(1)).alias("rows"), F.avg("confidence").alias("avg_confidence"), F.avg("edge").alias("avg_edge"), F.max("bar_ts").alias("last_ts"), F.max("_now").alias("_now")))
-    age = (F.unix_timestamp(F.col("_now").cast("timestamp")) - F.unix_timestamp(F.col("last_ts").cast("timestamp"))) / 60.0
-    return g.withColumn("stale_minutes", age).withColumns({"is_stale": age > stale_minutes, "low_confidence": F.col("avg_confidence") < min_conf, "low_edge": F.col("avg_edge") < min_edge}).drop("_now")
+    now = signals.agg(F.max("bar_ts")).scalar() if now is None else now
+    g = (signals.where(F.col("bar_ts") >= now - F.make_dt_interval(hours=F.lit(hours))).groupBy(*KEYS)
+         .agg(F.count(F.lit(1)).alias("rows"), F.avg("confidence").alias("avg_confidence"), F.avg("edge").alias("avg_edge"), F.max("bar_ts").alias("last_ts")))
+    age = (F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("last_ts").cast("timestamp"))) / 60.0
+    return g.withColumn("stale_minutes", age).withColumns({"is_stale": age > stale_minutes, "low_confidence": F.col("avg_confidence") < min_conf, "low_edge": F.col("avg_edge") < min_edge})
 
 
 def catalogue_summary(catalogue: DataFrame) -> DataFrame:

@@ -12,6 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketspark.session import materialize
+
+
+def range_bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int, name: str = "_bkt") -> DataFrame:
+    """Rows with a bucket number from balanced ranges of (keys, order), for data where a key's day is itself too large.
+
+    Range bounds come from a sample, so the numbered rows are written before anything reads them twice.
+    """
+    cut = df.repartitionByRange(buckets, *keys, *order).withColumn(name, F.spark_partition_id())
+    return materialize(cut)
+
 
 def day_of(c: str) -> Column:
     return F.col(c).cast("date")
@@ -33,6 +44,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
     keys, order = list(keys), list(order)
     given = df.columns
     src = {**sums, **maxes, **lasts, **products}
+    bucket = F.col("_bkt") if bucket is None and "_bkt" in given else bucket
     base = df.withColumns({"_bkt": day_of(order[0]) if bucket is None else bucket,
                            **{f"_x_{n}": c for n, c in src.items()}})
     inner = (Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -77,4 +89,4 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
         here = (F.coalesce(F.col(f"_b_{of}"), zero) + F.col(f"_m_{n}")) if of in sums \
             else F.coalesce(F.col(f"_b_{of}"), one) * F.col(f"_m_{n}")
         out[n] = F.greatest(here, F.col(f"_bm_{n}"), *([F.lit(floor)] if floor is not None else []))
-    return joined.select(*(F.col(c) for c in given if c not in out), *(c.alias(n) for n, c in out.items()))
+    return joined.select(*(F.col(c) for c in given if c not in out and c != "_bkt"), *(c.alias(n) for n, c in out.items()))

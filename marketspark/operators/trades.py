@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.functions import indicators as ind
@@ -101,9 +101,10 @@ BASE_COMMISSION = 0.00001
 BASE_SLIPPAGE = 0.000005
 
 
-def scenarios(spark: SparkSession) -> DataFrame:
-    rows = [(c, p, com, slip, cap) for c, (com, slip) in COST_SCENARIOS.items() for p, cap in POSITION_SCENARIOS.items()]
-    return spark.createDataFrame(rows, "cost_scenario string, position_scenario string, com double, slip double, cap double")
+def scenario_rows() -> Column:
+    """The stress grid as an array of (cost and position scenario, multipliers, cap), to be inlined per trade."""
+    return F.array(*(F.struct(F.lit(c).alias("cost_scenario"), F.lit(p).alias("position_scenario"), F.lit(com).alias("com"), F.lit(slip).alias("slip"), F.lit(cap).alias("cap"))
+                     for c, (com, slip) in COST_SCENARIOS.items() for p, cap in POSITION_SCENARIOS.items()))
 
 
 def _returns(outcomes: DataFrame, risk: float, com: Column, slip: Column, cap: Column, share: Column) -> DataFrame:
@@ -116,14 +117,14 @@ def _returns(outcomes: DataFrame, risk: float, com: Column, slip: Column, cap: C
             .withColumn("r", value * (move - com * BASE_COMMISSION - slip * BASE_SLIPPAGE)))
 
 
-def compound_equity(outcomes: DataFrame, scen: DataFrame, risk: float = 0.02, keys=("symbol", "timeframe"),
+def compound_equity(outcomes: DataFrame, risk: float = 0.02, keys=("symbol", "timeframe"),
                     order=("bar_ts",), capital: float = CAPITAL, stop_dd: float = 0.10) -> DataFrame:
     """Equity that compounds through every scenario, stopped after the first drawdown beyond ``stop_dd``.
 
     Size is proportional to equity, so equity is the capital times the product of ``1 + r`` and needs no loop.
     """
     k = [*keys, "cost_scenario", "position_scenario"]
-    t = _returns(outcomes.crossJoin(F.broadcast(scen)), risk, F.col("com"), F.col("slip"), F.col("cap"), F.lit(1.0))
+    t = _returns(outcomes.select("*", F.inline(scenario_rows())), risk, F.col("com"), F.col("slip"), F.col("cap"), F.lit(1.0))
     t = running(t.withColumn("_f", 1 + F.col("r")), k, order, products={"growth": F.col("_f")}, peaks={"_pk": "growth"}, floor=1.0)
     t = t.withColumn("_dd", 1 - F.col("growth") / F.col("_pk"))
     stop = t.where(F.col("_dd") > stop_dd).groupBy(*k).agg(F.min(F.struct(*order)).alias("_stop"))
@@ -146,7 +147,7 @@ def allocated_equity(outcomes: DataFrame, allocations: DataFrame, risk: float =
                      ts: str = "bar_ts", capital: float = CAPITAL) -> DataFrame:
     """One account shared by several configs; within a bar configs act in name order on their share of equity."""
     k = list(keys)
-    t = outcomes.join(F.broadcast(allocations), "config")
+    t = outcomes.join(allocations, "config")
     t = _returns(t, risk, F.lit(1.0), F.lit(1.0), F.lit(cap), F.col("allocation"))
     t = running(t.withColumn("_f", 1 + F.col("r")), k, (ts, "config"), products={"growth": F.col("_f")})
     pnl = F.lit(capital) * (F.col("growth") - F.col("growth") / F.col("_f"))

@@ -451,11 +451,11 @@ d AS (SELECT *, list_filter([CASE WHEN age > lim THEN 'staleness' END, CASE WHEN
 SELECT symbol, bar_ts, CAST(age AS BIGINT) AS age_seconds, array_to_string(f, ',') AS failures, len(f) = 0 AS passed FROM d""")
 def gt_1(spark, sf):
     b = I.bars(spark, sf)
-    now = b.agg(F.max("bar_ts").alias("now"))
-    e = (entries(spark, sf).crossJoin(F.broadcast(now)).withColumns({
+    now = b.agg(F.max("bar_ts")).scalar()
+    e = entries(spark, sf).withColumns({
         "price": F.col("entry_price"), "confidence": F.lit(0.3) + (F.hour("bar_ts") * 3 % 50) / 100.0,
-        "spread": F.col("atr") * (F.col("volume") % 5) / 20, "latency_ms": F.lit(40.0) * F.col("volume")}))
-    df = G.guardrails(e, G.PRESETS["moderate"], F.col("now"), F.lit(60))
+        "spread": F.col("atr") * (F.col("volume") % 5) / 20, "latency_ms": F.lit(40.0) * F.col("volume")})
+    df = G.guardrails(e, G.PRESETS["moderate"], now, F.lit(60))
     return df.select("symbol", "bar_ts", "age_seconds", F.concat_ws(",", "failures").alias("failures"), "passed")
 
 
@@ -635,7 +635,7 @@ h AS (SELECT *, coalesce(w / nullif(trades, 0), 0) AS win_rate, (fin - 1) * 100
 SELECT symbol, cost_scenario, position_scenario, trades, stopped, {q.r6('win_rate')} AS win_rate, {q.r6('ret')} AS total_return_pct, {q.r6('dd')} AS max_drawdown_pct, {q.r6('pf')} AS profit_factor,
  ret > 10 AND dd < 6 AND pf > 1.5 AS viable FROM h""")
 def tr_3(spark, sf):
-    df = TR.compound_equity(outcomes(spark, sf).where("volume >= 5"), TR.scenarios(spark))
+    df = TR.compound_equity(outcomes(spark, sf).where("volume >= 5"))
     return rnd(df, "symbol", "cost_scenario", "position_scenario", "trades", "stopped", "viable", d="win_rate total_return_pct max_drawdown_pct profit_factor")
 
 

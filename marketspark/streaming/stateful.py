@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +33,18 @@ def suppress_duplicates(signals: DataFrame, ts: str = "ts", validity: dict[str,
 
     def step(key, chunks, state: GroupState):
         rows = _ordered(chunks, ts)
+        times = rows[ts].to_numpy()
         last = pd.Timestamp(state.get[0]) if state.exists else None
-        keep = []
         gap = pd.Timedelta(minutes=minutes.get(key[1], DEFAULT_VALIDITY))
-        for t in rows[ts]:
-            ok = last is None or t >= last + gap
-            keep.append(ok)
-            last = t if ok else last
+        keep = []
+        i = 0 if last is None else int(np.searchsorted(times, np.datetime64(last + gap)))
+        while i < len(times):  # from one kept signal to the next, not row by row
+            keep.append(i)
+            last = pd.Timestamp(times[i])
+            i = int(np.searchsorted(times, np.datetime64(last + gap)))
         if last is not None:
             state.update((last.to_pydatetime(),))
-        yield rows[keep]
+        yield rows.iloc[keep]
     return signals.groupBy(*KEYS).applyInPandasWithState(step, schema, "last timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -52,17 +55,24 @@ def cooldown(signals: DataFrame, ts: str = "ts", index: str = "bar_index", bars:
 
     def step(key, chunks, state: GroupState):
         rows = _ordered(chunks, ts)
+        at = rows[index].to_numpy()
+        free = ~rows["position_open"].to_numpy(dtype=bool) if has_pos else np.ones(len(rows), dtype=bool)
         last = state.get[0] if state.exists else None
-        acc, why = [], []
-        held = rows["position_open"] if has_pos else [False] * len(rows)
-        for i, busy in zip(rows[index], held):
-            veto = "cooldown" if last is not None and i - last < bars else "position_open" if busy else ""
-            acc.append(veto == "")
-            why.append(veto)
-            last = int(i) if veto == "" else last
+        ready = np.zeros(len(rows), dtype=bool)
+        accepted = np.zeros(len(rows), dtype=bool)
+        i = 0
+        while i < len(rows):  # from one accepted signal to the next
+            start = i if last is None else max(i, int(np.searchsorted(at, last + bars)))
+            hits = np.flatnonzero(free[start:])
+            stop = start + int(hits[0]) if len(hits) else len(rows)
+            ready[start:stop + 1] = True
+            if stop >= len(rows):
+                break
+            accepted[stop] = True
+            last, i = int(at[stop]), stop + 1
         if last is not None:
             state.update((last,))
-        yield rows.assign(accepted=acc, veto=why)
+        yield rows.assign(accepted=accepted, veto=np.where(accepted, "", np.where(ready, "position_open", "cooldown")))
     return signals.groupBy(*KEYS).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -84,27 +94,26 @@ def monitor_outcomes(signals: DataFrame, prices: DataFrame) -> DataFrame:
     def step(key, chunks, state: GroupState):
         rows = _ordered(chunks, "ts")
         opened = [list(x) for x in zip(*state.get)] if state.exists else []
-        out = []
-        for r in rows.itertuples(index=False):
-            if not pd.isna(r.signal_id):
-                opened.append([int(r.signal_id), r.direction, r.entry_price, r.tp_price, r.sl_price, r.ts.to_pydatetime(), r.expires_at.to_pydatetime()])
-            if pd.isna(r.price):
-                continue
-            left = []
-            for o in opened:
-                i, d, e, tp, sl, since, until = o
-                sign = 1 if d == "long" else -1
-                if r.ts <= since:
-                    left.append(o)
-                elif r.ts > until:
-                    out.append((i, key[0], d, "expired", None, None, until))
-                elif sign * (r.price - tp) >= 0:
-                    out.append((i, key[0], d, "take_profit", tp, sign * (tp - e), r.ts))
-                elif sign * (r.price - sl) <= 0:
-                    out.append((i, key[0], d, "stop_loss", sl, sign * (sl - e), r.ts))
-                else:
-                    left.append(o)
-            opened = left
+        new = rows[rows["signal_id"].notna()]
+        opened += [[int(r.signal_id), r.direction, r.entry_price, r.tp_price, r.sl_price, r.ts.to_pydatetime(), r.expires_at.to_pydatetime()] for r in new.itertuples(index=False)]
+        quotes = rows[rows["price"].notna()]
+        at, px = quotes["ts"].to_numpy(), quotes["price"].to_numpy()
+        out, left = [], []
+        for o in opened:  # one array scan per open signal
+            i, d, e, tp, sl, since, until = o
+            sign = 1 if d == "long" else -1
+            a, b = np.searchsorted(at, [np.datetime64(since), np.datetime64(until)], side="right")
+            hit = np.flatnonzero((sign * (px[a:b] - tp) >= 0) | (sign * (px[a:b] - sl) <= 0))
+            if len(hit):
+                k = a + int(hit[0])
+                won = sign * (px[k] - tp) >= 0
+                exit_px = tp if won else sl
+                out.append((i, key[0], d, "take_profit" if won else "stop_loss", exit_px, sign * (exit_px - e), pd.Timestamp(at[k])))
+            elif len(at) and at[-1] > np.datetime64(until):
+                out.append((i, key[0], d, "expired", None, None, until))
+            else:
+                left.append(o)
+        opened = left
         if opened:
             state.update(tuple([list(c) for c in zip(*opened)]))
         elif state.exists:
@@ -121,17 +130,16 @@ def drift_monitor(trades: DataFrame, ts: str = "ts", trade_id: str = "trade_id",
     def step(key, chunks, state: GroupState):
         rows = _ordered(chunks, ts, trade_id)
         last, equity, peak = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], capital, capital)
-        out = []
-        for i, p in zip(rows[trade_id], rows["pnl"]):
-            last = (last + [float(p)])[-n:]
-            equity += float(p)
-            peak = max(peak, equity)
-            win, loss = sum(v for v in last if v > 0), -sum(v for v in last if v <= 0)
-            pf = None if len(last) < n else (win / loss if loss > 0 else 0.0)
-            status = "insufficient_data" if pf is None else "halt" if pf < halt else "warning" if pf < warn else "healthy"
-            out.append((*key, int(i), pf, status, (peak - equity) / peak * 100 > max_dd))
-        state.update((last, equity, peak))
-        yield pd.DataFrame(out, columns=["symbol", "timeframe", trade_id, "rolling_pf", "status", "halted"])
+        p = rows["pnl"].astype(float).to_numpy()
+        run = pd.Series(np.concatenate([last, p]))
+        win, loss = run.clip(lower=0).rolling(n).sum()[len(last):], (-run).clip(lower=0).rolling(n).sum()[len(last):]
+        pf = (win / loss.where(loss > 0)).where(loss > 0, 0.0).where(win.notna()).to_numpy()
+        eq = equity + np.cumsum(p)
+        peaks = np.maximum.accumulate(np.concatenate([[peak], eq]))[1:]
+        status = np.select([np.isnan(pf), pf < halt, pf < warn], ["insufficient_data", "halt", "warning"], "healthy")
+        if len(p):
+            state.update((run.tolist()[-(n - 1):], float(eq[-1]), float(peaks[-1])))
+        yield pd.DataFrame({"symbol": key[0], "timeframe": key[1], trade_id: rows[trade_id], "rolling_pf": pf, "status": status, "halted": (peaks - eq) / peaks * 100 > max_dd})
     return trades.groupBy(*KEYS).applyInPandasWithState(step, schema, "last array<double>, equity double, peak double", "append", GroupStateTimeout.NoTimeout)
 
 
