@@ -32,39 +32,44 @@ def clip(c: Column, lo: float, hi: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c)))
 
 
-def _full(s: Series, x: Column, n: int, end: int, min_rows: int | None, value) -> Column:
+def _full(s: Series, c: Column | str, n: int, end: int, min_rows: int | None, fn: str, more: str = "") -> Column:
+    """``fn`` over the ``n`` rows up to ``end``, null until enough of them hold a value."""
+    need = n if min_rows is None else min_rows
+    if isinstance(c, str):
+        o = s.over(end - n + 1, end)
+        return F.expr(f"CASE WHEN count(`{c}`) {o} >= {need} THEN {fn}(`{c}`{more}) {o} END")
     w = s.w(n, end)
-    return F.when(F.count(x).over(w) >= (n if min_rows is None else min_rows), value.over(w))
+    return F.when(F.count(c).over(w) >= need, F.call_function(fn, c, *([F.expr(more.strip(", "))] if more else [])).over(w))
 
 
 def mean(s: Series, c, n: int, end: int = 0, min_rows: int | None = None) -> Column:
-    return _full(s, col(c), n, end, min_rows, F.avg(col(c)))
+    return _full(s, c, n, end, min_rows, "avg")
 
 
 def total(s: Series, c, n: int, end: int = 0, min_rows: int | None = None) -> Column:
-    return _full(s, col(c), n, end, min_rows, F.sum(col(c)))
+    return _full(s, c, n, end, min_rows, "sum")
 
 
 def high(s: Series, c, n: int, end: int = 0, min_rows: int | None = None) -> Column:
-    return _full(s, col(c), n, end, min_rows, F.max(col(c)))
+    return _full(s, c, n, end, min_rows, "max")
 
 
 def low(s: Series, c, n: int, end: int = 0, min_rows: int | None = None) -> Column:
-    return _full(s, col(c), n, end, min_rows, F.min(col(c)))
+    return _full(s, c, n, end, min_rows, "min")
 
 
 def std(s: Series, c, n: int, end: int = 0) -> Column:
     """Sample standard deviation."""
-    return _full(s, col(c), n, end, None, F.stddev_samp(col(c)))
+    return _full(s, c, n, end, None, "stddev_samp")
 
 
 def std_pop(s: Series, c, n: int) -> Column:
-    return _full(s, col(c), n, 0, None, F.stddev_pop(col(c)))
+    return _full(s, c, n, 0, None, "stddev_pop")
 
 
 def quantile(s: Series, c, n: int, q: float, min_rows: int | None = None) -> Column:
     """Exact quantile with linear interpolation."""
-    return _full(s, col(c), n, 0, min_rows, F.percentile(col(c), F.lit(q)))
+    return _full(s, c, n, 0, min_rows, "percentile", f", {q}D")
 
 
 def median(s: Series, c, n: int, min_rows: int | None = None) -> Column:
@@ -79,6 +84,12 @@ def rolling_apply(s: Series, c, n: int, fn) -> Column:
 
 def pct_rank(s: Series, c, n: int) -> Column:
     """Rank of the current value among the last ``n``, ties averaged, in (0, 1]."""
+    if isinstance(c, str):
+        o = s.over(1 - n)
+        values = f"collect_list(`{c}`) {o}"
+        points = f"aggregate({values}, 0D, (a, v) -> a + CASE WHEN v < `{c}` THEN 1D WHEN v = `{c}` THEN 0.5D ELSE 0D END)"
+        return F.expr(f"CASE WHEN count(`{c}`) {o} = {n} THEN ({points} + 0.5D) / {n} END")
+
     def rank(values: Column, x: Column) -> Column:
         less = F.size(F.filter(values, lambda v: v < x))
         same = F.size(F.filter(values, lambda v: v == x))
@@ -92,12 +103,12 @@ def frac_below(s: Series, c, n: int) -> Column:
 
 def skew(s: Series, c, n: int) -> Column:
     """Bias-corrected skewness."""
-    return _full(s, col(c), n, 0, None, F.skewness(col(c))) * ((n * (n - 1)) ** 0.5 / (n - 2))
+    return _full(s, c, n, 0, None, "skewness") * ((n * (n - 1)) ** 0.5 / (n - 2))
 
 
 def kurt(s: Series, c, n: int) -> Column:
     """Bias-corrected excess kurtosis."""
-    return ((_full(s, col(c), n, 0, None, F.kurtosis(col(c))) * (n + 1) + 6) * ((n - 1) / ((n - 2) * (n - 3))))
+    return ((_full(s, c, n, 0, None, "kurtosis") * (n + 1) + 6) * ((n - 1) / ((n - 2) * (n - 3))))
 
 
 def corr(s: Series, x, y, n: int) -> Column:
@@ -122,15 +133,17 @@ def count_of(s: Series, f, n: int) -> Column:
 
 
 def pct_change(s: Series, c, k: int) -> Column:
-    return div(col(c), s.lag(col(c), k)) - 1
+    if isinstance(c, str):
+        return F.expr(f"try_divide(`{c}`, lag(`{c}`, {k}) {s.over()}) - 1")
+    return div(c, s.lag(c, k)) - 1
 
 
 def diff(s: Series, c, k: int = 1) -> Column:
-    return col(c) - s.lag(col(c), k)
+    return F.expr(f"`{c}` - lag(`{c}`, {k}) {s.over()}") if isinstance(c, str) else c - s.lag(c, k)
 
 
 def log_return(s: Series, c) -> Column:
-    return F.ln(div(col(c), s.lag(col(c))))
+    return F.ln(div(c, s.lag(c)))
 
 
 def ffill(s: Series, c, limit: int) -> Column:
@@ -148,11 +161,11 @@ def bars_since_low(s: Series, c, n: int) -> Column:
 
 
 def crosses_above(s: Series, a, b) -> Column:
-    return flag((col(a) > col(b)) & (s.lag(col(a)) <= s.lag(col(b))))
+    return flag((col(a) > col(b)) & (s.lag(a) <= s.lag(b)))
 
 
 def crosses_below(s: Series, a, b) -> Column:
-    return flag((col(a) < col(b)) & (s.lag(col(a)) >= s.lag(col(b))))
+    return flag((col(a) < col(b)) & (s.lag(a) >= s.lag(b)))
 
 
 def slope(s: Series, c, n: int) -> dict[str, Column]:

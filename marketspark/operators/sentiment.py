@@ -33,15 +33,12 @@ SOURCE_WEIGHT = {"news": 0.6, "social": 0.4}
 LEAN = 0.2
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: t != "")
-
-
 def polarity(text: Column, scores: Mapping[str, float]) -> Column:
-    """Mean score of the scored words; 0 without any."""
+    """Mean score of the scored words; 0 without any. One pass finds just the scored words, as whole words."""
+    words = "|".join(sorted(scores, key=len, reverse=True))
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"(?<![a-z])(?:{words})(?![a-z])"), F.lit(0))
     table = F.create_map(*(F.lit(x) for kv in scores.items() for x in kv))
-    hits = F.filter(F.transform(tokens(text), lambda t: F.try_element_at(table, t)), lambda v: v.isNotNull())
-    return F.coalesce(F.try_divide(F.aggregate(hits, F.lit(0.0), lambda a, v: a + v), F.size(hits)), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.aggregate(found, F.lit(0.0), lambda a, w: a + table[w]), F.size(found)), F.lit(0.0))
 
 
 def symbols_in(text: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
@@ -58,7 +55,8 @@ def symbols_in(text: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
 
 def sentiment_by_symbol(texts: DataFrame, kind: Column, keywords: Mapping[str, Sequence[str]] = KEYWORDS, scores: Mapping[str, float] = LEXICON) -> DataFrame:
     """Mean polarity of non-neutral texts per symbol and source kind, weighted total and lean."""
-    t = texts.select(polarity(F.col("text"), scores).alias("p"), kind.alias("kind"), symbols_in(F.col("text"), keywords).alias("symbols"))
+    t = texts.select("text", kind.alias("kind"), symbols_in(F.col("text"), keywords).alias("symbols")).where(F.size("symbols") > 0)
+    t = t.select(polarity(F.col("text"), scores).alias("p"), "kind", "symbols")
     t = t.where(F.col("p") != 0).withColumn("symbol", F.explode("symbols"))
     g = t.groupBy("symbol").agg(
         *(F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in SOURCE_WEIGHT),

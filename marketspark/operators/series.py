@@ -71,11 +71,22 @@ class Series:
         """Rows ``first..last`` after the current one."""
         return self.upto.rowsBetween(first, last)
 
+    def over(self, first: int | None = None, last: int = 0) -> str:
+        """The window clause as SQL text: rows ``first..last`` around the current one, or just the order.
+
+        A column built from text costs one call to the JVM, from functions a dozen; wide feature sets notice.
+        """
+        spec = f"PARTITION BY {', '.join(f'`{c}`' for c in self._part)} ORDER BY {', '.join(self._sort)}"
+        if first is None:
+            return f"OVER ({spec})"
+        at = lambda k: "CURRENT ROW" if k == 0 else f"{abs(k)} {'PRECEDING' if k < 0 else 'FOLLOWING'}"
+        return f"OVER ({spec} ROWS BETWEEN {at(first)} AND {at(last)})"
+
     def lag(self, c: Column | str, k: int = 1) -> Column:
-        return F.lag(c, k).over(self.upto)
+        return F.expr(f"lag(`{c}`, {k}) {self.over()}") if isinstance(c, str) else F.lag(c, k).over(self.upto)
 
     def lead(self, c: Column | str, k: int = 1) -> Column:
-        return F.lead(c, k).over(self.upto)
+        return F.expr(f"lead(`{c}`, {k}) {self.over()}") if isinstance(c, str) else F.lead(c, k).over(self.upto)
 
     # ---- steps ------------------------------------------------------------------------
     def add(self, **cols: Column) -> Series:
@@ -129,9 +140,10 @@ class Series:
         sums: dict[str, Column] = {}
         carry: dict[str, Column] = {}
         out: dict[str, Column] = {}
-        prev = self.upto.rowsBetween(Window.unboundedPreceding, -1)
+        part = ", ".join(f"`{c}`" for c in self._part)
+        prev = f"OVER (PARTITION BY {part} ORDER BY {', '.join(self._sort)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         for name, spec in specs.items():
-            col, a, lead = (*spec, 0)[:3]
+            x, a, lead = (*spec, 0)[:3]
             decay = -math.log1p(-a)
             size = next((n for n in reversed(LEVELS) if n * decay >= DECAY), LEVELS[0])
             if size * decay > 600:
@@ -140,21 +152,18 @@ class Series:
                 raise ValueError(f"alpha {a} too small for sub-blocks of {LEVELS[0]} rows")
             if self.back < DECAY / decay:
                 raise ValueError(f"{name}: halo of {self.back} rows is shorter than {DECAY / decay:.0f}")
-            off = (F.col("_i") % size).cast("double")
-            cut = [f"_c{n}" for n in LEVELS if n >= size]
-            rest = [f"_c{n}" for n in LEVELS if n < size]
-            inner = (Window.partitionBy(*self._part, *cut).orderBy(*rest, "_i")
-                     .rowsBetween(Window.unboundedPreceding, 0))
-            x = F.col(col)
-            gain = F.lit(1.0) if adjust else F.when(F.col("_i") == lead, F.lit(1.0)).otherwise(F.lit(a))
-            t, p = f"_s_{name}", f"_p_{name}"
-            sums[t] = F.exp(-decay * off) * F.sum(x * gain * F.exp(decay * off)).over(inner)
-            carry[p] = F.last(F.when(F.col("_i") % size == size - 1, F.col(t)), True).over(prev)
-            y = F.col(t) + F.coalesce(F.col(p), F.lit(0.0)) * F.exp(-decay * (off + 1))
+            cut = ", ".join(f"_c{n}" for n in LEVELS if n >= size)
+            rest = ", ".join([f"_c{n}" for n in LEVELS if n < size] + ["_i"])
+            t, p, lam = f"_s_{name}", f"_p_{name}", f"{decay!r}D"
+            off = f"(_i % {size})"
+            gain = "1D" if adjust else f"CASE WHEN _i = {lead} THEN 1D ELSE {a!r}D END"
+            inner = f"OVER (PARTITION BY {part}, {cut} ORDER BY {rest} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+            sums[t] = F.expr(f"exp(-{lam} * {off}) * sum(`{x}` * {gain} * exp({lam} * {off})) {inner}")
+            carry[p] = F.expr(f"last(CASE WHEN _i % {size} = {size - 1} THEN `{t}` END, true) {prev}")
+            y = f"`{t}` + coalesce(`{p}`, 0D) * exp(-{lam} * ({off} + 1))"
             if adjust:
-                rows = F.col("_i") - lead + 1
-                y = y / ((1.0 - F.exp(-decay * rows.cast("double"))) / a)
-            out[name] = F.when(x.isNotNull(), y)
+                y = f"({y}) / ((1D - exp(-{lam} * (_i - {lead} + 1))) / {a!r}D)"
+            out[name] = F.expr(f"CASE WHEN `{x}` IS NOT NULL THEN {y} END")
         return self.add(**sums).add(**carry).add(**out)
 
     def affine(self, name: str, keep: Column, add: Column, first: int, floor: float) -> Series:
@@ -238,14 +247,15 @@ def blocked(df: DataFrame, back: int = 0, fwd: int = 0, keys: Sequence[str] = KE
              .withColumn("_end", F.sum("_n").over(by_key.orderBy("_bkt")))
              .withColumn("_total", F.sum("_n").over(by_key))
              .withColumn("_start", F.col("_end") - F.col("_n")))
-    sizes = (sizes.withColumn("_blk", F.explode(F.sequence(
+    sizes = sizes.withColumn("_blk", F.explode(F.sequence(
         F.greatest(F.lit(0), F.floor((F.col("_start") - fwd) / block)),
         F.least(F.floor((F.col("_total") - 1) / block), F.floor((F.col("_end") - 1 + back) / block)))))
-        .withColumn("_first", F.min("_start").over(Window.partitionBy(*keys, "_blk"))))
-    sizes = sizes.select(*keys, "_bkt", "_blk", "_first", "_total")
-    pos = F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(*order))
+    sizes = sizes.select(*keys, "_bkt", "_blk", "_start", "_total")
+    part = Window.partitionBy(*keys, "_blk")
+    # a block's first row is the first row of its earliest bucket
+    pos = F.min("_start").over(part) + F.row_number().over(part.orderBy(*order)) - 1
     rows = (df.join(sizes, [*keys, "_bkt"]).drop("_bkt")
-            .withColumn("_i", F.col("_first") + pos - 1).drop("_first")
+            .withColumn("_i", pos).drop("_start")
             .where((F.col("_i") >= F.col("_blk") * block - back)
                    & (F.col("_i") < (F.col("_blk") + 1) * block + fwd)))
     rows = rows.withColumns({f"_c{n}": F.floor(F.col("_i") / n) for n in LEVELS})
