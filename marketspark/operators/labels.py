@@ -26,15 +26,20 @@ HORIZONS = {
 FALLBACK_ATR = 0.02
 
 
-def touch_high(s: Series, price: Column, n: int) -> Column:
-    """1-based position of the first of the next ``n`` bars whose high reaches ``price``; 0 if none."""
-    arr = F.collect_list("high").over(s.ahead(1, n))
-    return F.coalesce(F.array_position(F.transform(arr, lambda x: x >= price), True), F.lit(0))
+def paths(s: Series, n: int) -> Series:
+    """Highs and lows of the next ``n`` bars as arrays, shared by every touch of that horizon."""
+    if s.has(f"_fh{n}"):
+        return s
+    return s.add(**{f"_fh{n}": F.expr(f"collect_list(high) {s.over(1, n)}"), f"_fl{n}": F.expr(f"collect_list(low) {s.over(1, n)}")})
 
 
-def touch_low(s: Series, price: Column, n: int) -> Column:
-    arr = F.collect_list("low").over(s.ahead(1, n))
-    return F.coalesce(F.array_position(F.transform(arr, lambda x: x <= price), True), F.lit(0))
+def touch_high(price: Column, n: int) -> Column:
+    """1-based position of the first of the next ``n`` bars whose high reaches ``price``; 0 if none. Needs :func:`paths`."""
+    return F.coalesce(F.array_position(F.transform(F.col(f"_fh{n}"), lambda x: x >= price), True), F.lit(0))
+
+
+def touch_low(price: Column, n: int) -> Column:
+    return F.coalesce(F.array_position(F.transform(F.col(f"_fl{n}"), lambda x: x <= price), True), F.lit(0))
 
 
 def before(a: str, b: str) -> Column:
@@ -59,9 +64,9 @@ LABEL_COLS = ("target", "expected_return", "expected_duration", "tp_hit", "sl_hi
 def triple_barrier(s: Series, horizon: int, tp: float, sl: float) -> DataFrame:
     """Enter at the next open; the first barrier touched in ``horizon`` bars decides, ties go down."""
     atr = F.when(F.col("atr14") > 0, F.col("atr14")).otherwise(F.col("close") * FALLBACK_ATR)
-    s = s.add(_a=atr, _e=s.lead("open"), _end=_close_at(s, horizon))
+    s = paths(s, horizon).add(_a=atr, _e=s.lead("open"), _end=_close_at(s, horizon))
     s = s.add(_up=F.col("_e") + F.col("_a") * tp, _dn=F.col("_e") - F.col("_a") * sl)
-    s = s.add(_tp=touch_high(s, F.col("_up"), horizon), _sl=touch_low(s, F.col("_dn"), horizon))
+    s = s.add(_tp=touch_high(F.col("_up"), horizon), _sl=touch_low(F.col("_dn"), horizon))
     known = s.from_end > horizon
     up, down = known & before("_tp", "_sl"), known & (F.col("_sl") > 0) & ~before("_tp", "_sl")
     gain = lambda px: F.col(px) / F.col("_e") - 1
@@ -78,8 +83,8 @@ def triple_barrier_partial(s: Series, horizon: int, tp: float, sl: float, share:
     ``share`` of a barrier. ``hit_type`` tells which rule fired."""
     n = horizon + 1
     a = F.col("atr14")
-    s = s.add(_e=s.lead("open"), _end=_close_at(s, n))
-    s = s.add(_tp=touch_high(s, F.col("_e") + a * tp, n), _sl=touch_low(s, F.col("_e") - a * sl, n),
+    s = paths(s, n).add(_e=s.lead("open"), _end=_close_at(s, n))
+    s = s.add(_tp=touch_high(F.col("_e") + a * tp, n), _sl=touch_low(F.col("_e") - a * sl, n),
               _mv=div(F.col("_end") - F.col("_e"), a))
     up, touched = before("_tp", "_sl"), (F.col("_tp") > 0) | (F.col("_sl") > 0)
     part_up = ~touched & (F.col("_mv") >= tp * share)
@@ -96,10 +101,10 @@ def triple_barrier_partial(s: Series, horizon: int, tp: float, sl: float, share:
 
 def _two_sided(s: Series, horizon: int, tp: float, sl: float, share: float = 1.0, atr: Column | None = None) -> Series:
     """Touches of both sides from the current close; ``share`` shortens the targets, not the stops."""
-    s = s.add(_a=F.col("atr14") if atr is None else atr)
+    s = paths(s, horizon).add(_a=F.col("atr14") if atr is None else atr)
     a, c = F.col("_a"), F.col("close")
-    return s.add(_tl=touch_high(s, c + a * (tp * share), horizon), _sl=touch_low(s, c - a * sl, horizon),
-                 _ts=touch_low(s, c - a * (tp * share), horizon), _ss=touch_high(s, c + a * sl, horizon),
+    return s.add(_tl=touch_high(c + a * (tp * share), horizon), _sl=touch_low(c - a * sl, horizon),
+                 _ts=touch_low(c - a * (tp * share), horizon), _ss=touch_high(c + a * sl, horizon),
                  _mx=F.max("high").over(s.ahead(1, horizon)), _mn=F.min("low").over(s.ahead(1, horizon)),
                  _end=_close_at(s, horizon))
 

@@ -33,18 +33,17 @@ SOURCE_WEIGHT = {"news": 0.6, "social": 0.4}
 LEAN = 0.2
 
 
-def polarity(text: Column, scores: Mapping[str, float]) -> Column:
-    """Mean score of the scored words; 0 without any. One pass finds just the scored words, as whole words."""
+def polarity(low: Column, scores: Mapping[str, float]) -> Column:
+    """Mean score of the scored words of a lower-case text; 0 without any. One pass finds just those, as whole words."""
     words = "|".join(sorted(scores, key=len, reverse=True))
-    found = F.regexp_extract_all(F.lower(text), F.lit(f"(?<![a-z])(?:{words})(?![a-z])"), F.lit(0))
+    first = "".join(sorted({w[0] for w in scores}))
+    found = F.regexp_extract_all(low, F.lit(f"(?=[{first}])(?<![a-z])(?:{words})(?![a-z])"), F.lit(0))
     table = F.create_map(*(F.lit(x) for kv in scores.items() for x in kv))
     return F.coalesce(F.try_divide(F.aggregate(found, F.lit(0.0), lambda a, w: a + table[w]), F.size(found)), F.lit(0.0))
 
 
-def symbols_in(text: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
-    """Symbols any of whose keywords occurs in the text."""
-    low = F.lower(text)
-
+def symbols_in(low: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
+    """Symbols any of whose keywords occurs in the lower-case text."""
     def found(words):
         c = F.contains(low, F.lit(words[0]))
         for w in words[1:]:
@@ -55,12 +54,15 @@ def symbols_in(text: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
 
 def sentiment_by_symbol(texts: DataFrame, kind: Column, keywords: Mapping[str, Sequence[str]] = KEYWORDS, scores: Mapping[str, float] = LEXICON) -> DataFrame:
     """Mean polarity of non-neutral texts per symbol and source kind, weighted total and lean."""
-    t = texts.select("text", kind.alias("kind"), symbols_in(F.col("text"), keywords).alias("symbols")).where(F.size("symbols") > 0)
-    t = t.select(polarity(F.col("text"), scores).alias("p"), "kind", "symbols")
-    t = t.where(F.col("p") != 0).withColumn("symbol", F.explode("symbols"))
-    g = t.groupBy("symbol").agg(
-        *(F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in SOURCE_WEIGHT),
-        *(F.coalesce(F.avg(F.when(F.col("kind") == k, F.col("p"))), F.lit(0.0)).alias(f"{k}_sentiment") for k in SOURCE_WEIGHT))
+    t = texts.select(F.lower("text").alias("low"), kind.alias("kind"))  # once per text, not once per word
+    t = t.select("low", "kind", symbols_in(F.col("low"), keywords).alias("symbols")).where(F.size("symbols") > 0)
+    t = t.select(polarity(F.col("low"), scores).alias("p"), "kind", "symbols")
+    # neutral texts are left out inside the aggregate: a filter on the score would be pushed down and score every text twice
+    is_ = lambda k: (F.col("kind") == k) & (F.col("p") != 0)
+    g = t.withColumn("symbol", F.explode("symbols")).groupBy("symbol").agg(
+        *(F.count_if(is_(k)).alias(f"{k}_count") for k in SOURCE_WEIGHT),
+        *(F.coalesce(F.avg(F.when(is_(k), F.col("p"))), F.lit(0.0)).alias(f"{k}_sentiment") for k in SOURCE_WEIGHT))
+    g = g.where(sum((F.col(f"{k}_count") for k in list(SOURCE_WEIGHT)[1:]), F.col("news_count")) > 0)
     w = {k: F.col(f"{k}_count") * v for k, v in SOURCE_WEIGHT.items()}
     total = sum((F.col(f"{k}_sentiment") * w[k] for k in list(w)[1:]), F.col("news_sentiment") * w["news"])
     g = g.withColumn("aggregate_sentiment", F.coalesce(F.try_divide(total, w["news"] + w["social"]), F.lit(0.0)))

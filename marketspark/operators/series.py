@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketspark.schema import KEYS, ORDER
+from marketspark.session import materialize
 
 #: rows a block owns; with 10 double columns about 6 MB, so a task holds many blocks
 BLOCK_ROWS = 65536
@@ -190,9 +191,12 @@ class Series:
         return self._with(df.drop("_k", "_b", "_e", "_y", "_in"))
 
     def running_sums(self, **cols: str | Column) -> Series:
-        """Sums from the start of the series, halo rows included (two-level: block totals first)."""
+        """Sums from the start of the series, halo rows included (two-level: block totals first).
+
+        Totals and rows both read the blocks, so the blocks are written once, already shuffled and sorted.
+        """
         tmp = {f"_x_{n}": (F.col(c) if isinstance(c, str) else c) for n, c in cols.items()}
-        df = self.df.withColumns(tmp)
+        df = materialize(self.df.withColumns(tmp).sortWithinPartitions(*self._part, *self._sort))
         own = F.floor(F.col("_i") / self.block) == F.col("_blk")
         totals = (df.where(own).groupBy(*self._part)
                   .agg(*(F.sum(f"_x_{n}").alias(f"_t_{n}") for n in cols)))

@@ -25,22 +25,17 @@ def barrier_trades(bars: DataFrame, signals: DataFrame, costs: DataFrame, target
     Signals too close to the end of a series, with a stop nearer than 0.1 % or a value above ten times
     the capital are left out. Costs are paid both ways.
     """
-    s = ind.atr(blocked(bars, back=20, fwd=max_bars + 3, block=block), 14)
-    s = s.add(entry_time=s.lead("bar_ts"), entry_price=s.lead("open"), _ea=s.lead("atr14"),
-              _hi=F.collect_list("high").over(s.ahead(1, max_bars)), _lo=F.collect_list("low").over(s.ahead(1, max_bars)),
-              _tc=F.last("close").over(s.ahead(1, max_bars + 1)))
-    s = s.add(atr=F.when(F.col("_ea") > 0, F.col("_ea")).otherwise(F.col("entry_price") * L.FALLBACK_ATR), hi=F.col("_hi"),
-              lo=F.col("_lo"), timeout_close=F.col("_tc"))
-    paths = s.where(s.from_end >= max_bars + 1).select("entry_time", "entry_price", "atr", "hi", "lo", "timeout_close")
-    t = with_tp_sl(with_costs(signals.join(paths, ["symbol", "timeframe", "bar_ts"]), costs), targets)
-    t = tp_sl_prices(t)
-    first = lambda arr, test: F.coalesce(F.array_position(F.transform(arr, test), True), F.lit(0))
-    tp, sl = F.col("tp_price"), F.col("sl_price")
-    long = F.col("direction") == "long"
-    t = t.withColumns({
-        "_t": F.when(long, first(F.col("hi"), lambda x: x >= tp)).otherwise(first(F.col("lo"), lambda x: x <= tp)),
-        "_s": F.when(long, first(F.col("lo"), lambda x: x <= sl)).otherwise(first(F.col("hi"), lambda x: x >= sl)),
-        "_dist": F.abs(F.col("entry_price") - sl)})
+    # both sides of every bar are resolved inside the blocks, so that only four positions per bar are joined, not price paths
+    s = ind.atr(blocked(bars.join(F.broadcast(targets), ["symbol", "timeframe"]), back=20, fwd=max_bars + 3, block=block), 14)
+    s = L.paths(s, max_bars).add(entry_time=s.lead("bar_ts"), entry_price=s.lead("open"), _ea=s.lead("atr14"), timeout_close=F.last("close").over(s.ahead(1, max_bars + 1)))
+    s = s.add(atr=F.when(F.col("_ea") > 0, F.col("_ea")).otherwise(F.col("entry_price") * L.FALLBACK_ATR))
+    e, tp_d, sl_d = F.col("entry_price"), F.col("atr") * F.col("tp_mult"), F.col("atr") * F.col("sl_mult")
+    s = s.add(lt=L.touch_high(e + tp_d, max_bars), ls=L.touch_low(e - sl_d, max_bars), st=L.touch_low(e - tp_d, max_bars), ss=L.touch_high(e + sl_d, max_bars))
+    entries = s.where(s.from_end >= max_bars + 1).select("entry_time", "entry_price", "atr", "timeout_close", "lt", "ls", "st", "ss")
+    t = tp_sl_prices(with_tp_sl(with_costs(signals, costs), targets).join(entries, ["symbol", "timeframe", "bar_ts"]))
+    tp, sl, long = F.col("tp_price"), F.col("sl_price"), F.col("direction") == "long"
+    t = t.withColumns({"_t": F.when(long, F.col("lt")).otherwise(F.col("st")), "_s": F.when(long, F.col("ls")).otherwise(F.col("ss")),
+                       "_dist": F.abs(F.col("entry_price") - sl)})
     t = t.withColumns({"position_size": div(F.lit(capital * risk), "_dist")})
     t = t.withColumn("notional", F.col("position_size") * F.col("entry_price"))
     t = t.where((F.col("_dist") >= F.col("entry_price") * 0.001) & (F.col("notional") <= capital * 10))
@@ -56,7 +51,7 @@ def barrier_trades(bars: DataFrame, signals: DataFrame, costs: DataFrame, target
         "gross_pnl": d * (F.col("exit_price") - F.col("entry_price")) * F.col("position_size"),
         "cost": F.col("commission") + F.col("slippage"),
         "pnl": d * (F.col("adjusted_exit") - F.col("adjusted_entry")) * F.col("position_size") - F.col("commission") - F.col("slippage")})
-    return t.drop("hi", "lo", "timeout_close", "_t", "_s", "_dist")
+    return t.drop("lt", "ls", "st", "ss", "timeout_close", "_t", "_s", "_dist")
 
 
 def threshold_sweep(trades: DataFrame, thresholds: Sequence[float], keys=("symbol", "timeframe"), capital: float = CAPITAL,
