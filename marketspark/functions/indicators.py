@@ -86,7 +86,8 @@ def typical() -> Column:
 
 
 def vwap(s: Series, n: int = 100) -> Series:
-    s = s.add(vwap=div(R.total(s, typical() * F.col("volume"), n), R.total(s, "volume", n)))
+    s = s.add(_tpv=typical() * F.col("volume"))
+    s = s.add(vwap=div(R.total(s, "_tpv", n), R.total(s, "volume", n)))
     return s.add(vwap_dist=div(F.col("close") - F.col("vwap"), F.col("close")))
 
 
@@ -135,7 +136,8 @@ def parkinson(s: Series, n: int = 20) -> Series:
     """Root of the mean of squared log ranges, and the mean of their roots."""
     lr = F.ln(div(F.col("high"), F.col("low")))
     k = 1 / (4 * math.log(2))
-    return s.add(parkinson_vol=F.sqrt(R.mean(s, lr * lr, n) * k), parkinson_mean=R.mean(s, F.sqrt(lr * lr * k), n))
+    s = s.add(_lr2=lr * lr, _lra=F.abs(lr) * (k ** 0.5))
+    return s.add(parkinson_vol=F.sqrt(R.mean(s, "_lr2", n) * k), parkinson_mean=R.mean(s, "_lra", n))
 
 
 def volume_features(s: Series) -> Series:

@@ -4,7 +4,8 @@ A plain ``Window.partitionBy(symbol, timeframe)`` puts a whole series into one t
 symbol that holds a third of all rows holds up the job. Here every series is cut into blocks of
 ``block`` consecutive rows. A block also receives the ``back`` rows before it and the ``fwd``
 rows after it (its halo), windows run inside ``(series, block)``, and only the block's own rows
-are returned. For frames that fit the halo the result equals the unblocked window exactly.
+are returned. For frames that fit the halo the result equals the unblocked window (long sums and means to
+about eleven digits, as they are differences of running sums).
 
 Row positions come from a count per (series, time bucket), which is tiny next to the rows:
 its running sum gives each bucket its position and the blocks that need it. So the rows
@@ -96,7 +97,7 @@ class Series:
         Columns are gathered and written level by level of dependency, not call by call, so a long
         chain of small steps becomes a few projections and as few window operators.
         """
-        s = self if self._names.isdisjoint(cols) else self._with(self.df)
+        s = self if self._names.isdisjoint(cols) else self._without_prefixes(cols)
         s = s._with(s._df, {k: dict(v) for k, v in s._pending.items()}, dict(s._level))
         for name, c in cols.items():
             used = [s._level[w] for w in set(_NAME.findall(str(c))) if w in s._level]
@@ -105,6 +106,19 @@ class Series:
         s._names = s._names | cols.keys()
         return s
 
+    def _without_prefixes(self, cols) -> Series:
+        """The series about to have columns replaced: running sums of the old values go."""
+        return self._with(self.df.drop(*(f"_c{k}_{c}" for c in cols for k in "sn")))
+
+    def ensure(self, **sql: str) -> None:
+        """Add helper columns, given as SQL text, to this very series unless it has them."""
+        new = {n: F.expr(t) for n, t in sql.items() if n not in self._names}
+        for name, c in new.items():
+            used = [self._level[w] for w in set(_NAME.findall(sql[name])) if w in self._level]
+            self._level[name] = 1 + max(used, default=0)
+            self._pending.setdefault(self._level[name], {})[name] = c
+        self._names = self._names | new.keys()
+
     @property
     def df(self) -> DataFrame:
         """The rows with every column added so far."""
