@@ -32,8 +32,9 @@ def clip(c: Column, lo: float, hi: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c)))
 
 
-#: from this many rows on, sums and means are differences of running sums: the same work per row for any window
-PREFIX_ROWS = 16
+#: from this many rows on, sums and means are differences of running sums: the same work per row for any window;
+#: short windows are summed afresh, which keeps ties between them exact
+PREFIX_ROWS = 40
 
 
 def _prefix(s: Series, c: str, n: int, end: int, need: int, fn: str) -> Column:
