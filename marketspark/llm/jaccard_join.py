@@ -5,11 +5,12 @@ shingle s1 (of all pivots {s} the nearest, with ties to the rarer). A document x
 d(x, x & y) = |x - y| / |x| <= r by monotonicity, so y holds one of the first |x| - ceil((1 - r) |x|) + 1 shingles of
 x: x is replicated into the regions of that window and meets every partner in one of them.
 
-Level two works inside regions that are not small. Documents of the region serve as pivots, all members are measured
-against them exactly, and members that are within r of a pivot fall into one component. A region whose members are one
-component is done: its other pairs cannot change the result. In the rest only pairs of different components remain,
-and by the triangle inequality only those with \\|d(x, p) - d(y, p)\\| <= r for every pivot p: members are dealt to rings
-of width r around the first pivot, replicated into the neighbouring rings, and joined there.
+Level two works inside regions that are not small. Documents of the region serve as pivots: all members are measured
+against them exactly, and those within r of a pivot fall into its component. A region whose members are one component
+is done, as its other pairs cannot change the result. In the rest, pairs of different components are left, and of these
+only such as the triangle inequality at a pivot, the sizes and the counts of shingles by cell allow (all of them lower
+bounds of the distance, so nothing is lost). They are measured nearest first, in rounds, so that components grow before
+the last round tries whatever is still open; large regions split into blocks that meet two at a time.
 """
 
 from __future__ import annotations
@@ -32,6 +33,12 @@ BITS = 22
 #: text whose shingles are counted together, and the count from which a shingle is common
 SPAN, COMMON = 16 << 20, 24
 _SALTS = 64
+#: shingles are also counted in 2**CELL_BITS cells; cell counts differ by no more than the sets do
+CELL_BITS = 7
+#: regions whose members are not yet one component: so many nearest partners for each member and round, at last all
+ROUNDS = (4, 16, None)
+#: members of a block of a region; blocks of large regions meet pairwise
+BLOCK = 2_000
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
@@ -73,14 +80,16 @@ def _measured(words: int, percent: int, common):
     def run(batches):
         table, met = common.value, set()
         for batch in slices(batches, "text"):
-            n, dig, win = [], [], []
+            n, dig, win, hist = [], [], [], []
             for s in _sets(batch, words):
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 n.append(len(s))
                 dig.append(d if len(s) else None)
                 if not len(s) or d in met:
                     win.append(None)
+                    hist.append(None)
                     continue
+                hist.append(np.minimum(np.bincount(s >> np.uint64(64 - CELL_BITS), minlength=1 << CELL_BITS), 255).astype(np.uint8).tobytes())
                 if len(met) >= 1 << 20:
                     met.clear()
                 met.add(d)
@@ -89,8 +98,8 @@ def _measured(words: int, percent: int, common):
                 often = (table[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & 1
                 rare = s[often == 0][:k]
                 win.append((rare if len(rare) == k else np.concatenate((rare, s[often == 1][:k - len(rare)]))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(win, pa.list_(pa.int64()))],
-                                             names=["row", "doc_id", "n", "dig", "window"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(win, pa.list_(pa.int64())), pa.array(hist, pa.binary())],
+                                             names=["row", "doc_id", "n", "dig", "window", "cells"])
     return run
 
 
@@ -176,21 +185,40 @@ def _compared(words: int):
     return run
 
 
-def compare(pairs: DataFrame, texts: DataFrame, words: int = WORDS, small: int = 500_000) -> DataFrame:
-    """(a, b, both, all): sizes of intersection and union of the sets of each pair of rows.
+def _far(percent: int):
+    """Pairs with what cell counts say: whether they may link, and a lower bound of their distance."""
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16) for k in ("cells_a", "cells_b"))
+            differ = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            may = differ * (100 + percent) <= (100 - percent) * both
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(may), pa.array(2 * differ / (both + differ))], names=["a", "b", "may", "low"])
+    return run
+
 
-    A pair carries the text of b; the text of a goes once to each of its salts that has pairs, so a pivot that a third
-    of all rows is measured against is spread.
+def compare(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT, small: int = 500_000) -> DataFrame:
+    """(a, b, both, all, low, high): each pair of rows with its sets' intersection and union, and its distance between.
+
+    Pairs that cell counts put beyond the radius need no look: their sizes stay null, ``low`` is the counts' bound and
+    ``high`` one. Other pairs carry the text of b; the text of a goes once to each of its salts that has pairs, so a pivot
+    that a third of all rows is measured against is spread.
     """
     n = shuffles(pairs.sparkSession)
-    p = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int"))
+    r = reps.select("ref", "n", "cells")
+    x = pairs.join(r.toDF("a", "n_a", "cells_a"), "a").join(r.toDF("b", "n_b", "cells_b"), "b")
+    x = stash(x.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(_far(percent), "a long, b long, may boolean, low double"), "bounded")
+    p = x.where("may").select("a", "b", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int").alias("salt"))
     t = texts.select("row", "text")
-    partners = p.join(t, p["b"] == t["row"]) if pairs.limit(small + 1).count() > small else t.join(F.broadcast(p), p["b"] == t["row"])
+    partners = t.join(bounded(p, small), p["b"] == t["row"])
     own = p.select("a", "salt").distinct()
-    heads = own.join(t, own["a"] == t["row"]) if own.limit(small + 1).count() > small else t.join(F.broadcast(own), own["a"] == t["row"])
+    heads = t.join(bounded(own, small), own["a"] == t["row"])
     rows = partners.select("a", "salt", "b", "text").union(heads.select("a", "salt", F.lit(None).cast("long"), "text"))
     rows = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.select("a", "b", "text").mapInArrow(_compared(words), "a long, b long, both long, all long")
+    y = rows.select("a", "b", "text").mapInArrow(_compared(words), "a long, b long, both long, all long")
+    d = 1 - F.col("both") / F.col("all")
+    far = x.where("NOT may").select("a", "b", F.lit(None).cast("long").alias("both"), F.lit(None).cast("long").alias("all"), "low", F.lit(1.0).alias("high"))
+    return stash(y.select("a", "b", "both", "all", d.alias("low"), d.alias("high")).union(far), "measured")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -202,49 +230,100 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[D
     sets, enough of them to join every component; others inside a component need not be there.
 
     Null text has no words. Repeated rows share a ref; an empty table gives empty results. ``row`` is any distinct
-    number, the same at every reading. Nothing is sampled or capped: a region of any size streams through, and its
-    members are measured against pivots, not with each other.
+    number, the same at every reading. Nothing is sampled or capped: a region of any size streams through, its
+    members are measured against its pivots, and what these leave open is tried in rounds until nothing is.
     """
     spark, n = docs.sparkSession, shuffles(docs.sparkSession)
     common = spark.sparkContext.broadcast(common_shingles(docs, words))
-    sets = stash(docs.select("row", "doc_id", "text").mapInArrow(_measured(words, percent, common), "row long, doc_id long, n long, dig binary, window array<long>"), "sets")
-    first = sets.where("window IS NOT NULL").groupBy("dig").agg(F.min(F.struct("row", "n", "window")).alias("m"))
-    index = first.select(F.col("m.row").alias("ref"), F.col("m.n").alias("n"), F.explode("m.window").alias("s"))
-    index = index.repartition(n, "s").sortWithinPartitions("s", F.xxhash64("ref")).select("s", "ref", "n")
+    sets = stash(docs.select("row", "doc_id", "text").mapInArrow(_measured(words, percent, common), "row long, doc_id long, n long, dig binary, window array<long>, cells binary"), "sets")
+    first = sets.where("window IS NOT NULL").groupBy("dig").agg(F.min(F.struct("row", "n", "window", "cells")).alias("m"))
+    reps = stash(first.select(F.col("m.row").alias("ref"), F.col("m.n").alias("n"), F.col("m.window").alias("window"), F.col("m.cells").alias("cells")), "refs")
+    index = reps.select("ref", "n", F.explode("window").alias("s")).repartition(n, "s").sortWithinPartitions("s", F.xxhash64("ref")).select("s", "ref", "n")
     met = stash(index.mapInArrow(_met(percent, SMALL, PIVOTS), "a long, b long, s long, n long"), "regions")
-    tried = met.where("a IS NOT NULL").select("a", "b").distinct()
-    measured = stash(compare(stash(tried, "pairs"), docs, words), "measured")
-    near = F.col("both") * 100 >= F.col("all") * percent
     members = met.where("s IS NOT NULL").select("s", F.col("b").alias("ref"), "n")
+    measured = compare(stash(met.where("a IS NOT NULL").select("a", "b").distinct(), "pairs"), reps, docs, words, percent)
+    near = F.col("both") * 100 >= F.col("all") * percent
     lab = components(measured.where(near))
-    more = _rest(members, measured, lab, percent)
-    if more is not None:
-        measured = measured.union(stash(compare(more, docs, words), "measured"))
+    for most in ROUNDS:
+        pairs = _block_pairs(_open(members, lab), reps, measured, percent, most).join(measured, ["a", "b"], "left_anti")
+        measured = measured.union(compare(stash(pairs, "pairs"), reps, docs, words, percent))
         lab = components(measured.where(near))
     refs = sets.where("dig IS NOT NULL").groupBy("dig").agg(F.min("row").alias("ref"))
     refs = refs.join(lab.withColumnRenamed("node", "ref"), "ref", "left").select("dig", "ref", F.coalesce("comp", "ref").alias("component"))
     classes = sets.select("row", "doc_id", F.col("n").alias("n_shingles"), "dig").join(refs, "dig", "left")
-    return classes.select("row", "doc_id", "n_shingles", F.coalesce("ref", "row").alias("ref"), F.coalesce("component", "row").alias("component")), measured.where(near)
-
-
-def _rest(members: DataFrame, measured: DataFrame, lab: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs of regions that are not small which may still link two components; None if there are none."""
-    m = members.join(lab.withColumnRenamed("node", "ref"), "ref", "left").select("s", "ref", "n", F.coalesce("comp", "ref").alias("comp"))
-    mixed = m.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("ref").alias("h"), "ref")).alias("p")).where("lo < hi").select("s", F.col("p.ref").alias("p"))
-    m = m.join(mixed, "s")
-    d = measured.select("a", "b", (1 - F.col("both") / F.col("all")).alias("d"))
-    d = d.union(d.select("b", "a", "d")).toDF("p", "ref", "d")
-    # a pair that the sizes rule out was not measured: it is farther than its sizes say, and has no ring
-    m = stash(m.join(d, ["p", "ref"], "left").withColumn("d", F.when(F.col("p") == F.col("ref"), 0.0).otherwise(F.col("d"))), "mixed")
-    r = 1 - percent / 100
-    ring = F.floor(F.col("d") / F.lit(r) - F.lit(1e-9)).cast("int")
-    x = m.select("s", F.coalesce(ring, F.lit(-9)).alias("ring"), "ref", "n", "comp", "d")
-    # unmeasured members may link with any ring; those are few sizes away from the pivot's
-    rings = F.when(F.col("d").isNull(), F.sequence(F.lit(-9), F.lit(int(1 / r) + 1))).otherwise(F.array(F.lit(-9), ring - 1, ring, ring + 1))
-    y = m.select("s", F.explode(F.array_distinct(rings)).alias("ring"), F.col("ref").alias("ref2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("d").alias("d2"))
-    z = x.join(y, ["s", "ring"]).where((F.col("comp") != F.col("comp2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.abs(F.coalesce(F.col("d") - F.col("d2"), F.lit(0.0))) <= r + 1e-9))
-    pairs = stash(z.select(F.least("ref", "ref2").alias("a"), F.greatest("ref", "ref2").alias("b")).distinct().join(measured, ["a", "b"], "left_anti"), "pairs")
-    return pairs if pairs.limit(1).count() else None
+    return classes.select("row", "doc_id", "n_shingles", F.coalesce("ref", "row").alias("ref"), F.coalesce("component", "row").alias("component")), measured.where(near).select("a", "b", "both", "all")
+
+
+def _open(members: DataFrame, lab: DataFrame) -> DataFrame:
+    """Members (s, ref, n, comp) of the regions that still hold more than one component."""
+    m = members.select("s", "ref", "n").join(lab.withColumnRenamed("node", "ref"), "ref", "left").select("s", "ref", "n", F.coalesce("comp", "ref").alias("comp"))
+    mixed = m.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
+    return stash(m.join(mixed, "s"), "open")
+
+
+def _candidates(percent: int, most: int | None):
+    """Pairs that may link, from rows sorted by (s, lo, hi): of different components, near enough by sizes, by cell
+    counts and by the triangle inequality at the region's pivot; of each member the ``most`` nearest by cell counts."""
+    r = 1 - percent / 100 + 1e-9
+    names = ("ref", "n", "comp", "block", "low", "high")
+
+    def tried(key, rows) -> list[tuple[int, int]]:
+        ref, n, comp, block, low, high = (np.concatenate([x[k] for x in rows]) for k in names)
+        cells = np.concatenate([x["cells"] for x in rows])
+        out = []
+        for i in range(len(ref) - 1):
+            z = slice(i + 1, None)
+            ok = (comp[z] != comp[i]) & (np.minimum(n[z], n[i]) * 100 >= percent * np.maximum(n[z], n[i])) & (low[z] - high[i] <= r) & (low[i] - high[z] <= r)
+            if key[1] != key[2]:
+                ok &= block[z] != block[i]
+            j = np.flatnonzero(ok) + i + 1
+            differ = (np.maximum(cells[j], cells[i]) - np.minimum(cells[j], cells[i])).sum(axis=1, dtype=np.int64)
+            may = differ * (100 + percent) <= (100 - percent) * (n[j] + n[i])
+            j, differ = j[may], differ[may]
+            if most is not None and len(j) > most:
+                j = j[np.argpartition(differ, most)[:most]]
+            out += [(min(int(ref[i]), int(x)), max(int(ref[i]), int(x))) for x in ref[j]]
+        return out
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            cols = {k: batch.column(k).to_numpy() for k in ("s", "lo", "hi", *names)}
+            cols["cells"] = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            keys = np.stack([cols[k] for k in ("s", "lo", "hi")], axis=1)
+            cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            out = []
+            for i, j in zip(cut, cut[1:]):
+                if j > i:
+                    key = tuple(keys[i].tolist())
+                    if key != now:
+                        out += tried(now, held) if held else []
+                        now, held = key, []
+                    held.append({k: cols[k][i:j] for k in (*names, "cells")})
+            yield _pairs(out)
+        yield _pairs(tried(now, held) if held else [])
+    return run
+
+
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*set(rows))) or [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+
+def _block_pairs(m: DataFrame, reps: DataFrame, measured: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """(a, b): pairs of open regions that may link. A region is one block, or blocks that meet two at a time, each
+    meeting in a task of its own; only pairs that pass every test leave it."""
+    n = shuffles(m.sparkSession)
+    first = m.groupBy("s").agg(F.min(F.struct(F.xxhash64("ref").alias("h"), "ref")).alias("p"), F.count("*").alias("k"))
+    first = first.select("s", F.col("p.ref").alias("p"), F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    d = measured.select("a", "b", "low", "high")
+    d = d.union(d.select("b", "a", "low", "high")).toDF("p", "ref", "low", "high")
+    own = F.col("p") == F.col("ref")
+    x = m.join(first, "s").join(d, ["p", "ref"], "left").withColumns({"low": F.when(own, 0.0).otherwise(F.coalesce("low", F.lit(0.0))), "high": F.when(own, 0.0).otherwise(F.coalesce("high", F.lit(1.0)))})
+    x = x.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "ref"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.select("s", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "ref", "n", "comp", "block", "low", "high").join(reps.select("ref", "cells"), "ref")
+    x = x.repartition(n, "s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
+    return x.mapInArrow(_candidates(percent, most), "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
