@@ -32,31 +32,9 @@ def clip(c: Column, lo: float, hi: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c)))
 
 
-#: from this many rows on, sums and means are differences of running sums: the same work per row for any window;
-#: short windows are summed afresh, which keeps ties between them exact
-PREFIX_ROWS = 40
-
-
-def _prefix(s: Series, c: str, n: int, end: int, need: int, fn: str) -> Column:
-    """Sum or mean of ``n`` rows as the difference of two running sums inside the block.
-
-    A block is short (its rows and halo), so a double keeps about eleven digits of the difference.
-    """
-    run = f"{s.over().removesuffix(')')} ROWS UNBOUNDED PRECEDING)"
-    s.ensure(**{f"_cs_{c}": f"sum(`{c}`) {run}", f"_cn_{c}": f"count(`{c}`) {run}"})
-
-    def part(name: str) -> str:
-        at = lambda k: f"`{name}`" if k == 0 else f"lag(`{name}`, {k}) {s.over()}"
-        return f"(coalesce({at(-end)}, 0) - coalesce({at(n - end)}, 0))"
-    total_, rows = part(f"_cs_{c}"), part(f"_cn_{c}")
-    return F.expr(f"CASE WHEN {rows} >= {need} THEN {total_}{f' / {rows}' if fn == 'avg' else ''} END")
-
-
 def _full(s: Series, c: Column | str, n: int, end: int, min_rows: int | None, fn: str, more: str = "") -> Column:
     """``fn`` over the ``n`` rows up to ``end``, null until enough of them hold a value."""
     need = n if min_rows is None else min_rows
-    if isinstance(c, str) and fn in ("avg", "sum") and n >= PREFIX_ROWS:
-        return _prefix(s, c, n, end, max(need, 1), fn)
     if isinstance(c, str):
         o = s.over(end - n + 1, end)
         return F.expr(f"CASE WHEN count(`{c}`) {o} >= {need} THEN {fn}(`{c}`{more}) {o} END")

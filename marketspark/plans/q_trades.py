@@ -340,10 +340,10 @@ def sc_5(spark, sf):
 
 
 @query("sc_6_vote_performance_weighted", sql_vote("coalesce(win_rate / 100, 0.5) * confidence", "sp").format(extra=f"""{T},
- wr AS (SELECT symbol, timeframe AS model, count(*) FILTER (pnl > 0) * 100.0 / count(*) AS win_rate FROM trades WHERE timeframe <> '30T' GROUP BY ALL),
+ wr AS (SELECT symbol, timeframe AS model, count(*) FILTER (pnl > 0) * 100.0 / count(*) AS win_rate FROM trades GROUP BY ALL),
  sp AS (SELECT sig.*, win_rate FROM sig LEFT JOIN wr USING (symbol, model)), """))
 def sc_6(spark, sf):
-    wr = (I.trades(spark, sf).where(F.col("timeframe") != "30T").groupBy("symbol", F.col("timeframe").alias("model"))
+    wr = (I.trades(spark, sf).groupBy("symbol", F.col("timeframe").alias("model"))
           .agg((F.count_if(F.col("pnl") > 0) * 100.0 / F.count("*")).alias("win_rate")))
     return rnd(SC.vote_performance_weighted(signals(spark, sf), wr), "symbol", "bar_ts", "num_models", "signal", d="confidence edge")
 
@@ -423,7 +423,7 @@ def sz_4(spark, sf):
  abs({q.lead('open')} - close) / close AS gp FROM bars) SELECT symbol, bar_ts, coalesce(weekend_gap, false) AS weekend_gap,
  {q.r6('CASE WHEN weekend_gap THEN gp ELSE 0 END')} AS gap_pct, {q.r6('''greatest(0.8, least(5, CASE WHEN hour(bar_ts) >= 22 OR hour(bar_ts) < 2 THEN 1.5 ELSE 1 END
  * CASE WHEN hour(bar_ts) >= 13 AND hour(bar_ts) < 17 THEN 0.8 ELSE 1 END * CASE WHEN atr / entry_price > 0.01 THEN 1 + (atr / entry_price - 0.01) * 20 ELSE 1 END))''')} AS spread_multiplier,
- {q.r6('s * entry_price * (50000 * 0.5 / 100000 / volume / 10000)')} AS market_impact FROM g JOIN ent2 USING (symbol, bar_ts)""")
+ {q.r6('s * entry_price * (50000 * 0.5 / 100000 / volume / 10000)', 9)} AS market_impact FROM g JOIN ent2 USING (symbol, bar_ts)""")
 def sz_5(spark, sf):
     s = ind.atr(blocked(I.bars(spark, sf), back=20, fwd=2), 14)
     nxt = s.lead("bar_ts")
@@ -433,7 +433,9 @@ def sz_5(spark, sf):
     s = s.add(gap_pct=F.when(F.col("weekend_gap"), F.col("_g")).otherwise(0.0),
               spread_multiplier=SZ.spread_multiplier(F.hour("bar_ts"), F.col("atr14_pct")),
               market_impact=SZ.market_impact(F.lit(50000.0), F.col("close"), F.col("volume")))
-    return rnd(s.rows().where("atr14 IS NOT NULL"), "symbol", "bar_ts", "weekend_gap", d="gap_pct spread_multiplier market_impact")
+    # nine digits: at six, exact values lie on ties that engines round either way
+    rows = s.rows().where("atr14 IS NOT NULL").withColumn("market_impact", F.round("market_impact", 9))
+    return rnd(rows, "symbol", "bar_ts", "weekend_gap", "market_impact", d="gap_pct spread_multiplier")
 
 
 @query("sz_6_pip_spread_to_price", f"""WITH {ENTRY} SELECT symbol, bar_ts, {q.r6('spread_pips * coalesce(spread_pip, 0.0001)', 8)} AS spread FROM ent2 LEFT JOIN pips USING (symbol)""")
@@ -623,7 +625,7 @@ SCEN = values("scen", "cost_scenario, position_scenario, com, slip, cap",
               [(c, p, a, b, cap) for c, (a, b) in TR.COST_SCENARIOS.items() for p, cap in TR.POSITION_SCENARIOS.items()])
 
 
-@query("tr_3_compound_equity", f"""WITH {OUTCOMES}, {SCEN}, r1 AS (SELECT o.*, scen.*, least(0.02 * entry_price / (entry_price - sl_price), cap) AS val FROM outc o, scen WHERE entry_price > sl_price AND volume >= 5),
+@query("tr_3_compound_equity", f"""WITH {OUTCOMES}, {SCEN}, r1 AS (SELECT o.*, scen.*, least(0.02 * entry_price / (entry_price - sl_price), cap) AS val FROM outc o, scen WHERE entry_price > sl_price),
 r2 AS (SELECT *, 1 + val * ((CASE WHEN target = 1 THEN tp_price ELSE sl_price END - entry_price) / entry_price - com * 0.00001 - slip * 0.000005) AS f FROM r1),
 r3 AS (SELECT *, product(f) OVER (PARTITION BY symbol, cost_scenario, position_scenario ORDER BY bar_ts ROWS UNBOUNDED PRECEDING) AS growth FROM r2),
 r4 AS (SELECT *, greatest(1, max(growth) OVER (PARTITION BY symbol, cost_scenario, position_scenario ORDER BY bar_ts ROWS UNBOUNDED PRECEDING)) AS pk FROM r3),
@@ -635,7 +637,7 @@ h AS (SELECT *, coalesce(w / nullif(trades, 0), 0) AS win_rate, (fin - 1) * 100
 SELECT symbol, cost_scenario, position_scenario, trades, stopped, {q.r6('win_rate')} AS win_rate, {q.r6('ret')} AS total_return_pct, {q.r6('dd')} AS max_drawdown_pct, {q.r6('pf')} AS profit_factor,
  ret > 10 AND dd < 6 AND pf > 1.5 AS viable FROM h""")
 def tr_3(spark, sf):
-    df = TR.compound_equity(outcomes(spark, sf).where("volume >= 5"))
+    df = TR.compound_equity(outcomes(spark, sf))
     return rnd(df, "symbol", "cost_scenario", "position_scenario", "trades", "stopped", "viable", d="win_rate total_return_pct max_drawdown_pct profit_factor")
 
 

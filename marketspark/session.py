@@ -25,10 +25,17 @@ def build_session(app: str = "marketspark", master: str | None = None, **conf: s
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; one of our own only where it names none."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it names none, a single machine (``local[...]``, as in tests) gets a temporary one; on a cluster that is an
+    error, as executors would each write to a disk of their own.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ms-ckpt-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="ms-ckpt-"))
     return sc.getCheckpointDir()
 
 
