@@ -99,24 +99,21 @@ def fit(rows: DataFrame, alpha: float = 1.0, least: int = 3, ratio: float = 1.0,
         return Model(np.zeros(width, np.float32), 4.0 if mass.get(1) else -4.0)
 
     counts = x.select("label", F.explode("features").alias("f")).groupBy("f").agg(F.sum("label").alias("p"), F.count("*").alias("n")).where(F.col("n") >= least)
+    log = lambda n, of: F.log((n + alpha) / (of + 2 * alpha))
+    r = counts.select("f", (log(F.col("p"), mass[1]) - log(F.col("n") - F.col("p"), mass[0])).alias("r"))
     # at most 2**BITS rows, by the hash's width
-    t = counts.select("f", F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double").alias("q")).toArrow()
-    f, p, q = (t.column(k).to_numpy() for k in ("f", "p", "q"))
-    r = np.zeros(width)
-    r[f] = np.log((p + alpha) / (mass[1] + 2 * alpha)) - np.log((q + alpha) / (mass[0] + 2 * alpha))
-    r[np.abs(r) < ratio] = 0.0
-    scale = r.astype(np.float32)
+    t = r.where(F.abs("r") >= ratio).orderBy("f").toArrow()
+    known, scale = t.column("f").to_numpy(), t.column("r").to_numpy()
 
     @F.udf(VectorUDT())
     def scaled(features):
-        at = np.asarray(features, np.int64)
-        v = scale[at]
-        return Vectors.sparse(width, at[v != 0], v[v != 0].astype(float))
+        at = np.flatnonzero(np.isin(known, np.asarray(features), assume_unique=True))
+        return Vectors.sparse(len(known), at, scale[at])
     data = stash(x.select(F.col("label").cast("double").alias("label"), scaled("features").alias("features")), "toxic-scaled")
     model = LogisticRegression(maxIter=rounds, regParam=c, elasticNetParam=0.0, standardization=False).fit(data)
-    w = np.zeros(width)
-    w[:] = model.coefficients.toArray()
-    return Model((w * r).astype(np.float32), float(model.intercept))
+    w = np.zeros(width, np.float32)
+    w[known] = scale * model.coefficients.toArray()
+    return Model(w, float(model.intercept))
 
 
 def _scores(batch: pa.RecordBatch, text: str, w: np.ndarray, bias: float) -> np.ndarray:
