@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry  # noqa: E402
 from check import TABLES, compare  # noqa: E402
+from marketspark.plans import load  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SOME = """bar_1_ticks_to_bars bar_3_resample_bars win_3_rolling_quantile win_14_running win_18_max_consecutive ind_5_macd ind_8_vwap ta_12_three_bar_candles
@@ -29,7 +30,8 @@ def con():
 def test_registry_is_consistent():
     q, s = entry.queries(), entry.oracle_sql()
     assert set(s) <= set(q) and len(q) > 200
-    assert {k for k in q if k not in s} == {"mt_9_block_bootstrap", "ml_2_robust_scaling", "ml_3_logistic", "ml_3_forest", "ml_3_boosted", "ml_4_stacking", "ml_5_walk_forward_evaluation",
+    assert set(load()[0]) <= set(q)
+    assert {k for k in load()[0] if k not in s} == {"mt_9_block_bootstrap", "ml_2_robust_scaling", "ml_3_logistic", "ml_3_forest", "ml_3_boosted", "ml_4_stacking", "ml_5_walk_forward_evaluation",
                                             "ml_6_batch_scoring", "fsl_6_select_by_importance"}
 
 
