@@ -33,8 +33,9 @@ BITS = 22
 #: text whose shingles are counted together, and the count from which a shingle is common
 SPAN, COMMON = 16 << 20, 24
 _SALTS = 64
-#: shingles are also counted in 2**CELL_BITS cells; cell counts differ by no more than the sets do
-CELL_BITS = 7
+#: shingles are also counted in cells by their leading bits; cell counts differ by no more than the sets do. A set has
+#: 2**CELL_BITS[0] cells at least and 2**CELL_BITS[1] at most, in between so many that a cell has CELL_FILL on average
+CELL_BITS, CELL_FILL = (7, 13), 4
 #: regions whose members are not yet one component: so many nearest partners for each member and round, at last all
 ROUNDS = (4, 16, None)
 #: members of a block of a region; blocks of large regions meet pairwise
@@ -75,6 +76,50 @@ def common_shingles(docs: DataFrame, words: int = WORDS, least: int = COMMON) ->
     return table
 
 
+def _cells(s: np.ndarray) -> bytes:
+    bits = min(max((len(s) // CELL_FILL).bit_length(), CELL_BITS[0]), CELL_BITS[1])
+    return np.minimum(np.bincount(s >> np.uint64(64 - bits), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _folded(counts: np.ndarray, width: int) -> np.ndarray:
+    """Rows of cell counts in ``width`` wider cells, as if they had been counted there."""
+    if counts.shape[1] == width:
+        return counts
+    return np.minimum(counts.reshape(len(counts), width, -1).sum(axis=2, dtype=np.int64), 255).astype(np.uint8)
+
+
+class _Cells:
+    """Cell counts of many sets; two sets compare by the cells of the coarser."""
+
+    def __init__(self, cells: list[bytes]):
+        self.width = np.array([len(c) for c in cells], np.int64)
+        self.rows = {w: np.flatnonzero(self.width == w) for w in np.unique(self.width).tolist()}
+        self.own = {w: np.frombuffer(b"".join(cells[i] for i in at.tolist()), np.uint8).reshape(len(at), w) for w, at in self.rows.items()}
+        self.at, self.table = {}, {}
+
+    def counts(self, i, width: int) -> np.ndarray:
+        """Of the sets ``i``, all with at least so many cells."""
+        if width not in self.table:
+            wide = [w for w in self.rows if w >= width]
+            self.at[width] = np.zeros(len(self.width), np.int64)
+            self.at[width][np.concatenate([self.rows[w] for w in wide])] = np.arange(sum(len(self.rows[w]) for w in wide))
+            self.table[width] = np.concatenate([_folded(self.own[w], width) for w in wide])
+        return self.table[width][self.at[width][i]]
+
+    def differ(self, i: int, j: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``j`` whose counts differ from those of ``i`` by ``most`` at most, and by how much."""
+        def apart(j, w):
+            x, y = self.counts(j, w), self.counts([i], w)
+            return (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+        low = 1 << CELL_BITS[0]
+        found = apart(j, low)
+        j, most, found = (x[found <= most] for x in (j, most, found))
+        common = np.minimum(self.width[j], self.width[i])
+        for w in np.unique(common[common > low]).tolist():
+            found[common == w] = apart(j[common == w], w)
+        return j[found <= most], found[found <= most]
+
+
 def _measured(words: int, percent: int, common):
     """Each row's set: size, digest and window of pivots; equal sets of one task show their window once."""
     def run(batches):
@@ -89,7 +134,7 @@ def _measured(words: int, percent: int, common):
                     win.append(None)
                     hist.append(None)
                     continue
-                hist.append(np.minimum(np.bincount(s >> np.uint64(64 - CELL_BITS), minlength=1 << CELL_BITS), 255).astype(np.uint8).tobytes())
+                hist.append(_cells(s))
                 if len(met) >= 1 << 20:
                     met.clear()
                 met.add(d)
@@ -188,9 +233,13 @@ def _compared(words: int):
 def _far(percent: int):
     """Pairs with what cell counts say: whether they may link, and a lower bound of their distance."""
     def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16) for k in ("cells_a", "cells_b"))
-            differ = np.abs(x - y).sum(axis=1, dtype=np.int64)
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            x, y = (_Cells(batch.column(k).to_pylist()) for k in ("cells_a", "cells_b"))
+            common, differ = np.minimum(x.width, y.width), np.zeros(batch.num_rows, np.int64)
+            for w in np.unique(common).tolist():
+                at = np.flatnonzero(common == w)
+                p, q = x.counts(at, w), y.counts(at, w)
+                differ[at] = (np.maximum(p, q) - np.minimum(p, q)).sum(axis=1, dtype=np.int64)
             both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             may = differ * (100 + percent) <= (100 - percent) * both
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(may), pa.array(2 * differ / (both + differ))], names=["a", "b", "may", "low"])
@@ -269,7 +318,7 @@ def _candidates(percent: int, most: int | None):
 
     def tried(key, rows) -> list[tuple[int, int]]:
         ref, n, comp, block, low, high = (np.concatenate([x[k] for x in rows]) for k in names)
-        cells = np.concatenate([x["cells"] for x in rows])
+        cells = _Cells([c for x in rows for c in x["cells"]])
         out = []
         for i in range(len(ref) - 1):
             z = slice(i + 1, None)
@@ -277,9 +326,9 @@ def _candidates(percent: int, most: int | None):
             if key[1] != key[2]:
                 ok &= block[z] != block[i]
             j = np.flatnonzero(ok) + i + 1
-            differ = (np.maximum(cells[j], cells[i]) - np.minimum(cells[j], cells[i])).sum(axis=1, dtype=np.int64)
-            may = differ * (100 + percent) <= (100 - percent) * (n[j] + n[i])
-            j, differ = j[may], differ[may]
+            if not len(j):
+                continue
+            j, differ = cells.differ(i, j, (100 - percent) * (n[j] + n[i]) // (100 + percent))
             if most is not None and len(j) > most:
                 j = j[np.argpartition(differ, most)[:most]]
             out += [(min(int(ref[i]), int(x)), max(int(ref[i]), int(x))) for x in ref[j]]
@@ -289,7 +338,7 @@ def _candidates(percent: int, most: int | None):
         now, held = None, []
         for batch in batches:
             cols = {k: batch.column(k).to_numpy() for k in ("s", "lo", "hi", *names)}
-            cols["cells"] = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            cols["cells"] = batch.column("cells").to_pylist()
             keys = np.stack([cols[k] for k in ("s", "lo", "hi")], axis=1)
             cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             out = []

@@ -109,6 +109,28 @@ def test_jaccard_blocks_and_empty(spark, monkeypatch):
     assert jaccard_join.linked(d.limit(0)).collect() == []
 
 
+def test_cell_counts_bound_the_difference():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (1, 5, 400, 511, 512, 640, 3_000, 40_000):
+        base = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        sets.append(base)
+        for share in (0.05, 0.1, 0.3):  # near and far copies, some smaller than the next number of cells asks for
+            sets.append(np.unique(base[rng.random(len(base)) >= share]))
+            sets.append(np.union1d(sets[-1], rng.integers(0, 1 << 64, int(n * share), dtype=np.uint64)))
+    sets.append(np.arange(2_000, dtype=np.uint64))  # all in one cell, past the largest count
+    sets.append(np.arange(1_900, dtype=np.uint64))
+    cells = jaccard_join._Cells([jaccard_join._cells(s) for s in sets])
+    assert len(set(cells.width.tolist())) > 4
+    everything = np.arange(len(sets))
+    for i, s in enumerate(sets):
+        true = np.array([len(np.setxor1d(s, o)) for o in sets])
+        j, differ = cells.differ(i, everything, true)
+        assert j.tolist() == everything.tolist() and (differ <= true).all()
+        none, _ = cells.differ(i, everything, differ - 1)
+        assert len(none) == 0
+
+
 def test_trie_dedup(spark, docs):
     for budget in (trie_dedup.BUDGET, 3000):
         got = trie_dedup.dedup(row_docs(docs), budget).collect()
