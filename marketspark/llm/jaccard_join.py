@@ -289,7 +289,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[D
     reps = stash(first.select(F.col("m.row").alias("ref"), F.col("m.n").alias("n"), F.col("m.window").alias("window"), F.col("m.cells").alias("cells")), "refs")
     index = reps.select("ref", "n", F.explode("window").alias("s")).repartition(n, "s").sortWithinPartitions("s", F.xxhash64("ref")).select("s", "ref", "n")
     met = stash(index.mapInArrow(_met(percent, SMALL, PIVOTS), "a long, b long, s long, n long"), "regions")
-    members = met.where("s IS NOT NULL").select("s", F.col("b").alias("ref"), "n")
+    members = _unlike(met.where("s IS NOT NULL").select("s", F.col("b").alias("ref"), "n"))
     measured = compare(stash(met.where("a IS NOT NULL").select("a", "b").distinct(), "pairs"), reps, docs, words, percent)
     near = F.col("both") * 100 >= F.col("all") * percent
     lab = components(measured.where(near))
@@ -303,6 +303,17 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[D
     return classes.select("row", "doc_id", "n_shingles", F.coalesce("ref", "row").alias("ref"), F.coalesce("component", "row").alias("component")), measured.where(near).select("a", "b", "both", "all")
 
 
+def _unlike(members: DataFrame) -> DataFrame:
+    """Members (s, ref, n) of one region for each set of members: the others would try the same pairs again.
+
+    Documents that share a passage meet in every region of its shingles. Sets compare by size and two 64-bit digests.
+    """
+    digests = (F.bit_xor(F.xxhash64(F.lit(k), "ref")).alias(f"d{k}") for k in (1, 2))
+    sets = members.groupBy("s").agg(F.count("*").alias("k"), *digests)
+    one = sets.groupBy("k", "d1", "d2").agg(F.min("s").alias("s")).select("s")
+    return stash(members.join(one, "s", "left_semi"), "members")
+
+
 def _open(members: DataFrame, lab: DataFrame) -> DataFrame:
     """Members (s, ref, n, comp) of the regions that still hold more than one component."""
     m = members.select("s", "ref", "n").join(lab.withColumnRenamed("node", "ref"), "ref", "left").select("s", "ref", "n", F.coalesce("comp", "ref").alias("comp"))
