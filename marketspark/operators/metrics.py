@@ -19,47 +19,57 @@ CAPITAL = 100000.0
 
 
 def max_drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, bucket: Column | None = None,
-                 start: float | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+                 start: float | None = None, sums: dict[str, Column] | None = None, spread: Column | None = None) -> DataFrame:
     """Largest fall of the running sum from its running maximum, one row per key.
 
     ``start`` lets the maximum begin at a value (0 for the account itself) instead of the first sum.
-    ``sums`` are further totals per key, taken in the same pass.
+    ``sums`` are further totals per key, taken in the same pass, and ``spread`` a value whose mean and population
+    deviation are (``mean``, ``deviation``): each bucket's own deviation and its distance from the mean of all, so that
+    a large mean costs no digits.
     """
     keys, sums = list(keys), sums or {}
+    sums = {**sums, **({} if spread is None else {"_x": spread.cast("double")})}
     w = Window.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = df.select(*keys, *order, value.alias("_v"), (day_of(order[0]) if bucket is None else bucket).alias("_bkt"), *(c.alias(n) for n, c in sums.items()))
     rows = rows.withColumn("_s", F.sum("_v").over(w)).withColumn("_p", F.max("_s").over(w))
     b = rows.groupBy(*keys, "_bkt").agg(F.sum("_v").alias("_t"), F.max("_s").alias("_hi"), F.min("_s").alias("_lo"),
-                                        F.max(F.col("_p") - F.col("_s")).alias("_dd"), *(F.sum(n).alias(n) for n in sums))
+                                        F.max(F.col("_p") - F.col("_s")).alias("_dd"), *(F.sum(n).alias(n) for n in sums),
+                                        *(() if spread is None else (F.count("_x").alias("_xn"), F.avg("_x").alias("_xm"), F.var_pop("_x").alias("_xv"))))
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0.0)))
     b = b.withColumn("_peak", F.max(F.col("_off") + F.col("_hi")).over(before))
     if start is not None:
         b = b.withColumn("_peak", F.greatest(F.col("_peak"), F.lit(start)))
     fall = F.greatest(F.col("_dd"), F.col("_peak") - F.col("_off") - F.col("_lo"))
-    return b.groupBy(*keys).agg(F.max(fall).alias("max_drawdown"), *(F.sum(n).alias(n) for n in sums))
+    more = ()
+    if spread is not None:
+        key = Window.partitionBy(*keys)
+        b = b.withColumn("_mean", F.try_divide(F.sum(F.col("_xn") * F.col("_xm")).over(key), F.sum("_xn").over(key)))
+        square = F.sum(F.col("_xn") * (F.col("_xv") + F.pow(F.col("_xm") - F.col("_mean"), 2)))
+        more = (F.max("_mean").alias("mean"), F.sqrt(F.try_divide(square, F.sum("_xn"))).alias("deviation"))
+    return b.groupBy(*keys).agg(F.max(fall).alias("max_drawdown"), *(F.sum(n).alias(n) for n in sums if n != "_x"), *more)
 
 
 def trade_metrics(trades: DataFrame, keys: Sequence[str] = ("symbol", "timeframe"),
                   order: Sequence[str] = ("exit_time", "trade_id"), pnl: str = "pnl", capital: float = CAPITAL,
-                  bucket: Column | None = None) -> DataFrame:
+                  bucket: Column | None = None, returns: str = "return_pct") -> DataFrame:
     """Counts, profit factor (gross profit when nothing was lost), win rate, Sharpe per trade, drawdown, expectancy.
 
+    Sharpe is of the trades' own ``returns``; trades without that column are measured by ``pnl``.
     One pass: every figure is a sum over trades, taken with the drawdown's buckets.
     """
     p = F.col(pnl)
     win, loss = p > 0, p < 0
-    m = max_drawdown(trades, keys, order, p, bucket, sums={
+    m = max_drawdown(trades, keys, order, p, bucket, spread=F.col(returns) if returns in trades.columns else p, sums={
         "total_trades": F.lit(1), "win_count": win.cast("int"), "loss_count": loss.cast("int"), "_gp": F.when(win, p).otherwise(0.0),
-        "_gl": F.when(loss, -p).otherwise(0.0), "_net": p, "_sq": p * p})
+        "_gl": F.when(loss, -p).otherwise(0.0), "_net": p})
     n, c = F.col("total_trades"), F.col
-    mean = c("_net") / n
-    sd = F.sqrt(F.greatest(c("_sq") / n - mean * mean, F.lit(0.0)))
+    mean, sd = c("mean"), c("deviation")
     m = m.withColumns({"win_rate": c("win_count") * 100.0 / n, "avg_win": F.coalesce(div("_gp", "win_count"), F.lit(0.0)),
                        "avg_loss": F.coalesce(div("_gl", "loss_count"), F.lit(0.0))})
     return m.select(
         *keys, "total_trades", "win_count", "loss_count", F.when(c("_gl") > 0, c("_gp") / c("_gl")).otherwise(c("_gp")).alias("profit_factor"),
-        "win_rate", F.coalesce(F.when(sd > 1e-9, mean / sd), F.lit(0.0)).alias("sharpe_ratio"),
+        "win_rate", F.coalesce(F.when(sd > F.abs(mean) * 1e-14, mean / sd), F.lit(0.0)).alias("sharpe_ratio"),
         (c("max_drawdown") / capital * 100).alias("max_drawdown_pct"), (c("_net") / capital * 100).alias("total_return_pct"),
         (c("win_rate") / 100 * c("avg_win") - (1 - c("win_rate") / 100) * c("avg_loss")).alias("expectancy"), "avg_win", "avg_loss")
 

@@ -116,11 +116,14 @@ def audit_report(checks: dict[str, tuple[DataFrame, Column, str]], keys: Sequenc
 
 
 def winsorize_quantile(df: DataFrame, feats: Sequence[str], keys: Sequence[str] = KEYS, lower: float = 0.01, upper: float = 0.01) -> DataFrame:
-    """Clip each feature to its own quantiles per key."""
-    for f in feats:
-        df = df.join(exact_quantiles(df, keys, f, {"_lo": lower, "_hi": 1 - upper}), list(keys), "left")
-        df = df.withColumn(f, F.when(F.col(f).isNotNull(), F.greatest("_lo", F.least(F.col(f), F.col("_hi"))))).drop("_lo", "_hi")
-    return df
+    """Clip each feature to its own quantiles per key. All features go through one quantile pass and one join."""
+    keys, feats = list(keys), list(feats)
+    long = df.select(*keys, F.inline(F.array(*(F.struct(F.lit(i).alias("_f"), F.col(f).cast("double").alias("_value")) for i, f in enumerate(feats)))))
+    cuts = exact_quantiles(long, [*keys, "_f"], "_value", {"_low": lower, "_high": 1 - upper})
+    cuts = cuts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_f", F.struct("_low", "_high")))).alias("_cuts"))
+    at = lambda i, end: F.col("_cuts")[F.lit(i)][end]
+    clipped = {f: F.when(F.col(f).isNotNull(), F.greatest(at(i, "_low"), F.least(F.col(f), at(i, "_high")))) for i, f in enumerate(feats)}
+    return df.join(cuts, keys, "left").withColumns(clipped).drop("_cuts")
 
 
 def winsorize_z(df: DataFrame, feats: Sequence[str], keys: Sequence[str] = KEYS, z: float = 5.0) -> DataFrame:

@@ -66,17 +66,20 @@ def threshold_sweep(trades: DataFrame, thresholds: Sequence[float], keys=("symbo
     p = F.col("pnl")
     f = trades.withColumn("_m", met).where(F.col("_m") > 0).groupBy(*keys, "_m").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(p > 0).alias("w"), F.sum(F.when(p > 0, p).otherwise(0.0)).alias("g"),
-        F.sum(F.when(p <= 0, -p).otherwise(0.0)).alias("l"), F.count_if(p <= 0).alias("ln"), F.sum(p).alias("s"), F.sum(p * p).alias("q"))
+        F.sum(F.when(p <= 0, -p).otherwise(0.0)).alias("l"), F.count_if(p <= 0).alias("ln"), F.sum(p).alias("s"), F.var_pop(p).alias("v"))
     f = f.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_m"))))
-    g = f.groupBy(*keys, "_k").agg(*(F.sum(c).alias(c) for c in ("n", "w", "g", "l", "ln", "s", "q")))
+    each = Window.partitionBy(*keys, "_k")
+    f = f.withColumn("_mean", F.sum("s").over(each) / F.sum("n").over(each))
+    square = F.sum(F.col("n") * (F.col("v") + F.pow(F.col("s") / F.col("n") - F.col("_mean"), 2))).alias("q")
+    g = f.groupBy(*keys, "_k").agg(*(F.sum(c).alias(c) for c in ("n", "w", "g", "l", "ln", "s")), square)
     n, mean = F.col("n"), F.col("s") / F.col("n")
-    var = F.try_divide(F.col("q") - n * mean * mean, n - 1)
+    var = F.try_divide(F.col("q"), n - 1)
     return g.select(
         *keys, F.element_at(F.array(*(F.lit(t) for t in ts)), F.col("_k")).alias("confidence_threshold"), n.alias("total_trades"),
         (F.col("w") * 100.0 / n).alias("win_rate"),
         F.coalesce(div(F.col("g"), F.when(F.col("ln") > 0, F.col("l")).otherwise(1.0)), F.lit(0.0)).alias("profit_factor"),
         (mean / (capital * risk)).alias("avg_r"),
-        F.coalesce(F.try_divide(mean, F.sqrt(F.greatest(var, F.lit(0.0)))) * (252 ** 0.5), F.lit(0.0)).alias("sharpe_per_trade"))
+        F.coalesce(F.try_divide(mean, F.sqrt(var)) * (252 ** 0.5), F.lit(0.0)).alias("sharpe_per_trade"))
 
 
 def pick_threshold(sweep: DataFrame, keys=("symbol", "timeframe"), pf: float = 1.3, wr: float = 50.0, n: int = 50) -> DataFrame:

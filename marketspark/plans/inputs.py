@@ -53,7 +53,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
         .alias("timeframe"),
         F.when(k % 2 == 0, "long").otherwise("short").alias("direction"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("exit_time"),
-        ((F.col("o_totalprice") - 200000) / 100).alias("pnl"),
+        ((F.col("o_totalprice") - 200000) / 100).alias("pnl"), ((F.col("o_totalprice") - 200000) / F.col("o_totalprice")).alias("return_pct"),
         F.when(F.col("o_orderstatus") == "F", "tp").when(F.col("o_orderstatus") == "O", "sl").otherwise("timeout")
         .alias("exit_reason"),
         ((k % 70) / 100 + 0.3).alias("confidence"), (k % 48 + 1).cast("int").alias("bars_held"))
@@ -95,7 +95,7 @@ def sql_resample(name: str, hours: int) -> str:
 SQL_TRADES = """trades AS (SELECT o_orderkey AS trade_id, 'S' || (o_custkey % 4) AS symbol,
  CASE left(o_orderpriority, 1) WHEN '1' THEN '5T' WHEN '2' THEN '15T' WHEN '3' THEN '30T' WHEN '4' THEN '1H'
  ELSE '4H' END AS timeframe, CASE WHEN o_orderkey % 2 = 0 THEN 'long' ELSE 'short' END AS direction,
- o_orderdate AS exit_time, (o_totalprice - 200000) / 100 AS pnl,
+ o_orderdate AS exit_time, (o_totalprice - 200000) / 100 AS pnl, (o_totalprice - 200000) / o_totalprice AS return_pct,
  CASE o_orderstatus WHEN 'F' THEN 'tp' WHEN 'O' THEN 'sl' ELSE 'timeout' END AS exit_reason,
  CAST(o_orderkey % 70 AS DOUBLE) / 100 + 0.3 AS confidence, CAST(o_orderkey % 48 + 1 AS INTEGER) AS bars_held
  FROM orders)"""

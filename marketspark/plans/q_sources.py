@@ -63,6 +63,15 @@ def src_5(spark, sf):
     return RD.read_trades_csv(spark, p).select(F.col("exit_time").cast("timestamp_ntz").alias("exit_time"), "direction", "net_pnl", "exit_reason", "confidence", "bars_held")
 
 
+@query("src_5_read_signals_csv", f"""WITH {I.SQL_TRADES} SELECT symbol, timeframe, CAST(exit_time AS TIMESTAMP) AS created_at, direction, confidence, exit_reason AS status,
+ {q.r6('return_pct')} AS return_pct, pnl FROM trades""")
+def src_5_signals(spark, sf):
+    p = scratch_path(spark, "signals")
+    t = I.trades(spark, sf).select("symbol", "timeframe", F.col("exit_time").alias("created_at"), "direction", "confidence", F.col("exit_reason").alias("status"), "return_pct", "pnl")
+    t.write.option("header", True).csv(p)
+    return RD.read_signals_csv(spark, p).withColumns({"created_at": F.col("created_at").cast("timestamp_ntz"), "return_pct": F.round("return_pct", 6)})
+
+
 @query("src_6_tail_bars", f"WITH {B} SELECT {BAR_COLS} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) <= 200")
 def src_6(spark, sf):
     return RD.tail_bars(I.bars(spark, sf), 200)

@@ -60,19 +60,19 @@ def st_3(spark, sf):
 
 
 def signal_stream(spark, sf):
-    """One model's directional signals as a stream; the model's timeframe is the series' timeframe."""
-    s = QT.signals(spark, sf).where((F.col("signal") != "flat") & (F.col("model") != "5T"))
+    """The models' directional signals as a stream; the model's timeframe is the series' timeframe."""
+    s = QT.signals(spark, sf).where(F.col("signal") != "flat")
     return as_stream(spark, s.select("symbol", F.col("model").alias("timeframe"), F.col("bar_ts").cast("timestamp").alias("ts"), "signal", "confidence", "edge", F.hour("bar_ts").cast("long").alias("bar_index")), "signals")
 
 
-SG = f"{QT.SIG}, sgn AS (SELECT symbol, model AS timeframe, bar_ts AS ts, signal, confidence, edge FROM sig WHERE signal <> 'flat' AND model <> '5T')"
+SG = f"{QT.SIG}, sgn AS (SELECT symbol, model AS timeframe, bar_ts AS ts, signal, confidence, edge FROM sig WHERE signal <> 'flat')"
 
 
 @query("st_4_suppress_duplicates", f"""WITH RECURSIVE {SG}, acc AS (SELECT symbol, timeframe, min(ts) AS ts FROM sgn GROUP BY symbol, timeframe
- UNION ALL SELECT a.symbol, a.timeframe, (SELECT min(s.ts) FROM sgn s WHERE s.symbol = a.symbol AND s.timeframe = a.timeframe AND s.ts >= a.ts + CASE a.timeframe WHEN '15T' THEN INTERVAL 150 MINUTE ELSE INTERVAL 90 MINUTE END) FROM acc a WHERE a.ts IS NOT NULL)
+ UNION ALL SELECT a.symbol, a.timeframe, (SELECT min(s.ts) FROM sgn s WHERE s.symbol = a.symbol AND s.timeframe = a.timeframe AND s.ts >= a.ts + CASE a.timeframe WHEN '5T' THEN INTERVAL 210 MINUTE WHEN '15T' THEN INTERVAL 150 MINUTE ELSE INTERVAL 90 MINUTE END) FROM acc a WHERE a.ts IS NOT NULL)
 SELECT symbol, timeframe, ts FROM acc WHERE ts IS NOT NULL""")
 def st_4(spark, sf):
-    out = run(spark, SF.suppress_duplicates(signal_stream(spark, sf), validity={"15T": 150, "30T": 90}), "dedup")
+    out = run(spark, SF.suppress_duplicates(signal_stream(spark, sf), validity={"5T": 210, "15T": 150, "30T": 90}), "dedup")
     return out.select("symbol", "timeframe", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 

@@ -68,14 +68,14 @@ def jn_2(spark, sf):
     return _asof(spark, sf, 4 * 3600)
 
 
-CAL = """cal AS (SELECT ts AS event_time, 'C' || (user_id % 3) AS currency, CASE WHEN user_id % 2 = 0 THEN 'high' ELSE 'low' END AS impact
- FROM events WHERE event_type = 'error'), cur(symbol, currency) AS (VALUES ('S0','C0'),('S1','C0'),('S1','C1'),('S2','C1'),('S2','C2'),('S3','C2'))"""
+CAL = """cal AS (SELECT ts AS event_time, 'C' || (user_id % 3) AS currency, CASE WHEN event_type = 'error' THEN 'high' ELSE 'low' END AS impact
+ FROM events), cur(symbol, currency) AS (VALUES ('S0','C0'),('S1','C0'),('S1','C1'),('S2','C1'),('S2','C2'),('S3','C2'))"""
 
 
 def calendar(spark, sf):
-    return I.table(spark, sf, "events").where(F.col("event_type") == "error").select(
+    return I.table(spark, sf, "events").select(
         F.col("ts").cast("timestamp_ntz").alias("event_time"), F.concat(F.lit("C"), (F.col("user_id") % 3).cast("string")).alias("currency"),
-        F.when(F.col("user_id") % 2 == 0, "high").otherwise("low").alias("impact"))
+        F.when(F.col("event_type") == "error", "high").otherwise("low").alias("impact"))
 
 
 def currencies(spark):
@@ -125,14 +125,14 @@ def jn_6(spark, sf):
 WK = "PARTITION BY {k} ORDER BY {o}"
 
 
-def sql_metrics(src, keys="symbol, timeframe", order="exit_time, trade_id", pnl="pnl"):
+def sql_metrics(src, keys="symbol, timeframe", order="exit_time, trade_id", pnl="pnl", returns="return_pct"):
     w = f"PARTITION BY {keys} ORDER BY {order} ROWS UNBOUNDED PRECEDING"
     on = ", ".join(k.strip() for k in keys.split(","))
     return f"""(WITH c AS (SELECT *, sum({pnl}) OVER ({w}) AS cum FROM {src}),
  d AS (SELECT *, max(cum) OVER ({w}) - cum AS dd FROM c),
  g AS (SELECT {on}, count(*) AS total_trades, count(*) FILTER ({pnl} > 0) AS win_count, count(*) FILTER ({pnl} < 0) AS loss_count,
-  coalesce(sum({pnl}) FILTER ({pnl} > 0), 0) AS gp, coalesce(-sum({pnl}) FILTER ({pnl} < 0), 0) AS gl, avg({pnl} / 100000) AS m,
-  stddev_pop({pnl} / 100000) AS sd, max(dd) / 1000 AS max_drawdown_pct, sum({pnl}) / 1000 AS total_return_pct,
+  coalesce(sum({pnl}) FILTER ({pnl} > 0), 0) AS gp, coalesce(-sum({pnl}) FILTER ({pnl} < 0), 0) AS gl, avg({returns}) AS m,
+  stddev_pop({returns}) AS sd, max(dd) / 1000 AS max_drawdown_pct, sum({pnl}) / 1000 AS total_return_pct,
   coalesce(avg({pnl}) FILTER ({pnl} > 0), 0) AS avg_win, coalesce(-avg({pnl}) FILTER ({pnl} < 0), 0) AS avg_loss FROM d GROUP BY {on})
  SELECT {on}, total_trades, win_count, loss_count, CASE WHEN gl > 0 THEN gp / gl ELSE gp END AS profit_factor,
   win_count * 100.0 / total_trades AS win_rate, coalesce(m / nullif(sd, 0), 0) AS sharpe_ratio, max_drawdown_pct, total_return_pct,
@@ -583,7 +583,7 @@ def tr_1(spark, sf):
     return rnd(signal_trades(spark, sf), "symbol", "bar_ts", "model", "direction", "exit_reason", "bars_held", n=4, d="gross_pnl cost pnl")
 
 
-@query("tr_1_barrier_trade_metrics", f"WITH {TR1} SELECT symbol, model, {MT1_OUT} FROM {sql_metrics('btr', 'symbol, model', 'bar_ts')}")
+@query("tr_1_barrier_trade_metrics", f"WITH {TR1} SELECT symbol, model, {MT1_OUT} FROM {sql_metrics('btr', 'symbol, model', 'bar_ts', returns='pnl')}")
 def tr_1m(spark, sf):
     m = M.trade_metrics(signal_trades(spark, sf), ("symbol", "model"), ("bar_ts",))
     return rnd(m, "symbol", "model", "total_trades", "win_count", "loss_count", d=MT1)
@@ -645,7 +645,7 @@ ALLOC = [("A", 0.395), ("B", 0.251), ("C", 0.354)]
 
 
 @query("tr_4_allocated_equity", f"""WITH {OUTCOMES}, {values('al', 'config, allocation', ALLOC)}, r1 AS (SELECT o.*, config, least(0.02 * entry_price / (entry_price - sl_price), 0.1) * allocation AS val
- FROM outc o, al WHERE entry_price > sl_price AND volume >= CASE config WHEN 'A' THEN 3 WHEN 'B' THEN 4 ELSE 5 END),
+ FROM outc o, al WHERE entry_price > sl_price),
 r2 AS (SELECT *, 1 + val * ((CASE WHEN target = 1 THEN tp_price ELSE sl_price END - entry_price) / entry_price - 0.00001 - 0.000005) AS f FROM r1),
 r3 AS (SELECT *, product(f) OVER (PARTITION BY symbol ORDER BY bar_ts, config ROWS UNBOUNDED PRECEDING) AS growth FROM r2),
 bb AS (SELECT symbol, bar_ts, arg_max(growth, config) AS growth FROM r3 GROUP BY ALL), pk AS (SELECT *, greatest(1, max(growth) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS UNBOUNDED PRECEDING)) AS pk FROM bb),
@@ -654,8 +654,7 @@ SELECT symbol, config, count(*) AS trades, count(*) FILTER (target = 1) AS wins,
  {q.r6('any_value(max_drawdown_pct)', 4)} AS max_drawdown_pct, {q.r6('any_value(final_equity)', 4)} AS final_equity FROM r3 JOIN dd USING (symbol) GROUP BY symbol, config""")
 def tr_4(spark, sf):
     o = outcomes(spark, sf).withColumn("config", F.explode(F.array(F.lit("A"), F.lit("B"), F.lit("C"))))
-    need = F.when(F.col("config") == "A", 3).when(F.col("config") == "B", 4).otherwise(5)
-    df = TR.allocated_equity(o.where(F.col("volume") >= need), spark.createDataFrame(ALLOC, "config string, allocation double"))
+    df = TR.allocated_equity(o, spark.createDataFrame(ALLOC, "config string, allocation double"))
     return rnd(df, "symbol", "config", "trades", "wins", n=4, d="pnl win_rate max_drawdown_pct final_equity")
 
 
