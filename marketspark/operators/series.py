@@ -4,8 +4,7 @@ A plain ``Window.partitionBy(symbol, timeframe)`` puts a whole series into one t
 symbol that holds a third of all rows holds up the job. Here every series is cut into blocks of
 ``block`` consecutive rows. A block also receives the ``back`` rows before it and the ``fwd``
 rows after it (its halo), windows run inside ``(series, block)``, and only the block's own rows
-are returned. For frames that fit the halo the result equals the unblocked window (long sums and means to
-about eleven digits, as they are differences of running sums).
+are returned. For frames that fit the halo the result equals the unblocked window.
 
 Row positions come from a count per (series, time bucket), which is tiny next to the rows:
 its running sum gives each bucket its position and the blocks that need it. So the rows
@@ -97,7 +96,7 @@ class Series:
         Columns are gathered and written level by level of dependency, not call by call, so a long
         chain of small steps becomes a few projections and as few window operators.
         """
-        s = self if self._names.isdisjoint(cols) else self._without_prefixes(cols)
+        s = self if self._names.isdisjoint(cols) else self._without_helpers(cols)
         s = s._with(s._df, {k: dict(v) for k, v in s._pending.items()}, dict(s._level))
         for name, c in cols.items():
             used = [s._level[w] for w in set(_NAME.findall(str(c))) if w in s._level]
@@ -106,9 +105,9 @@ class Series:
         s._names = s._names | cols.keys()
         return s
 
-    def _without_prefixes(self, cols) -> Series:
-        """The series about to have columns replaced: running sums of the old values go."""
-        return self._with(self.df.drop(*(f"_c{k}_{c}" for c in cols for k in "sn")))
+    def _without_helpers(self, cols) -> Series:
+        """The series about to have columns replaced: what was known of their old values goes."""
+        return self._with(self.df.drop(*(f"_q_{c}" for c in cols)))
 
     def ensure(self, **sql: str) -> None:
         """Add helper columns, given as SQL text, to this very series unless it has them."""
@@ -146,19 +145,26 @@ class Series:
         return self._with(self.df.where(cond))
 
     def emas(self, adjust: bool = False, **specs: tuple[str, float] | tuple[str, float, int]) -> Series:
-        """Exponential averages ``name=(column, alpha[, leading_nulls])``.
+        """Exponential averages ``name=(column, alpha)``, from the first value of the column on.
 
         ``y_t = (1-a) y_{t-1} + a x_t`` is a running sum of ``x_k (1-a)^-k`` scaled back. The sum
         runs inside a sub-block short enough not to overflow and long enough that only the sub-block
         before it still counts, whose last value is carried over. No recursion, no Python.
+
+        A null row keeps the average and ages it: after ``g`` nulls the old average weighs ``p = (1-a)^(g+1)``
+        against ``a`` of the new value, so the step's decay is ``p / (p + a)``. Adjusted averages divide by a second
+        sum, that of the weights of the rows with values; after a sub-block without any they are null. Borders are exact
+        to rounding while at least half of the rows near them hold values.
         """
+        gaps: dict[str, Column] = {}
+        decays: dict[str, Column] = {}
         sums: dict[str, Column] = {}
         carry: dict[str, Column] = {}
         out: dict[str, Column] = {}
         part = ", ".join(f"`{c}`" for c in self._part)
         prev = f"OVER (PARTITION BY {part} ORDER BY {', '.join(self._sort)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         for name, spec in specs.items():
-            x, a, lead = (*spec, 0)[:3]
+            x, a = spec[:2]
             decay = -math.log1p(-a)
             size = next((n for n in reversed(LEVELS) if n * decay >= DECAY), LEVELS[0])
             if size * decay > 600:
@@ -169,17 +175,31 @@ class Series:
                 raise ValueError(f"{name}: halo of {self.back} rows is shorter than {DECAY / decay:.0f}")
             cut = ", ".join(f"_c{n}" for n in LEVELS if n >= size)
             rest = ", ".join([f"_c{n}" for n in LEVELS if n < size] + ["_i"])
-            t, p, lam = f"_s_{name}", f"_p_{name}", f"{decay!r}D"
-            off = f"(_i % {size})"
-            gain = "1D" if adjust else f"CASE WHEN _i = {lead} THEN 1D ELSE {a!r}D END"
             inner = f"OVER (PARTITION BY {part}, {cut} ORDER BY {rest} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-            sums[t] = F.expr(f"exp(-{lam} * {off}) * sum(`{x}` * {gain} * exp({lam} * {off})) {inner}")
-            carry[p] = F.expr(f"last(CASE WHEN _i % {size} = {size - 1} THEN `{t}` END, true) {prev}")
-            y = f"`{t}` + coalesce(`{p}`, 0D) * exp(-{lam} * ({off} + 1))"
+            t, p, lam = f"_s_{name}", f"_p_{name}", f"{decay!r}D"
+            end = f"_i % {size} = {size - 1}"
             if adjust:
-                y = f"({y}) / ((1D - exp(-{lam} * (_i - {lead} + 1))) / {a!r}D)"
-            out[name] = F.expr(f"CASE WHEN `{x}` IS NOT NULL THEN {y} END")
-        return self.add(**sums).add(**carry).add(**out)
+                off, w, pw = f"(_i % {size})", f"_w_{name}", f"_v_{name}"
+                for total, before, v in ((t, p, f"`{x}`"), (w, pw, f"CASE WHEN `{x}` IS NOT NULL THEN 1D END")):
+                    sums[total] = F.expr(f"exp(-{lam} * {off}) * sum({v} * exp({lam} * {off})) {inner}")
+                    carry[before] = F.expr(f"last(CASE WHEN {end} THEN coalesce(`{total}`, 0D) END, true) {prev}")
+                old = f"exp(-{lam} * ({off} + 1))"
+                out[name] = F.expr(f"try_divide(coalesce(`{t}`, 0D) + coalesce(`{p}`, 0D) * {old}, coalesce(`{w}`, 0D) + coalesce(`{pw}`, 0D) * {old})")
+                continue
+            q, d, e = f"_q_{x}", f"_d_{name}", f"_e_{name}"
+            if not self.has(q):  # the row of the value before
+                gaps[q] = F.expr(f"max(CASE WHEN `{x}` IS NOT NULL THEN _i END) {prev}")
+            age = f"{lam} * (_i - `{q}`)"
+            step = f"CASE WHEN _i - `{q}` = 1 THEN {lam} ELSE least({DECAY}D, {age} + ln(exp(-{age}) + {a!r}D)) END"
+            decays[d] = F.expr(f"CASE WHEN `{x}` IS NULL OR `{q}` IS NULL THEN 0D ELSE {step} END")
+            decays[e] = F.expr(f"sum(`{d}`) {inner}")
+            gain = f"CASE WHEN `{q}` IS NULL THEN 1D WHEN _i - `{q}` = 1 THEN {a!r}D ELSE 1D - exp(-`{d}`) END"
+            sums[t] = F.expr(f"exp(-`{e}`) * sum(`{x}` * {gain} * exp(`{e}`)) {inner}")
+            carry[p] = F.expr(f"last(CASE WHEN {end} THEN `{t}` END, true) {prev}")
+            out[name] = F.expr(f"CASE WHEN `{t}` IS NOT NULL OR `{p}` IS NOT NULL THEN coalesce(`{t}`, 0D) + coalesce(`{p}`, 0D) * exp(-`{e}`) END")
+        s = self.add(**gaps) if gaps else self
+        s = s.add(**{n: c for n, c in decays.items() if n.startswith("_d_")}).add(**{n: c for n, c in decays.items() if n.startswith("_e_")}) if decays else s
+        return s.add(**sums).add(**carry).add(**out)
 
     def affine(self, name: str, keep: Column, add: Column, first: int, floor: float) -> Series:
         """Recursion ``y_t = keep_t y_{t-1} + add_t`` from row ``first`` on, with ``keep_t`` in (0, exp(-floor)].

@@ -139,6 +139,42 @@ def win_12(s):
     return s.emas(adjust=True, **{f"ema{n}a": ("close", span(n)) for n in (12, 26, 200)})
 
 
+def sql_gaps(cols: str) -> str:
+    """Bars whose close is missing on a fifth of the rows, as ``x``, with its row ``i`` and that of the value before."""
+    up = f"({q.PART} ROWS UNBOUNDED PRECEDING)"
+    return f"""WITH {BARS}, gx AS (SELECT *, CASE WHEN volume % 5 <> 0 THEN close END AS x, row_number() OVER ({q.PART}) AS i FROM bars),
+gq AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN i END) OVER ({q.PART} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS qi FROM gx)
+SELECT symbol, bar_ts, {cols.format(up=up)} FROM gq"""
+
+
+def _gap_ema(n: int) -> str:
+    a = repr(q.sp(n))
+    p = f"power(1 - {a}, i - qi)"
+    v = f"{{{{'y': x, 'k': CASE WHEN qi IS NULL THEN 0 ELSE {p} / ({p} + {a}) END}}}}"
+    return q.r6(f"struct_extract(list_reduce(list({v}) FILTER (x IS NOT NULL) OVER {{up}}, lambda y, v: {{{{'y': y.y * v.k + v.y * (1 - v.k), 'k': v.k}}}}), 'y')") + f" AS ema{n}"
+
+
+def _gap_ema_adjusted(n: int) -> str:
+    w = f"power(1 - {q.sp(n)!r}, -i)"
+    return q.r6(f"sum(x * {w}) OVER {{up}} / sum(CASE WHEN x IS NOT NULL THEN {w} END) OVER {{up}}") + f" AS ema{n}a"
+
+
+def gapped(spark, sf):
+    """The same bars in blocks of 128 rows, so that most averages are carried over borders."""
+    b = I.bars(spark, sf).withColumn("x", F.when(F.col("volume") % 5 != 0, F.col("close")))
+    return blocked(b, back=2 * ema_halo(span(26)), block=128)
+
+
+@query("win_11_ema_gaps", sql_gaps(", ".join(_gap_ema(n) for n in (10, 26))))
+def win_11_gaps(spark, sf):
+    return rounded(gapped(spark, sf).emas(ema10=("x", span(10)), ema26=("x", span(26))), "ema10 ema26")
+
+
+@query("win_12_ema_adjusted_gaps", sql_gaps(", ".join(_gap_ema_adjusted(n) for n in (12, 26))))
+def win_12_gaps(spark, sf):
+    return rounded(gapped(spark, sf).emas(adjust=True, ema12a=("x", span(12)), ema26a=("x", span(26))), "ema12a ema26a")
+
+
 @simple("win_13_wilder", FS1_HALO, "wilder14 wilder7", [{f"wilder{n}": q.ema("close", 1 / n) for n in (14, 7)}])
 def win_13(s):
     return ind.wilder(s, wilder14=("close", 14), wilder7=("close", 7))
