@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from helpers import T0, bars, closes, column, walk
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from marketspark.functions.sessions import in_hours
 from marketspark.operators import joins as J
 from marketspark.operators import labels as L
 from marketspark.operators import metrics as M
+from marketspark.operators import quality as QA
 from marketspark.operators import setups as SG
 from marketspark.operators import sizing as SZ
 from marketspark.operators import trades as TR
@@ -110,6 +113,22 @@ def test_metrics_edges(spark):
     assert M.max_drawdown(trades(spark, [-5, 1]), k, ["exit_time"], F.col("pnl"), start=0.0).first().max_drawdown == 5.0
 
 
+def test_deviation_keeps_its_digits_at_a_large_mean(spark):
+    t = trades(spark, [1e8 + (1 if i % 2 else -1) for i in range(200)])
+    assert M.trade_metrics(t).first().sharpe_ratio == pytest.approx(1e8, rel=1e-6)
+    own = t.withColumn("return_pct", F.when(F.col("pnl") > 1e8, 3.0).otherwise(1.0))
+    assert M.trade_metrics(own).first().sharpe_ratio == pytest.approx(2.0)
+
+
+def test_winsorize_many_features_in_one_pass(spark):
+    names = [f"f{i}" for i in range(60)]
+    df = spark.range(300).select(F.lit("A").alias("symbol"), F.lit("1H").alias("timeframe"), "id", *((F.col("id") * (i + 1)).cast("double").alias(n) for i, n in enumerate(names)))
+    r = QA.winsorize_quantile(df, names).orderBy("id").toPandas()
+    for i in (0, 31, 59):
+        x = pd.Series(np.arange(300) * float(i + 1))
+        np.testing.assert_allclose(r[f"f{i}"], x.clip(x.quantile(0.01), x.quantile(0.99)))
+
+
 def test_stop_comes_before_target_in_trades(spark):
     rows = [(100, 101, 99, 100, 1)] * 20 + [(100, 140, 60, 100, 1)] * 60
     sig = spark.createDataFrame([("EURUSD", "1H", T0 + dt.timedelta(hours=19), "long", 0.9)], "symbol string, timeframe string, bar_ts timestamp_ntz, direction string, confidence double")

@@ -44,6 +44,21 @@ def test_ema_matches_pandas(spark, n, adjust):
     np.testing.assert_allclose(got, want, rtol=1e-11)
 
 
+@pytest.mark.parametrize("block", [64, 500, 65536])
+def test_ema_through_gaps_matches_pandas(spark, block):
+    rng = np.random.default_rng(3)
+    x = rng.normal(100, 5, 1200)
+    x[rng.random(1200) < 0.2] = np.nan
+    x[:3] = x[40:43] = np.nan
+    df = closes(spark, x).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+    s = blocked(df, back=2 * ema_halo(span(20)), block=block)
+    s = s.emas(y=("close", span(20))).emas(adjust=True, z=("close", span(20)))
+    got = s.select("y", "z").orderBy("bar_ts").toPandas()
+    for name, adjust in (("y", False), ("z", True)):
+        want = pd.Series(x).ewm(span=20, adjust=adjust).mean().to_numpy()
+        np.testing.assert_allclose(got[name].to_numpy(float), want, rtol=1e-9)
+
+
 def test_kama_is_a_plain_recursion(spark):
     rows = walk(2500, seed=3)
     got = column(ta.kama(blocked(bars(spark, rows), back=12000, block=700)).rows(), "kama_30")
