@@ -1,13 +1,14 @@
 """Language-model scores by a weighted backoff automaton over smoothed word n-grams.
 
-States are the empty history and every word; a word's state has an arc for each word seen after it and a failure arc
-to the empty history. With prior strength K, counts c and the additive unigram P,
+States are the histories of fewer than ``order`` words, the empty one the root; a history's state has an arc for each
+word seen after it and a failure arc to the history without its first word. With prior strength K, counts c, the
+additive unigram P(w) at the root, and h' the history h without its first word,
 
-    arc u -> w:      log10((c(u w) + K P(w)) / (c(u) + K))        failure of u:  log10(K / (c(u) + K))
+    arc h -> w:      log10((c(h w) + K P(w|h')) / (c(h) + K))     failure of h:  log10(K / (c(h) + K))
     root arc w:      log10 P(w),  P(w) = (c(w) + a) / (N + a (V + 1))
 
-so a state's arcs and its failure sum to one over the vocabulary and one unknown word. Taking the failure arc and then
-the root arc multiplies the two weights.
+so a state's arcs and its failure sum to one over the vocabulary and one unknown word. Taking failure arcs and then an
+arc multiplies their weights.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import chain, is_training, mix, shuffles, slices, stash, text_buffer, word_hashes
+from marketspark.llm.common import chain, is_training, mix, shuffles, stash, text_buffer, word_hashes
 
 ADD, PRIOR = 0.1, 20.0
 #: bytes of text whose n-grams are counted, asked for and scored together
 CHUNK = 8 << 20
 _START, _END = (np.uint64(x) for x in mix(np.array([11, 13], np.uint64)))
 _CHUNKS = 20  # a chunk's number is task * 2**_CHUNKS + place
+_ROW = 16  # bytes that a row counts besides its text, so that chunks of empty texts end too
 
 
 def squeeze(keys: np.ndarray) -> bytes:
@@ -63,10 +65,61 @@ def _histories(t: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return u
 
 
+def _grams(t: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each length up to ``order`` the n-gram that ends at each token; start tokens stand before a row's first."""
+    parts = [t]
+    for _ in range(order - 1):
+        parts.insert(0, _histories(parts[0], bounds))
+    return [t, *(chain(parts[order - n:]) for n in range(2, order + 1))]
+
+
+def _starts(order: int) -> list[np.uint64]:
+    """For each length the n-gram of start tokens alone: the history of a row's first token."""
+    return [_START, *(chain([np.array([_START])] * n)[0] for n in range(2, order + 1))]
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys; for hashes sorting is far faster than ``np.unique``, which fills a hash table."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[:len(x)]]
+
+
+def _places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, the place of each of ``x`` in them)."""
+    order = np.argsort(x)
+    new = np.append(True, x[order[1:]] != x[order[:-1]])[:len(x)]
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return x[order[new]], at
+
+
+def _asking(grams: list[np.ndarray], order: int) -> list[np.ndarray]:
+    """For each length the n-grams of a chunk and, last, its rows' start where that can be a history."""
+    return [np.append(g, s) if n < order else g for n, (g, s) in enumerate(zip(grams, _starts(order)), 1)]
+
+
 def _chunks(batches):
-    """(chunk number, record batch) of at most CHUNK bytes of text; the same for every reading of the partition."""
-    for k, batch in enumerate(slices(batches, "text", CHUNK)):
-        yield (batch.column("part")[0].as_py() << _CHUNKS) + k, batch
+    """(chunk number, record batch) of at most CHUNK bytes (one row at least).
+
+    The rows of the partition alone decide where a chunk ends; how Arrow batches them does not.
+    """
+    k, held, parts = 0, 0, []
+    for batch in batches:
+        lo = 0
+        for i, n in enumerate((np.diff(text_buffer(batch.column("text"))[1]) + _ROW).tolist()):
+            if held and held + n > CHUNK:
+                yield _chunk(k, [*parts, batch.slice(lo, i - lo)])
+                k, held, parts, lo = k + 1, 0, [], i
+            held += n
+        parts.append(batch.slice(lo))
+    if held:
+        yield _chunk(k, parts)
+
+
+def _chunk(k: int, parts: list[pa.RecordBatch]) -> tuple[int, pa.RecordBatch]:
+    parts = [p for p in parts if p.num_rows]
+    batch = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    return (batch.column("part")[0].as_py() << _CHUNKS) + k, batch
 
 
 def _train(batch: pa.RecordBatch) -> np.ndarray:
@@ -83,21 +136,21 @@ _TEXTS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _asked(buckets: int):
+def _asked(buckets: int, order: int):
     """First pass: the distinct n-grams of each chunk with their counts in training rows, by range of the key.
 
-    Kind 1: words, and the start of a row as a history; kind 2: pairs.
+    The kind is their length; the start of a row as a history counts once for each row.
     """
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
 
     def run(batches):
         for chunk, batch in _chunks(batches):
             t, bounds = _tokens(batch)
-            pairs, train = chain([_histories(t, bounds), t]), _train(batch)
+            grams, train = _grams(t, bounds, order), _train(batch)
             each = np.repeat(train, np.diff(bounds))
             out = []
-            for kind, keys, counted in ((1, np.append(t, _START), np.append(t[each], np.full(int(train.sum()), _START))), (2, pairs, pairs[each])):
-                keys = np.unique(keys)
+            for kind, (g, all_, start) in enumerate(zip(grams, _asking(grams, order), _starts(order)), 1):
+                keys, counted = _distinct(all_), np.sort(np.append(g[each], np.full(int(train.sum()) if kind < order else 0, start)))
                 n = np.bincount(np.searchsorted(keys, counted), minlength=len(keys))
                 cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
                 out += [(chunk, b, kind, squeeze(keys[i:j]), squeeze_counts(n[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
@@ -111,7 +164,7 @@ def _told(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     chunks = table.column("chunk").to_pylist()
     asked = [unsqueeze(k) for k in table.column("keys").to_pylist()]
     keys, n = np.concatenate(asked), np.concatenate([unsqueeze_counts(c) for c in table.column("counts").to_pylist()])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.concatenate(([True], np.diff(keys[order]) != 0))
     total = np.add.reduceat(n[order], np.flatnonzero(new))
     back = np.empty(len(keys), np.int64)
@@ -126,54 +179,57 @@ def _texts(batches):
     """Third pass, first half: each chunk's rows as places in its sorted distinct tokens."""
     for chunk, batch in _chunks(batches):
         t, bounds = _tokens(batch)
-        words, places = np.unique(t, return_inverse=True)
+        words, places = _places(t)
         yield _batch([(chunk, batch.column("doc_id").to_pylist(), _train(batch).tolist(), np.diff(bounds).tolist(), squeeze(words), squeeze_counts(places))], _TEXTS)
 
 
 class Automaton:
-    """The states and arcs that one chunk can reach: what its distinct words and pairs add to the counts."""
+    """The states and arcs that one chunk can reach: what its distinct n-grams add to the counts, by length."""
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, c_words: np.ndarray, c_pairs: np.ndarray, tokens: int, types: int, prior: float):
-        self.words, self.pairs, self.seen, self.prior = words, pairs, c_pairs, prior
-        self.known, self.base = c_words > 0, np.log10((c_words + ADD) / (tokens + ADD * (types + 1)))  # root arcs
-        self.history = c_words
-        self.fail = np.log10(prior / (c_words + prior))
+    def __init__(self, counts: list[np.ndarray], tokens: int, types: int, prior: float):
+        self.counts, self.prior = counts, prior
+        self.known, self.base = counts[0] > 0, np.log10((counts[0] + ADD) / (tokens + ADD * (types + 1)))  # root arcs
 
-    def traverse(self, t: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Root weights and automaton weights of tokens read left to right, for all rows of the chunk at once.
+    def traverse(self, at: list[np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's place in the words, and automaton weights of tokens read left to right, for all rows at once.
 
-        The state after a token is the token's own, so the states of all places are known from the tokens before them;
-        each place takes its state's arc, or else the failure arc and the root's arc.
+        ``at`` has the places of the n-grams that end at each token, by length, and after them, but for the longest,
+        that of the rows' start. The state after a token is that of the n-gram that ends there, so the states of all
+        places are known from the tokens before them; each place takes its state's arc, or else the failure arc (the
+        same with no count) and the weight of the shorter history.
         """
-        w = np.searchsorted(self.words, t)
-        u = np.searchsorted(self.words, _histories(t, bounds))
-        seen = self.seen[np.searchsorted(self.pairs, chain([_histories(t, bounds), t]))]
-        arc = np.log10((seen + self.prior * 10.0 ** self.base[w]) / (self.history[u] + self.prior))
-        return w, np.where(seen > 0, arc, self.fail[u] + self.base[w])
+        w = at[0][:bounds[-1]]
+        p = 10.0 ** self.base[w]
+        for n in range(1, len(at)):
+            held = np.roll(at[n - 1], 1)[:bounds[-1]]  # the history: the n-gram that ends one token before
+            held[bounds[:-1]] = at[n - 1][-1]
+            p = (self.counts[n][at[n][:bounds[-1]]] + self.prior * p) / (self.counts[n - 1][held] + self.prior)
+        return w, np.log10(p)
 
 
-def _scored(tokens: int, types: int, prior: float):
+def _scored(tokens: int, types: int, prior: float, order: int):
     """Third pass, second half: build the automaton of a chunk from its counts and run its rows through it."""
     def run(batches):
-        counts: dict[int, list[bytes]] = {1: [], 2: []}
+        counts: dict[int, list[bytes]] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                if r["kind"] < 3:
-                    counts[r["kind"]].append(r["counts"])
+                if r["kind"] <= order:
+                    counts.setdefault(r["kind"], []).append(r["counts"])
                     continue
                 words, lengths = unsqueeze(r["words"]), np.array(r["lengths"], np.int64)
                 t, bounds = words[unsqueeze_counts(r["places"])], np.concatenate(([0], np.cumsum(lengths)))
-                words, pairs = np.unique(np.append(words, _START)), np.unique(chain([_histories(t, bounds), t]))
-                c1, c2 = (np.concatenate([unsqueeze_counts(c) for c in counts[k]]) for k in (1, 2))
-                if len(c1) != len(words) or len(c2) != len(pairs):
+                grams = _grams(t, bounds, order)
+                at = [_places(x) for x in _asking(grams, order)]
+                whole = [np.concatenate([unsqueeze_counts(c) for c in counts.get(k, [])] or [np.zeros(0, np.int64)]) for k in range(1, order + 1)]
+                if [len(k) for k, _ in at] != [*map(len, whole)]:
                     raise RuntimeError("the documents were not the same when read again; write them to a table first")
-                a = Automaton(words, pairs, c1, c2, tokens, types, prior)
-                w, logs = a.traverse(t, bounds)
+                a = Automaton(whole, tokens, types, prior)
+                w, logs = a.traverse([x for _, x in at], bounds)
                 at = bounds[:-1]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(r["doc_ids"], pa.int64()), pa.array([not x for x in r["train"]]), pa.array(lengths), pa.array(np.add.reduceat(a.known[w].astype(np.int64), at)),
                     pa.array(np.add.reduceat(a.base[w], at)), pa.array(np.add.reduceat(logs, at))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-                counts = {1: [], 2: []}
+                counts = {}
     return run
 
 
@@ -182,26 +238,26 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def score(docs: DataFrame, folds: int = 10, prior: float = PRIOR) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, prior: float = PRIOR, order: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
-    Learns from rows whose crc32(doc_id as text) is not divisible by ``folds``. Null text is empty: one end token.
+    N-grams are of up to ``order`` words. Learns from rows whose crc32(doc_id as text) is not divisible by ``folds``. Null text is empty: one end token.
     Repeated rows count as often as they come; an empty table gives no rows.
 
     The model is never in one place. Each chunk of documents asks for the n-grams it holds, once each; ranges of keys
     (as many as ``spark.sql.shuffle.partitions``) add up the counts of all chunks and answer every chunk in its own
     order; a chunk builds its part of the automaton from the answers. A common n-gram is one key for each chunk, so
-    no range is hot, and memory is a chunk or a range. The documents are read twice and must be the same each time
-    (a table on storage); a difference is an error.
+    no range is hot, and memory is a chunk or a range. The documents are read twice, the same columns each time, and
+    must be the same (a table on storage); a difference is an error.
     """
     spark = docs.sparkSession
     n = shuffles(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", is_training("doc_id", folds).alias("train"), F.spark_partition_id().cast("long").alias("part"))
-    asked = d.select("text", "train", "part").mapInArrow(_asked(n), _ddl(_ASKED))
+    asked = d.mapInArrow(_asked(n, order), _ddl(_ASKED))
     told = stash(asked.groupBy("bucket", "kind").applyInArrow(_told, _ddl(_TOLD)), "lm-counts")
     sums = told.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     tokens, types = int(sums["n"] or 0), int(sums["v"] or 0)
-    texts = d.mapInArrow(_texts, _ddl(_TEXTS)).withColumns({"kind": F.lit(3), "bucket": F.lit(0)})
+    texts = d.mapInArrow(_texts, _ddl(_TEXTS)).withColumns({"kind": F.lit(order + 1), "bucket": F.lit(0)})
     both = told.select("chunk", "bucket", "kind", "counts").unionByName(texts, allowMissingColumns=True)
     both = both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
-    return both.mapInArrow(_scored(tokens, types, prior), _SCORES).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return both.mapInArrow(_scored(tokens, types, prior, order), _SCORES).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -59,7 +59,7 @@ def op8_lp_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
-    return backoff_lm.score(table(spark, sf, "documents"))
+    return backoff_lm.score(table(spark, sf, "documents"), order=3)
 
 
 def op10_pii_disclosure(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -273,6 +274,47 @@ def test_lm_equals_brute_force(spark, docs, monkeypatch):
     assert backoff_lm.score(docs.limit(0)).collect() == []
 
 
+def test_lm_order_three_on_long_texts(spark, monkeypatch):
+    """Chunks end by the rows alone, whatever Arrow batches; texts of 20 KB close Arrow batches by their bytes."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(WORDS, 4500 if i % 3 else 40))) for i in range(120)]
+    path = scratch_path(spark, "long")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    d = spark.read.parquet(path)
+    monkeypatch.setattr(backoff_lm, "CHUNK", 100_000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "300000")
+    try:
+        got = {r["doc_id"]: r["score"] for r in backoff_lm.score(d, order=3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    toks = {i: [*t.encode().split(), None] for i, t in rows}
+    c = [Counter() for _ in range(4)]
+    for i, t in toks.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            s = ["<", "<", *t]
+            for n in (1, 2, 3):
+                c[n].update(tuple(s[k - n + 1:k + 1]) for k in range(2, len(s)))
+            c[1][("<",)] += 1
+            c[2][("<", "<")] += 1
+    total = sum(c[1].values()) - c[1][("<",)]
+
+    def p(g):
+        if len(g) == 1:
+            return (c[1][g] + 0.1) / (total + 0.1 * len(c[1]))
+        return (c[len(g)][g] + 20 * p(g[1:])) / (c[len(g) - 1][g[:-1]] + 20)
+    for i, t in toks.items():
+        s = ["<", "<", *t]
+        assert got[i] == pytest.approx(sum(math.log10(p(tuple(s[k - 2:k + 1]))) for k in range(2, len(s))), abs=1e-6)
+
+
+def test_lm_chunks_do_not_follow_arrow_batches(monkeypatch):
+    texts = ["x" * n for n in (20_000, 3, 0, 90_000, 20_000, 250_000, 1, 20_000, 60_000)]
+    whole = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([4] * len(texts))], names=["text", "part"])
+    monkeypatch.setattr(backoff_lm, "CHUNK", 100_000)
+    cuts = [[(k, b.column("text").to_pylist()) for k, b in backoff_lm._chunks(iter([whole.slice(i, n) for i in range(0, len(texts), n)]))] for n in (1, 2, 4, 9)]
+    assert all(c == cuts[0] for c in cuts) and [len(t) for _, t in cuts[0]] == [3, 1, 1, 1, 3] and [t for _, ts in cuts[0] for t in ts] == texts
+
+
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
