@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marketspark.functions.rolling import div
 from marketspark.operators.joins import join_index_returns
 from marketspark.operators.scan import day_of, running
+from marketspark.session import materialize
 
 CAPITAL = 100000.0
 
@@ -175,28 +176,64 @@ def approximate_stress(m: DataFrame) -> DataFrame:
     return m.withColumns({"stressed_pf": F.col("profit_factor") * 0.85 * 0.9, "stressed_dd": F.col("max_drawdown_pct") * 1.2})
 
 
-def block_bootstrap(trades: DataFrame, keys=("symbol",), order=("exit_time", "trade_id"), pnl: str = "pnl", sims: int = 200,
-                    block: int = 10, seed: int = 7) -> DataFrame:
+#: per run of trades: gross profit and loss, sum, highest and lowest running sum, drawdown; count, mean and squares of the returns
+_RUN = {"gp": 0.0, "gl": 0.0, "t": 0.0, "hi": float("-inf"), "lo": float("inf"), "dd": 0.0, "n": 0.0, "m": 0.0, "s": 0.0}
+
+
+def _end_to_end(runs: Column) -> Column:
+    """One run of many laid end to end; squares are about the runs' own means, so that a large mean costs no digits."""
+    def add(a: Column, x: Column) -> Column:
+        n, d = a["n"] + x["n"], x["m"] - a["m"]
+        part = F.when(n > 0, x["n"] / F.greatest(n, F.lit(1.0))).otherwise(0.0)
+        out = {"gp": a["gp"] + x["gp"], "gl": a["gl"] + x["gl"], "t": a["t"] + x["t"], "hi": F.greatest(a["hi"], a["t"] + x["hi"]), "lo": F.least(a["lo"], a["t"] + x["lo"]),
+               "dd": F.greatest(a["dd"], x["dd"], a["hi"] - a["t"] - x["lo"]), "n": n, "m": a["m"] + d * part, "s": a["s"] + x["s"] + d * d * a["n"] * part}
+        return F.struct(*(c.alias(k) for k, c in out.items()))
+    return F.aggregate(runs, F.struct(*(F.lit(v).alias(k) for k, v in _RUN.items())), add)
+
+
+def block_bootstrap(trades: DataFrame, keys=("symbol",), order=("exit_time", "trade_id"), pnl: str = "pnl", sims: int = 1000,
+                    block: int = 10, seed: int = 7, returns: str = "return_pct", small: int = 500_000) -> DataFrame:
     """Spread of profit factor, Sharpe and drawdown over resampled blocks of consecutive trades.
 
-    Block starts are hashes of (seed, simulation, block number), so reruns and partitionings agree.
+    Block starts are hashes of (seed, simulation, block number), so reruns and partitionings agree. Every block of
+    consecutive trades is folded once; a simulation lays the blocks it draws end to end, 256 at a time first, so no
+    key or simulation goes through one task. The folded blocks go to the draws by a broadcast when there are at most
+    ``small``, else by a shuffle. A key of ``block`` trades or fewer has no block to draw: 0 ``sims`` and null figures.
     """
-    keys = list(keys)
-    idx = running(trades.select(*keys, *order, pnl), keys, order, counts={"_n": F.lit(True)}).withColumn("_i", F.col("_n") - 1)
-    size = idx.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")).where(F.col("_total") > block)
-    # one row per block number, exploded twice in separate steps so that tasks share the work
-    plan = size.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor(F.col("_total") / block) - 1)))
-    plan = plan.repartition(*keys, "_b").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    start = F.pmod(F.xxhash64(F.lit(seed), "sim", "_b"), F.col("_total") - block)
-    picks = plan.select(*keys, "sim", "_b", F.posexplode(F.sequence(start, start + block - 1)).alias("_k", "_i"))
-    picks = picks.withColumn("_pos", F.col("_b") * block + F.col("_k"))
-    drawn = picks.join(idx.select(*keys, "_i", pnl), [*keys, "_i"])
-    m = trade_metrics(drawn, (*keys, "sim"), ("_pos",), pnl, bucket=F.floor(F.col("_pos") / 4096))
-    pf, dd = F.col("profit_factor"), F.col("max_drawdown_pct")
-    return m.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("sims"), F.avg(pf).alias("pf_mean"), F.stddev_pop(pf).alias("pf_std"),
-        F.percentile(pf, F.lit(0.05)).alias("pf_5th"), F.percentile(pf, F.lit(0.95)).alias("pf_95th"),
-        F.avg("sharpe_ratio").alias("sharpe_mean"), F.avg(dd).alias("dd_mean"), F.percentile(dd, F.lit(0.95)).alias("dd_95th"))
+    keys, step, width = list(keys), 4096, 256
+    idx = trades.select(*keys, *order, F.coalesce(F.col(pnl).cast("double"), F.lit(0.0)).alias("_v"), F.col(returns if returns in trades.columns else pnl).cast("double").alias("_r"))
+    idx = materialize(running(idx, keys, order, counts={"_n": F.lit(True)}).select(*keys, (F.col("_n") - 1).alias("_i"), "_v", "_r"))
+    every = idx.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    at, v = F.col("_i"), F.col("_v")
+    # runs of ``step`` trades, each with the trades after it that its last blocks reach
+    cut = idx.withColumn("_cut", F.explode(F.sequence(F.greatest(F.floor((at - (block - 1)) / step), F.lit(0)), F.floor(at / step))))
+    w = Window.partitionBy(*keys, "_cut").orderBy("_i").rowsBetween(0, block - 1)
+    one = {"gp": F.greatest(v, F.lit(0.0)), "gl": F.greatest(-v, F.lit(0.0)), "t": v, "hi": v, "lo": v, "dd": F.lit(0.0),
+           "n": F.col("_r").isNotNull().cast("double"), "m": F.coalesce("_r", F.lit(0.0)), "s": F.lit(0.0)}
+    runs = cut.select(*keys, "_cut", at.alias("_start"), F.collect_list(F.struct(*(c.alias(k) for k, c in one.items()))).over(w).alias("_all"))
+    runs = runs.where((F.floor(F.col("_start") / step) == F.col("_cut")) & (F.size("_all") == block)).select(*keys, "_start", _end_to_end(F.col("_all")).alias("_x"))
+    runs = materialize(runs)
+    if runs.count() <= small:
+        runs = F.broadcast(runs)
+    # one row per simulation and part of its blocks, exploded in separate steps so that tasks share the work
+    plan = every.where(F.col("_total") > block).withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.floor(F.col("_total") / block) - 1) / width))))
+    plan = plan.repartition(*keys, "_part").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).repartition(*keys, "sim", "_part")
+    last = F.least((F.col("_part") + 1) * width, F.floor(F.col("_total") / block)) - 1
+    plan = plan.withColumn("_b", F.explode(F.sequence(F.col("_part") * width, last)))
+    drawn = plan.select(*keys, "sim", "_part", "_b", F.pmod(F.xxhash64(F.lit(seed), "sim", "_b"), F.col("_total") - block).alias("_start")).join(runs, [*keys, "_start"])
+
+    def fold(df: DataFrame, by: Sequence[str], place: str) -> DataFrame:
+        parts = F.transform(F.array_sort(F.collect_list(F.struct(place, "_x"))), lambda p: p["_x"])
+        return df.groupBy(*by).agg(parts.alias("_all")).select(*by, _end_to_end(F.col("_all")).alias("_x"))
+    m = fold(fold(drawn, [*keys, "sim", "_part"], "_b"), [*keys, "sim"], "_part").select(*keys, "_x.*")
+    mean, sd = F.col("m"), F.sqrt(F.try_divide("s", "n"))
+    m = m.select(*keys, F.when(F.col("gl") > 0, F.col("gp") / F.col("gl")).otherwise(F.col("gp")).alias("pf"),
+                 F.coalesce(F.when(sd > F.abs(mean) * 1e-14, mean / sd), F.lit(0.0)).alias("sharpe"), (F.col("dd") / CAPITAL * 100).alias("dd"))
+    m = m.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("sims"), F.avg("pf").alias("pf_mean"), F.stddev_pop("pf").alias("pf_std"),
+        F.percentile("pf", F.lit(0.05)).alias("pf_5th"), F.percentile("pf", F.lit(0.95)).alias("pf_95th"),
+        F.avg("sharpe").alias("sharpe_mean"), F.avg("dd").alias("dd_mean"), F.percentile("dd", F.lit(0.95)).alias("dd_95th"))
+    return every.select(*keys).join(m, keys, "left").withColumn("sims", F.coalesce("sims", F.lit(0)).cast("long"))
 
 
 def period_rollup(trades: DataFrame, keys=("symbol", "timeframe"), ts: str = "exit_time", pnl: str = "pnl") -> DataFrame:

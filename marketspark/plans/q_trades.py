@@ -269,7 +269,7 @@ def mt_8(spark, sf):
 
 @query("mt_9_block_bootstrap")
 def mt_9(spark, sf):
-    return rnd(M.block_bootstrap(I.trades(spark, sf), sims=50), "symbol", "sims",
+    return rnd(M.block_bootstrap(I.trades(spark, sf)), "symbol", "sims",
                d="pf_mean pf_std pf_5th pf_95th sharpe_mean dd_mean dd_95th")
 
 

@@ -120,6 +120,27 @@ def test_deviation_keeps_its_digits_at_a_large_mean(spark):
     assert M.trade_metrics(own).first().sharpe_ratio == pytest.approx(2.0)
 
 
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_bootstrap_equals_plain_loops_and_keeps_short_keys(spark, small):
+    rng = np.random.default_rng(4)
+    pnls, rets = rng.normal(20, 900, 5300), rng.normal(0, 0.01, 5300)
+    rows = [("S", T0 + dt.timedelta(hours=9 * i), i, float(p), float(r)) for i, (p, r) in enumerate(zip(pnls, rets))] + [("T", T0, i, 1.0, 0.1) for i in range(10)]
+    t = spark.createDataFrame(rows, "symbol string, exit_time timestamp_ntz, trade_id long, pnl double, return_pct double")
+    got = {r.symbol: r for r in M.block_bootstrap(t, sims=40, small=small).collect()}
+    assert got["T"].sims == 0 and got["T"].pf_mean is None and got["S"].sims == 40
+    starts = {(r.s, r.b): r.x for r in spark.sql("SELECT s, b, pmod(xxhash64(7, s, b), 5290L) AS x FROM (SELECT explode(sequence(0, 39)) AS s), (SELECT explode(sequence(0L, 529L)) AS b)").collect()}
+    pf, sharpe, dd = [], [], []
+    for s in range(40):
+        at = np.concatenate([np.arange(starts[s, b], starts[s, b] + 10) for b in range(530)])
+        p, r = pnls[at], rets[at]
+        total = np.cumsum(p)
+        pf.append(p[p > 0].sum() / -p[p < 0].sum())
+        sharpe.append(r.mean() / r.std())
+        dd.append((np.maximum.accumulate(total) - total).max() / 1000)
+    want = [np.mean(pf), np.std(pf), np.percentile(pf, 5), np.percentile(pf, 95), np.mean(sharpe), np.mean(dd), np.percentile(dd, 95)]
+    np.testing.assert_allclose([got["S"][k] for k in ("pf_mean", "pf_std", "pf_5th", "pf_95th", "sharpe_mean", "dd_mean", "dd_95th")], want, rtol=1e-9)
+
+
 def test_winsorize_many_features_in_one_pass(spark):
     names = [f"f{i}" for i in range(60)]
     df = spark.range(300).select(F.lit("A").alias("symbol"), F.lit("1H").alias("timeframe"), "id", *((F.col("id") * (i + 1)).cast("double").alias(n) for i, n in enumerate(names)))
