@@ -90,7 +90,7 @@ def _term(piece: Column) -> Column:
 
 
 def _is_term(t: Column) -> Column:
-    return (F.length(t) > 1) & ~t.rlike("[0-9@]")
+    return F.length(t) > 1
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, window: int = 4, support: int = 3, bits: float = 4.0, remove: float = 0.25, generalise: float = 1.0, small: int = 100_000) -> DataFrame:
@@ -102,6 +102,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, window: int = 4, support
     what stays unknown. A term with ``support`` co-occurrences, at least ``bits`` disclosed and at most ``generalise``
     left is generalised, and removed when at most ``remove`` is left. Of several entities the one with least left counts.
 
+    Names with digits or an @ are terms like others; places inside a base span are left out by :func:`find`.
     Counts cover all documents. Pairs fold before they shuffle; words of the corpus meet the candidate terms by a
     broadcast when there are at most ``small``, else by a shuffle of folded counts.
     """

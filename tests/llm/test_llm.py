@@ -358,6 +358,19 @@ def test_pii_terms_that_reveal(spark):
     assert "term:8:15" in spans[200] and spans[100] == ""
 
 
+def test_pii_names_with_digits_reveal(spark):
+    rows = [(i, f"{prose(i, 10)} user Max1990 at m@q.example or +49 30 12345678 {prose(i + 50, 10)}") for i in range(6)] + [(100 + i, prose(200 + i, 40)) for i in range(30)] + [(200, "so said max1990!")]
+    path = scratch_path(spark, "names")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    spans = {r["doc_id"]: r["spans"] for r in pii_disclosure.digest(pii_disclosure.find(numbered(spark.read.parquet(path)))).collect()}
+    assert spans[200] == "term:8:15"
+    for doc, text in rows[:6]:
+        a, b = text.index("m@q.example"), text.index("+49")
+        found = [s.split(":") for s in spans[doc].split(",")]
+        terms = [(int(x), int(y)) for k, x, y in found if k == "term"]
+        assert (text.index("Max1990"), text.index("Max1990") + 7) in terms and not any(x < q and p < y for x, y in terms for p, q in ((a, a + 11), (b, b + 15)))
+
+
 def test_decontamination(spark, docs):
     items = [(i, prose(900 + i, 12 + 2 * i)) for i in range(20)] + [(50, "one two"), (51, None), (52, ""), (53, prose(999, 150))]
     para = items[5][1].split()
