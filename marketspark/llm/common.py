@@ -45,6 +45,18 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with ``table`` (one row for each key); both stored, as they are read more than once.
+
+    Keys that hold more than one in ``4 * shuffle partitions`` of the rows, of which there are at most that many, meet
+    by a broadcast; the others by Spark's own choice, where no key is large any more.
+    """
+    most = 4 * shuffles(rows.sparkSession)
+    hot = stash(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") * most > rows.count()).select(*keys), "hot-keys")
+    few = F.broadcast(table.join(F.broadcast(hot), keys, "left_semi"))
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys))
+
+
 def is_training(doc_id: str, folds: int):
     """False for the held-out rows: crc32 of the id as text divisible by ``folds``; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds != 0

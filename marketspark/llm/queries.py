@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketspark.llm import backoff_lm, chat_prefix, hilbert_shards, jaccard_join, lp_packing, lsi_decontam, pii_disclosure, toxicity, trie_dedup, url_vocab
+from marketspark.llm import backoff_lm, chat_prefix, hilbert_shards, jaccard_join, lp_packing, lsi_decontam, pii_disclosure, son_collocations, target_resampling, toxicity, trie_dedup, url_vocab, warc_chain
 from marketspark.llm.common import numbered
+from marketspark.llm.target_resampling_sql import resample_sql
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -66,6 +67,18 @@ def op10_pii_disclosure(spark: SparkSession, sf: str) -> DataFrame:
     return pii_disclosure.digest(pii_disclosure.find(numbered(table(spark, sf, "documents"))))
 
 
+def op11_target_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return target_resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op12_warc_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return warc_chain.round_trip(numbered(table(spark, sf, "pages")))
+
+
+def op13_son_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return son_collocations.collocations(table(spark, sf, "documents"))
+
+
 OP1_SQL = """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (SELECT *, row_number() OVER o AS i, count(*) OVER (PARTITION BY conv_id) AS n, length(regexp_replace(role, '[<\\[\\\\]', '..', 'g')) + 16
@@ -80,5 +93,6 @@ g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY char
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_chat_prefix, op2_jaccard_join, op3_lsi_decontam, op4_hilbert_shards, op5_trie_dedup, op6_toxicity, op7_url_vocab, op8_lp_packing, op9_backoff_lm, op10_pii_disclosure)}
-ORACLES: dict[str, str] = {"op1_chat_prefix": OP1_SQL, "op5_trie_dedup": OP5_SQL, "op7_url_vocab": url_vocab.judge_sql(RULES)}
+    op1_chat_prefix, op2_jaccard_join, op3_lsi_decontam, op4_hilbert_shards, op5_trie_dedup, op6_toxicity, op7_url_vocab, op8_lp_packing, op9_backoff_lm, op10_pii_disclosure, op11_target_resampling, op12_warc_chain, op13_son_collocations)}
+ORACLES: dict[str, str] = {"op1_chat_prefix": OP1_SQL, "op5_trie_dedup": OP5_SQL, "op7_url_vocab": url_vocab.judge_sql(RULES),
+                           "op11_target_resampling": resample_sql(), "op12_warc_chain": warc_chain.round_trip_sql(), "op13_son_collocations": son_collocations.collocations_sql()}
