@@ -32,7 +32,7 @@ def atr(s: Series, *periods: int) -> Series:
 
 
 def ema(s: Series, *periods: int) -> Series:
-    s = s.emas(**{f"ema{n}": ("close", span(n)) for n in periods})
+    s = s.emas(dense=True, **{f"ema{n}": ("close", span(n)) for n in periods})
     return s.add(**{f"ema{n}_dist": div(F.col("close") - F.col(f"ema{n}"), F.col("close")) for n in periods})
 
 
@@ -59,8 +59,8 @@ def rsi(s: Series, *periods: int) -> Series:
 
 
 def macd(s: Series, fast: int = 12, slow: int = 26, signal: int = 9, adjust: bool = False) -> Series:
-    s = s.emas(adjust=adjust, _fast=("close", span(fast)), _slow=("close", span(slow)))
-    s = s.add(macd=F.col("_fast") - F.col("_slow")).emas(adjust=adjust, macd_signal=("macd", span(signal)))
+    s = s.emas(adjust=adjust, dense=True, _fast=("close", span(fast)), _slow=("close", span(slow)))
+    s = s.add(macd=F.col("_fast") - F.col("_slow")).emas(adjust=adjust, dense=True, macd_signal=("macd", span(signal)))
     return s.add(macd_hist=F.col("macd") - F.col("macd_signal"), macd_positive=flag(F.col("macd") > 0),
                  macd_cross_up=R.crosses_above(s, "macd", "macd_signal"))
 
@@ -120,7 +120,7 @@ def adx(s: Series, n: int = 14) -> Series:
 def adx_ewm(s: Series, n: int = 14) -> Series:
     """Directional index smoothed with ``n``-span exponential averages; DX is 0 with no movement."""
     s = directional(s)
-    s = s.emas(_atr=("_tr", span(n)), _p=("_pdm", span(n)), _m=("_mdm", span(n)))
+    s = s.emas(dense=True, _atr=("_tr", span(n)), _p=("_pdm", span(n)), _m=("_mdm", span(n)))
     s = s.add(plus_di=div("_p", "_atr") * 100, minus_di=div("_m", "_atr") * 100)
     s = s.add(_dxe=F.coalesce(_dx(), F.lit(0.0)))
     return s.emas(adx=("_dxe", span(n)))
@@ -151,11 +151,11 @@ def obv(s: Series) -> Series:
     """Signed running volume; the first row has no change and stays null."""
     s = s.add(_sv=F.signum(R.diff(s, "close")) * F.col("volume")).running_sums(_obv="_sv")
     s = s.add(obv=F.when(F.col("_sv").isNotNull(), F.col("_obv")))
-    return s.emas(adjust=True, obv_ema=("obv", span(20), 1))
+    return s.emas(adjust=True, dense=True, obv_ema=("obv", span(20), 1))
 
 
 def keltner(s: Series, n: int = 20, k: float = 2.0) -> Series:
-    s = s if s.has("ema20") else s.emas(**{f"ema{n}": ("close", span(n))})
+    s = s if s.has("ema20") else s.emas(dense=True, **{f"ema{n}": ("close", span(n))})
     s = s if s.has("bb_width") else bollinger(s, n, rank=None)
     s = atr(s, 14, 20)
     band, mid = F.coalesce("atr20", "atr14"), F.col(f"ema{n}")
@@ -239,8 +239,8 @@ def momentum_shape(s: Series) -> Series:
                  hh_count=R.count_of(s, "hh", 10), ll_count=R.count_of(s, "ll", 10))
 
 
-def wilder(s: Series, **specs) -> Series:
-    """Wilder averages ``name=(column, n[, leading_nulls])``."""
-    return s.emas(**{k: (v[0], wilder_alpha(v[1]), *v[2:]) for k, v in specs.items()})
+def wilder(s: Series, dense: bool = False, **specs) -> Series:
+    """Wilder averages ``name=(column, n)``; ``dense`` as in :meth:`~marketspark.operators.series.Series.emas`."""
+    return s.emas(dense=dense, **{k: (v[0], wilder_alpha(v[1]), *v[2:]) for k, v in specs.items()})
 
 

@@ -39,13 +39,13 @@ def moving_averages(s: Series) -> Series:
 def ema_family(s: Series) -> Series:
     """EMA; DEMA = 2a-b, TEMA = 3a-3b+c of repeated averages; T3 with volume factor .7; TRIX = change of the triple
     average; MACD 12/26/9, MACDFIX with factors .15 and .075; APO, PPO and MACDEXT from simple means."""
-    s = s.emas(**{f"ema_{n}": ("close", span(n)) for n in (5, 10, 20, 30, 50, 100, 200)},
+    s = s.emas(dense=True, **{f"ema_{n}": ("close", span(n)) for n in (5, 10, 20, 30, 50, 100, 200)},
                _e12=("close", span(12)), _e26=("close", span(26)), _f1=("close", 0.15), _f2=("close", 0.075))
     s = s.add(macd=F.col("_e12") - F.col("_e26"), macdfix=F.col("_f1") - F.col("_f2"), _a=R.mean(s, "close", 12), _b=R.mean(s, "close", 26))
     s = s.add(apo=F.col("_a") - F.col("_b"), ppo=div(F.col("_a") - F.col("_b"), "_b") * 100, macdext=F.col("_a") - F.col("_b"))
-    s = s.emas(**{f"_d{n}": (f"ema_{n}", span(n)) for n in (5, 10, 20, 30)}, macd_signal=("macd", span(9)), macdfix_signal=("macdfix", span(9)))
-    s = s.emas(**{f"_t{n}": (f"_d{n}", span(n)) for n in (5, 10, 20, 30)}).emas(_q5=("_t5", span(5))).emas(_v5=("_q5", span(5)))
-    s = s.emas(_x5=("_v5", span(5))).add(macdext_signal=R.mean(s, "macdext", 9))
+    s = s.emas(dense=True, **{f"_d{n}": (f"ema_{n}", span(n)) for n in (5, 10, 20, 30)}, macd_signal=("macd", span(9)), macdfix_signal=("macdfix", span(9)))
+    s = s.emas(dense=True, **{f"_t{n}": (f"_d{n}", span(n)) for n in (5, 10, 20, 30)}).emas(dense=True, _q5=("_t5", span(5))).emas(dense=True, _v5=("_q5", span(5)))
+    s = s.emas(dense=True, _x5=("_v5", span(5))).add(macdext_signal=R.mean(s, "macdext", 9))
     a = 0.7
     t3 = (F.col("_x5") * -a ** 3 + F.col("_v5") * (3 * a ** 2 + 3 * a ** 3) + F.col("_q5") * (-6 * a ** 2 - 3 * a - 3 * a ** 3)
           + F.col("_t5") * (1 + 3 * a + a ** 3 + 3 * a ** 2))
@@ -64,7 +64,7 @@ def kama(s: Series, n: int = 30) -> Series:
     s = s.add(_sc=F.pow(F.col("_er") * (fast - slow) + slow, F.lit(2.0)))
     seed = s.index == n - 1
     keep = F.when(seed, 1.0).otherwise(1 - F.col("_sc"))
-    s = s.affine(f"_kama{n}", keep, F.when(seed, F.col("close")).otherwise(F.col("_sc") * F.col("close")), n - 1, slow ** 2)
+    s = s.affine(f"_kama{n}", keep, F.when(seed, F.col("close")).otherwise(F.col("_sc") * F.col("close")), n - 1, warm=n + 1)
     return s.add(**{f"kama_{n}": F.when(s.index >= n, F.col(f"_kama{n}"))})
 
 
@@ -73,13 +73,13 @@ def wilder_family(s: Series, n: int = 14) -> Series:
     s = ind.directional(s)
     d = R.diff(s, "close")
     s = s.add(trange=F.col("_tr"), _g=F.when(d > 0, d).otherwise(F.when(d.isNotNull(), 0.0)), _ls=F.when(d < 0, -d).otherwise(F.when(d.isNotNull(), 0.0)))
-    s = ind.wilder(s, atr=("_tr", n), plus_dm=("_pdm", n), minus_dm=("_mdm", n),
+    s = ind.wilder(s, dense=True, atr=("_tr", n), plus_dm=("_pdm", n), minus_dm=("_mdm", n),
                    **{f"_g{k}": ("_g", k, 1) for k in (7, 14, 21)}, **{f"_l{k}": ("_ls", k, 1) for k in (7, 14, 21)})
     s = s.add(natr=div("atr", "close") * 100, plus_di=div("plus_dm", "atr") * 100, minus_di=div("minus_dm", "atr") * 100,
               **{f"rsi_{k}": ind.rsi_expr(F.col(f"_g{k}"), F.col(f"_l{k}")) for k in (7, 14, 21)},
               cmo=div(F.col("_g14") - F.col("_l14"), F.col("_g14") + F.col("_l14")) * 100)
     s = s.add(dx=F.coalesce(div(F.abs(F.col("plus_di") - F.col("minus_di")) * 100, F.col("plus_di") + F.col("minus_di")), F.lit(0.0)))
-    s = ind.wilder(s, adx=("dx", n))
+    s = ind.wilder(s, dense=True, adx=("dx", n))
     return s.add(adxr=(F.col("adx") + s.lag("adx", n - 1)) / 2)
 
 
@@ -123,7 +123,7 @@ def volume_lines(s: Series) -> Series:
     rng = F.col("high") - F.col("low")
     clv = F.coalesce(div(F.col("close") * 2 - F.col("low") - F.col("high"), rng), F.lit(0.0))
     s = s.add(_sv=F.when(s.index == 0, F.col("volume")).otherwise(F.signum(R.diff(s, "close")) * F.col("volume")), _mf=clv * F.col("volume"))
-    s = s.running_sums(obv="_sv", ad="_mf").emas(_a3=("ad", span(3)), _a10=("ad", span(10)))
+    s = s.running_sums(obv="_sv", ad="_mf").emas(dense=True, _a3=("ad", span(3)), _a10=("ad", span(10)))
     return s.add(adosc=F.col("_a3") - F.col("_a10"))
 
 
@@ -134,7 +134,7 @@ def price_transforms() -> dict[str, Column]:
 
 def bands(s: Series) -> Series:
     """Bollinger of 20 and 50 with population deviation, Keltner 20 around EMA20 with 2 ATR20, Donchian 20 of current rows."""
-    s = s.emas(_e=("close", span(20)))
+    s = s.emas(dense=True, _e=("close", span(20)))
     s = s.add(_tr=ind.tr_expr(s), **{f"bb_mid_{n}": R.mean(s, "close", n) for n in (20, 50)}, **{f"_sd{n}": R.std_pop(s, "close", n) for n in (20, 50)},
               donch_up20=R.high(s, "high", 20), donch_lo20=R.low(s, "low", 20))
     s = s.add(_ka=R.mean(s, "_tr", 20), **{f"bb_up_{n}": F.col(f"bb_mid_{n}") + F.col(f"_sd{n}") * 2 for n in (20, 50)},

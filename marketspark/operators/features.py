@@ -43,7 +43,7 @@ def live(s: Series) -> Series:
     """Essential live columns; library indicators are Wilder and exponential ones."""
     s = ta.volume_lines(s)  # first: it reads the series twice
     s = ind.keltner(s)
-    s = s.emas(ema50=("close", span(50)), ema200=("close", span(200)))
+    s = s.emas(dense=True, ema50=("close", span(50)), ema200=("close", span(200)))
     s = s.add(returns=R.pct_change(s, "close", 1), log_returns=R.log_return(s, "close"), **{f"sma{n}": R.mean(s, "close", n) for n in (10, 20, 50)})
     s = s.add(vol_10=R.std(s, "returns", 10), vol_20=R.std(s, "returns", 20), **{f"close_vs_sma{n}": div(F.col("close") - F.col(f"sma{n}"), f"sma{n}") for n in (10, 20, 50)},
               **{f"ema{n}_slope": div(R.diff(s, f"ema{n}", 5), F.abs(s.lag(f"ema{n}", 5))) for n in (20, 50, 200)},
@@ -138,7 +138,7 @@ def engineered(s: Series) -> Series:
               _q=R.quantile(s, "bb_width", 100, 0.2), rsi_divergence=R.diff(s, "rsi14", 5) - x("return_5") * 100, adx_slope=R.diff(s, "adx", 3),
               macd_hist_slope=R.diff(s, "macd_hist", 3), macd_zero_cross=flag(x("macd_hist") * s.lag("macd_hist") < 0), skewness_20=R.skew(s, "return_1", 20),
               kurtosis_20=R.kurt(s, "return_1", 20))
-    s = s.emas(adjust=True, **{f"momentum_{k}_ema": (f"momentum_{k}", span(k // 2), k) for k in (5, 10, 20, 50)})
+    s = s.emas(adjust=True, dense=True, **{f"momentum_{k}_ema": (f"momentum_{k}", span(k // 2), k) for k in (5, 10, 20, 50)})
     s = s.add(**{f"vol_{n}_zscore": R.zscore(s, f"vol_{n}", 100) for n in (10, 20, 50)})
     h, rsi = F.hour("bar_ts"), x("rsi14")
     s = s.add(mean_reversion_20=div(c - x("ema20"), atr), mean_reversion_50=div(c - x("ema50"), atr), trend_alignment=flag(x("ema10") > x("ema50")) * 2 - 1,
@@ -156,7 +156,7 @@ def trend(s: Series) -> Series:
     x, c = F.col, F.col("close")
     spans = (8, 21, 55, 144, 233)
     s = ind.adx_ewm(s)
-    s = s.emas(**{f"ema_{n}": ("close", span(n)) for n in spans})
+    s = s.emas(dense=True, **{f"ema_{n}": ("close", span(n)) for n in spans})
     s = s.add(**{f"mom_{k}": R.pct_change(s, "close", k) for k in (3, 5, 10, 20, 40, 60, 120)}, atr_14=R.mean(s, "_tr", 14), atr_28=R.mean(s, "_tr", 28),
               return_1=R.pct_change(s, "close", 1), hh=flag(x("high") > s.lag("high")), ll=flag(x("low") < s.lag("low")), range=div(x("high") - x("low"), "close"),
               ema_8_slope=R.pct_change(s, "ema_8", 5), ema_21_slope=R.pct_change(s, "ema_21", 10), ema_55_slope=R.pct_change(s, "ema_55", 20),

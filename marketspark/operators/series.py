@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from marketspark.operators.decay import MOST, decayed, step_decay
+from marketspark.operators.order_stats import Stat, with_stats
 from marketspark.schema import KEYS, ORDER
 from marketspark.session import materialize
 
@@ -54,7 +56,7 @@ class Series:
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], block: int, back: int, fwd: int):
         self._df, self.keys, self.order = df, tuple(keys), tuple(order)
         self.block, self.back, self.fwd = block, back, fwd
-        self._pending: dict[int, dict[str, Column]] = {}
+        self._pending: dict[int, dict[str, Column | Stat]] = {}
         self._level: dict[str, int] = {}
         self._names = set(df.columns)
         self._part = [*self.keys, "_blk"]
@@ -107,7 +109,8 @@ class Series:
 
     def _without_helpers(self, cols) -> Series:
         """The series about to have columns replaced: what was known of their old values goes."""
-        return self._with(self.df.drop(*(f"_q_{c}" for c in cols)))
+        ends = tuple(f"__{c}" for c in cols)
+        return self._with(self.df.drop(*(f"_q_{c}" for c in cols), *(n for n in self._names if n.startswith(("_o_", "_f")) and n.endswith(ends))))
 
     def ensure(self, **sql: str) -> None:
         """Add helper columns, given as SQL text, to this very series unless it has them."""
@@ -118,11 +121,33 @@ class Series:
             self._pending.setdefault(self._level[name], {})[name] = c
         self._names = self._names | new.keys()
 
+    def order_stat(self, stat: Stat) -> Column:
+        """A quantile or rank of a moving frame. The column is added to this very series; all that are asked for before
+        one of them is read are found in one pass."""
+        name = f"_o_{stat.kind}_{stat.n}_{stat.need}_{str(stat.q).replace('.', '_')}__{stat.column}"
+        if name not in self._names:
+            self._level[name] = 1 + self._level.get(stat.column, 0)
+            self._pending.setdefault(self._level[name], {})[name] = stat
+            self._names = self._names | {name}
+        return F.col(name)
+
     @property
     def df(self) -> DataFrame:
         """The rows with every column added so far."""
+        asked: dict[str, Stat] = {}
+
+        def told():
+            if asked:
+                self._df = with_stats(self._df, self._part, self._sort, asked)
+                asked.clear()
         for k in sorted(self._pending):
-            self._df = self._df.withColumns(self._pending[k])
+            plain = {n: c for n, c in self._pending[k].items() if not isinstance(c, Stat)}
+            stats = {n: c for n, c in self._pending[k].items() if isinstance(c, Stat)}
+            if asked and (any(asked.keys() & set(_NAME.findall(str(c))) for c in plain.values()) or any(s.column in asked for s in stats.values())):
+                told()
+            self._df = self._df.withColumns(plain) if plain else self._df
+            asked |= stats
+        told()
         self._pending, self._level = {}, {}
         return self._df
 
@@ -144,85 +169,117 @@ class Series:
         """Keep rows; windows added later no longer see the others."""
         return self._with(self.df.where(cond))
 
-    def emas(self, adjust: bool = False, **specs: tuple[str, float] | tuple[str, float, int]) -> Series:
-        """Exponential averages ``name=(column, alpha)``, from the first value of the column on.
-
-        ``y_t = (1-a) y_{t-1} + a x_t`` is a running sum of ``x_k (1-a)^-k`` scaled back. The sum
-        runs inside a sub-block short enough not to overflow and long enough that only the sub-block
-        before it still counts, whose last value is carried over. No recursion, no Python.
+    def emas(self, adjust: bool = False, dense: bool = False, **specs: tuple[str, float] | tuple[str, float, int]) -> Series:
+        """Exponential averages ``name=(column, alpha)``, from the first value of the column on, for any alpha in (0, 1].
 
         A null row keeps the average and ages it: after ``g`` nulls the old average weighs ``p = (1-a)^(g+1)``
-        against ``a`` of the new value, so the step's decay is ``p / (p + a)``. Adjusted averages divide by a second
-        sum, that of the weights of the rows with values; after a sub-block without any they are null. Borders are exact
-        to rounding while at least half of the rows near them hold values.
+        against ``a`` of the new value. Adjusted averages divide by the weights of the rows with values.
+
+        Every block is first averaged as if the series began in it; its whole effect on later rows is then one affine
+        map. The maps of all earlier blocks are composed and the result is put in at the block's first value
+        (:meth:`_carried_emas`), so no row is out of reach, however sparse the column. ``dense`` promises a column
+        without nulls after its first value. What is older than the halo then no longer counts, and where the halo is
+        long enough for that the maps are spared.
         """
-        gaps: dict[str, Column] = {}
-        decays: dict[str, Column] = {}
+        near: dict[str, tuple[str, float]] = {}
+        far: dict[str, tuple[str, float]] = {}
+        for name, spec in specs.items():
+            rate = -math.log1p(-spec[1]) if spec[1] < 1 else MOST
+            enough = self.back >= DECAY / rate and LEVELS[0] * rate >= DECAY * 0.9 and LEVELS[-1] * rate <= 600
+            (near if dense and enough else far)[name] = spec[:2]
+        s = self._dense_emas(adjust, near) if near else self
+        return s._carried_emas(adjust, far) if far else s
+
+    def _dense_emas(self, adjust: bool, specs: dict[str, tuple[str, float]]) -> Series:
+        """``y_t = (1-a) y_{t-1} + a x_t`` as a running sum of ``x_k (1-a)^-k`` scaled back. The sum runs inside a sub-block
+        short enough not to overflow and so long that only the one before still counts; its last value is carried over."""
+        first: dict[str, Column] = {}
         sums: dict[str, Column] = {}
         carry: dict[str, Column] = {}
         out: dict[str, Column] = {}
-        part = ", ".join(f"`{c}`" for c in self._part)
-        prev = f"OVER (PARTITION BY {part} ORDER BY {', '.join(self._sort)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-        for name, spec in specs.items():
-            x, a = spec[:2]
-            decay = -math.log1p(-a)
-            size = next((n for n in reversed(LEVELS) if n * decay >= DECAY), LEVELS[0])
-            if size * decay > 600:
-                raise ValueError(f"alpha {a} too close to 1")
-            if LEVELS[0] * decay < DECAY * 0.9:
-                raise ValueError(f"alpha {a} too small for sub-blocks of {LEVELS[0]} rows")
-            if self.back < DECAY / decay:
-                raise ValueError(f"{name}: halo of {self.back} rows is shorter than {DECAY / decay:.0f}")
+        spec = f"PARTITION BY {', '.join(f'`{c}`' for c in self._part)} ORDER BY {', '.join(self._sort)} ROWS BETWEEN UNBOUNDED PRECEDING AND"
+        for name, (x, a) in specs.items():
+            rate = -math.log1p(-a)
+            size = next((n for n in reversed(LEVELS) if n * rate >= DECAY), LEVELS[0])
             cut = ", ".join(f"_c{n}" for n in LEVELS if n >= size)
             rest = ", ".join([f"_c{n}" for n in LEVELS if n < size] + ["_i"])
-            inner = f"OVER (PARTITION BY {part}, {cut} ORDER BY {rest} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-            t, p, lam = f"_s_{name}", f"_p_{name}", f"{decay!r}D"
-            end = f"_i % {size} = {size - 1}"
+            inner = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in self._part)}, {cut} ORDER BY {rest} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+            t, p, q, lam, off = f"_s_{name}", f"_p_{name}", f"_q_{x}", f"{rate!r}D", f"(_i % {size})"
+            if not self.has(q):
+                first[q] = F.expr(f"min(CASE WHEN `{x}` IS NOT NULL THEN _i END) OVER ({spec} CURRENT ROW)")
+            gain = "" if adjust else f"* CASE WHEN _i = `{q}` THEN 1D ELSE {a!r}D END"
+            sums[t] = F.expr(f"exp(-{lam} * {off}) * sum(`{x}` {gain} * exp({lam} * {off})) {inner}")
+            carry[p] = F.expr(f"last(CASE WHEN _i % {size} = {size - 1} THEN `{t}` END, true) OVER ({spec} 1 PRECEDING)")
+            y = f"`{t}` + coalesce(`{p}`, 0D) * exp(-{lam} * ({off} + 1))"
             if adjust:
-                off, w, pw = f"(_i % {size})", f"_w_{name}", f"_v_{name}"
-                for total, before, v in ((t, p, f"`{x}`"), (w, pw, f"CASE WHEN `{x}` IS NOT NULL THEN 1D END")):
-                    sums[total] = F.expr(f"exp(-{lam} * {off}) * sum({v} * exp({lam} * {off})) {inner}")
-                    carry[before] = F.expr(f"last(CASE WHEN {end} THEN coalesce(`{total}`, 0D) END, true) {prev}")
-                old = f"exp(-{lam} * ({off} + 1))"
-                out[name] = F.expr(f"try_divide(coalesce(`{t}`, 0D) + coalesce(`{p}`, 0D) * {old}, coalesce(`{w}`, 0D) + coalesce(`{pw}`, 0D) * {old})")
-                continue
-            q, d, e = f"_q_{x}", f"_d_{name}", f"_e_{name}"
-            if not self.has(q):  # the row of the value before
-                gaps[q] = F.expr(f"max(CASE WHEN `{x}` IS NOT NULL THEN _i END) {prev}")
-            age = f"{lam} * (_i - `{q}`)"
-            step = f"CASE WHEN _i - `{q}` = 1 THEN {lam} ELSE least({DECAY}D, {age} + ln(exp(-{age}) + {a!r}D)) END"
-            decays[d] = F.expr(f"CASE WHEN `{x}` IS NULL OR `{q}` IS NULL THEN 0D ELSE {step} END")
-            decays[e] = F.expr(f"sum(`{d}`) {inner}")
-            gain = f"CASE WHEN `{q}` IS NULL THEN 1D WHEN _i - `{q}` = 1 THEN {a!r}D ELSE 1D - exp(-`{d}`) END"
-            sums[t] = F.expr(f"exp(-`{e}`) * sum(`{x}` * {gain} * exp(`{e}`)) {inner}")
-            carry[p] = F.expr(f"last(CASE WHEN {end} THEN `{t}` END, true) {prev}")
-            out[name] = F.expr(f"CASE WHEN `{t}` IS NOT NULL OR `{p}` IS NOT NULL THEN coalesce(`{t}`, 0D) + coalesce(`{p}`, 0D) * exp(-`{e}`) END")
-        s = self.add(**gaps) if gaps else self
-        s = s.add(**{n: c for n, c in decays.items() if n.startswith("_d_")}).add(**{n: c for n, c in decays.items() if n.startswith("_e_")}) if decays else s
+                y = f"({y}) / ((1D - exp(-{lam} * (_i - `{q}` + 1))) / {a!r}D)"
+            out[name] = F.expr(f"CASE WHEN `{x}` IS NOT NULL THEN {y} END")
+        s = self.add(**first) if first else self
         return s.add(**sums).add(**carry).add(**out)
 
-    def affine(self, name: str, keep: Column, add: Column, first: int, floor: float) -> Series:
-        """Recursion ``y_t = keep_t y_{t-1} + add_t`` from row ``first`` on, with ``keep_t`` in (0, exp(-floor)].
-
-        Each sub-block is an affine map found with running sums; maps of the sub-blocks before it are
-        folded for the value carried in. Rows older than ``DECAY / floor`` no longer count.
+    def _carried_emas(self, adjust: bool, specs: dict[str, tuple[str, float]]) -> Series:
+        """Averages of any decay and density; see :meth:`emas`."""
+        df = self.df
+        prev = self.upto.rowsBetween(Window.unboundedPreceding, -1)
+        at = {x: F.when(F.col(x).isNotNull(), F.col("_i")) for x, _ in specs.values()}
+        rate = {name: -math.log1p(-a) if a < 1 else MOST for name, (_, a) in specs.items()}
+        sums = ("num", "den") if adjust else ("num",)
+        scans = {n: (f"_d_{n}", {f"_{k}_{n}": f"_b_{k}_{n}" for k in sums}) for n in specs}
+        df = df.withColumns({f"_y_{x}": F.max(i).over(prev) for x, i in at.items()})  # the row of the value before
+        df = df.withColumns({f"_d_{n}": F.when(F.col(x).isNotNull() & F.col(f"_y_{x}").isNotNull(), step_decay(F.col("_i") - F.col(f"_y_{x}"), a, rate[n], adjust)).otherwise(0.0) for n, (x, a) in specs.items()})
+        gain = {n: F.lit(1.0) if adjust else F.when(F.col(f"_y_{x}").isNotNull(), -F.expm1(-F.col(f"_d_{n}"))).otherwise(1.0) for n, (x, _) in specs.items()}
+        df = df.withColumns({f"_b_{k}_{n}": F.when(F.col(x).isNotNull(), (F.col(x) if k == "num" else F.lit(1.0)) * gain[n]) for n, (x, _) in specs.items() for k in sums})
+        df = decayed(df, self._part, self._sort, scans)
+        # a block's map: up to where the next block's rows, halo included, begin
+        mine = F.col("_i") < (F.col("_blk") + 1) * self.block - self.back
+        fold = {}
+        for x, i in at.items():
+            fold |= {f"_first_{x}": F.min(i), f"_from_{x}": F.min_by(F.col(x).cast("double"), i), f"_last_{x}": F.max(F.when(mine, i))}
+        for n in specs:
+            fold |= {f"_E_{n}": F.max(F.when(mine, F.col(f"_D_{n}")))} | {f"_e_{k}_{n}": F.max_by(f"_{k}_{n}", F.when(mine, F.col("_i"))) for k in sums}
+        maps = df.groupBy(*self._part).agg(*(c.alias(n) for n, c in fold.items()))
+        before = Window.partitionBy(*self.keys).orderBy("_blk")
+        maps = maps.withColumns({f"_y_{x}": F.max(f"_last_{x}").over(before.rowsBetween(Window.unboundedPreceding, -1)) for x in at})
+        late = {n: F.col(f"_last_{x}").isNotNull() for n, (x, _) in specs.items()}
+        met = {n: F.col(f"_y_{x}").isNotNull() for n, (x, _) in specs.items()}
+        maps = maps.withColumns({f"_j_{n}": F.when(met[n], step_decay(F.col(f"_first_{x}") - F.col(f"_y_{x}"), a, rate[n], adjust)) for n, (x, a) in specs.items()})
+        maps = maps.withColumns({f"_d_{n}": F.when(late[n] & met[n], F.col(f"_E_{n}") + F.col(f"_j_{n}")).otherwise(0.0) for n in specs})
+        # what the block's first value would have been without the average that comes in
+        lost = {n: F.lit(0.0) if adjust else F.when(met[n], F.exp(-F.col(f"_d_{n}")) * F.col(f"_from_{x}")).otherwise(0.0) for n, (x, _) in specs.items()}
+        maps = maps.withColumns({f"_b_{k}_{n}": F.when(late[n], F.col(f"_e_{k}_{n}") - (lost[n] if k == "num" else 0.0)) for n in specs for k in sums})
+        maps = decayed(maps, self.keys, ["_blk"], {n: (f"_d_{n}", {f"_z_{k}_{n}": f"_b_{k}_{n}" for k in sums}) for n in specs})
+        maps = maps.withColumns({f"_c_{k}_{n}": F.when(met[n], F.lag(f"_z_{k}_{n}").over(before)) for n in specs for k in sums})
+        link = {f"_in_{k}_{n}": F.exp(-F.col(f"_j_{n}")) * (F.col(f"_c_{k}_{n}") - (F.lit(0.0) if adjust else F.col(f"_from_{x}"))) for n, (x, _) in specs.items() for k in sums}
+        maps = maps.withColumns(link).select(*self._part, *link, *(f"_c_{k}_{n}" for n in specs for k in sums))
+        df = df.join(maps, self._part, "left")
+        out = {}
+        for n, (x, _) in specs.items():
+            started = F.col(x).isNotNull() | F.col(f"_y_{x}").isNotNull()
+            total = {k: F.when(started, F.col(f"_{k}_{n}") + F.exp(-F.col(f"_D_{n}")) * F.coalesce(f"_in_{k}_{n}", F.lit(0.0))).otherwise(F.col(f"_c_{k}_{n}")) for k in sums}
+            out[n] = F.try_divide(total["num"], total["den"]) if adjust else total["num"]
+        df = df.withColumns(out)
+        extra = [c for n in specs for c in (f"_d_{n}", f"_D_{n}", *(f"_{p}{k}_{n}" for k in sums for p in ("", "b_", "in_", "c_")))]
+        return self._with(df.drop(*extra, *(f"_y_{x}" for x in at)))
+
+    def affine(self, name: str, keep: Column, add: Column, first: int, warm: int = 0) -> Series:
+        """Recursion ``y_t = keep_t y_{t-1} + add_t`` from row ``first`` of the series on, with ``keep_t`` in [0, 1].
+
+        Every block is an affine map; those of all earlier blocks are composed for the value carried in. Where
+        ``keep`` or ``add`` look back themselves, the first ``warm`` rows of a block's halo are left out.
         """
-        size = LEVELS[2]
-        live = F.col("_i") >= first
-        df = self.df.withColumns({"_k": F.when(live, -F.ln(keep)).otherwise(0.0), "_b": F.when(live, add).otherwise(0.0)})
-        inner = (Window.partitionBy(*self._part, *self._sort[:3]).orderBy(*self._sort[3:])
-                 .rowsBetween(Window.unboundedPreceding, 0))
-        df = df.withColumn("_e", F.sum("_k").over(inner))
-        df = df.withColumn("_y", F.exp(-F.col("_e")) * F.sum(F.col("_b") * F.exp("_e")).over(inner))
-        sub = f"_c{size}"
-        ends = df.groupBy(*self._part, sub).agg(F.max("_e").alias("_e"), F.max_by("_y", "_i").alias("_y"))
-        n = math.ceil(DECAY / floor / size) + 1
-        past = Window.partitionBy(*self._part).orderBy(sub).rowsBetween(-n, -1)
-        ends = ends.withColumn("_in", F.aggregate(
-            F.collect_list(F.struct("_e", "_y")).over(past), F.lit(0.0), lambda acc, m: acc * F.exp(-m["_e"]) + m["_y"]))
-        df = df.join(ends.select(*self._part, sub, "_in"), [*self._part, sub])
-        df = df.withColumn(name, F.when(live, F.col("_y") + F.coalesce("_in", F.lit(0.0)) * F.exp(-F.col("_e"))))
-        return self._with(df.drop("_k", "_b", "_e", "_y", "_in"))
+        if warm > self.back:
+            raise ValueError(f"{name}: a halo of {self.back} rows is shorter than {warm}")
+        begin = lambda blk: blk * self.block - self.back + warm
+        live = (F.col("_i") >= first) & ((F.col("_blk") == 0) | (F.col("_i") >= begin(F.col("_blk"))))
+        df = self.df.withColumns({"_k": F.when(live, F.when(keep > 0, -F.ln(keep)).otherwise(MOST)).otherwise(0.0), "_b": F.when(live, add)})
+        df = decayed(df, self._part, self._sort, {"affine": ("_k", {"_y": "_b"})})
+        mine = F.when(F.col("_i") < begin(F.col("_blk") + 1), F.col("_i"))
+        maps = df.groupBy(*self._part).agg(F.max_by("_D_affine", mine).alias("_k"), F.max_by("_y", mine).alias("_b"))
+        maps = decayed(maps, self.keys, ["_blk"], {"maps": ("_k", {"_y": "_b"})})
+        maps = maps.select(*self._part, F.lag("_y").over(Window.partitionBy(*self.keys).orderBy("_blk")).alias("_in"))
+        df = df.join(maps, self._part, "left")
+        df = df.withColumn(name, F.when(live, F.col("_y") + F.coalesce("_in", F.lit(0.0)) * F.exp(-F.col("_D_affine"))))
+        return self._with(df.drop("_k", "_b", "_y", "_D_affine", "_in"))
 
     def running_sums(self, **cols: str | Column) -> Series:
         """Sums from the start of the series, halo rows included (two-level: block totals first).

@@ -179,7 +179,7 @@ def mtf_alignment_scored(s: Series, day: int = 6) -> Series:
     """Day trend from six-bar frames, bounce off EMA50, half size when the day's ATR is extreme, swing stops."""
     s = s.add(_datr=R.mean(s, "atr14", day) * (day ** 0.5), _dc=F.when(s.index >= day - 1, x("close")), _at=flag(div(F.abs(x("close") - x("ema50")), "atr14") < 0.3),
               s6b_swing_high=R.high(s, "high", 50), s6b_swing_low=R.low(s, "low", 50))
-    s = s.emas(_dema=("_dc", span(100), day - 1))
+    s = s.emas(dense=True, _dema=("_dc", span(100), day - 1))
     s = s.add(_slope=div(R.diff(s, "_dema", day), "_dema"), _q=R.quantile(s, "_datr", 100, 0.90), _pc=s.lag("close"), _was=s.lag("_at"))
     up4, dn4 = x("close") > x("ema50"), x("close") < x("ema50")
     s = s.add(s6b_aligned_up=flag((x("_dc") > x("_dema")) & (x("_slope") > 0.001) & up4), s6b_aligned_down=flag((x("_dc") < x("_dema")) & (x("_slope") < -0.001) & dn4),

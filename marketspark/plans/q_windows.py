@@ -41,7 +41,7 @@ EMA_COLS = "ema10 ema20 ema50 ema100 ema200"
                              out=q.outs(EMA_COLS)))
 def win_11(spark, sf):
     s = bars(spark, sf, FS1_HALO)
-    return rounded(s.emas(**{f"ema{n}": ("close", span(n)) for n in (10, 20, 50, 100, 200)}), EMA_COLS)
+    return rounded(s.emas(dense=True, **{f"ema{n}": ("close", span(n)) for n in (10, 20, 50, 100, 200)}), EMA_COLS)
 
 
 @query("ind_13_obv", q.chain(BARS, "bars", {"sv": f"sign(close - {q.lag('close')}) * volume"},
@@ -136,7 +136,7 @@ def win_10(s):
 @simple("win_12_ema_adjusted", FS1_HALO, "ema12a ema26a ema200a",
         [{f"ema{n}a": q.ema_adj("close", q.sp(n)) for n in (12, 26, 200)}])
 def win_12(s):
-    return s.emas(adjust=True, **{f"ema{n}a": ("close", span(n)) for n in (12, 26, 200)})
+    return s.emas(adjust=True, dense=True, **{f"ema{n}a": ("close", span(n)) for n in (12, 26, 200)})
 
 
 def sql_gaps(cols: str) -> str:
@@ -170,6 +170,25 @@ def win_11_gaps(spark, sf):
     return rounded(gapped(spark, sf).emas(ema10=("x", span(10)), ema26=("x", span(26))), "ema10 ema26")
 
 
+def sparse(spark, sf):
+    """The same bars with a close on one row in 20, in blocks of 128 rows and a halo of one row."""
+    b = I.bars(spark, sf).withColumn("x", F.when(F.col("high") * 100 % 20 < 1, F.col("close")))
+    return blocked(b, back=1, block=128)
+
+
+SPARSE = (20, 200, 1000)
+
+
+@query("win_11_ema_sparse", sql_gaps(", ".join(_gap_ema(n) for n in SPARSE)).replace("volume % 5 <> 0", "high * 100 % 20 < 1"))
+def win_11_sparse(spark, sf):
+    return rounded(sparse(spark, sf).emas(**{f"ema{n}": ("x", span(n)) for n in SPARSE}), " ".join(f"ema{n}" for n in SPARSE))
+
+
+@query("win_12_ema_adjusted_sparse", sql_gaps(", ".join(_gap_ema_adjusted(n) for n in SPARSE)).replace("volume % 5 <> 0", "high * 100 % 20 < 1"))
+def win_12_sparse(spark, sf):
+    return rounded(sparse(spark, sf).emas(adjust=True, **{f"ema{n}a": ("x", span(n)) for n in SPARSE}), " ".join(f"ema{n}a" for n in SPARSE))
+
+
 @query("win_12_ema_adjusted_gaps", sql_gaps(", ".join(_gap_ema_adjusted(n) for n in (12, 26))))
 def win_12_gaps(spark, sf):
     return rounded(gapped(spark, sf).emas(adjust=True, ema12a=("x", span(12)), ema26a=("x", span(26))), "ema12a ema26a")
@@ -177,7 +196,7 @@ def win_12_gaps(spark, sf):
 
 @simple("win_13_wilder", FS1_HALO, "wilder14 wilder7", [{f"wilder{n}": q.ema("close", 1 / n) for n in (14, 7)}])
 def win_13(s):
-    return ind.wilder(s, wilder14=("close", 14), wilder7=("close", 7))
+    return ind.wilder(s, dense=True, wilder14=("close", 14), wilder7=("close", 7))
 
 
 @simple("win_15_ffill", 10, "filled filled_full",
