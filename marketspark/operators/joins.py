@@ -4,31 +4,99 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from marketspark.operators.scan import running
+from marketspark.session import stash
 from marketspark.sources import dims
 
 
+#: rows of both sides of an as-of join that a task holds, on average
+ASOF_ROWS = 1_000_000
+
+
 def asof_join(low: DataFrame, high: DataFrame, on: Sequence[str] = ("symbol",), ts: str = "bar_ts",
-              period_seconds: int | None = None, suffix: str = "_htf") -> DataFrame:
+              period_seconds: int | None = None, suffix: str = "_htf", rows_per_task: int = ASOF_ROWS) -> DataFrame:
     """Latest row of ``high`` at or before each row of ``low``; clashing names get ``suffix``.
 
-    Both sides are stacked and the last ``high`` row is carried forward by a two-level scan, so there
-    is no range explosion and no task that holds a whole key. With ``period_seconds`` a bar of
-    ``high`` counts only from its end, so no unfinished bar is seen; without, from its start.
+    Both sides are stacked, cut into balanced ranges of (keys, time) and sorted, so a range may be any part of one
+    key's one moment and no key, day or hour is a task of its own. Inside a range the last ``high`` row is carried
+    forward. What a key's first rows in a range lack is the last ``high`` row of the ranges before: one row for each
+    range, joined back by its number. With ``period_seconds`` a bar of ``high`` counts only from its end, so no
+    unfinished bar is seen; without, from its start. A null key or time meets nothing.
     """
-    on = list(on)
+    spark, on = low.sparkSession, list(on)
     extra = [c for c in high.columns if c not in (*on, ts)]
+    own = [c for c in low.columns if c not in (*on, ts)]
     seen = F.col(ts) if period_seconds is None else F.col(ts) + F.make_dt_interval(secs=F.lit(period_seconds))
-    right = high.select(*on, seen.alias(ts), F.lit(0).alias("_side"), F.struct(F.lit(1).alias("_ok"), *extra).alias("_h"))
-    left = low.withColumn("_side", F.lit(1)).withColumn("_l", F.struct(*[c for c in low.columns if c not in (*on, ts)]))
-    both = left.select(*on, ts, "_side", "_l").unionByName(right, allowMissingColumns=True)
-    both = running(both, on, [ts, "_side"], lasts={"_hl": F.col("_h")}).where(F.col("_side") == 1)
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    right = high.select(*on, seen.alias(ts), F.lit(0).alias("_side"), F.struct(F.lit(1).alias("_"), *extra).alias("_h")).where(known & F.col(ts).isNotNull())
+    left = low.select(*on, ts, F.lit(1).alias("_side"), F.struct(F.lit(1).alias("_"), *own).alias("_l"))
+    both = stash(left.unionByName(right, allowMissingColumns=True), "asof-rows")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // rows_per_task))
+    order = [*on, ts, "_side", F.xxhash64("_l", "_h")]
+    cut = both.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    filled = StructType([*both.schema.fields, StructField("_part", IntegerType()), StructField("_open", BooleanType())])
+    told = stash(cut.mapInArrow(_carried_forward(on), filled), "asof")
+    # the last right row of each range's last key, which the next range that holds rows begins with
+    upto = Window.partitionBy(*on).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    ends = told.where("_side = 2").withColumn("_next", F.lead("_part").over(Window.orderBy("_part")))  # a row for each range
+    heads = ends.select(*on, F.col("_next").alias("_part"), F.last("_h", True).over(upto).alias("_in"), F.lit(True).alias("_open")).where("_in IS NOT NULL")
+    rows = told.where("_side = 1").join(F.broadcast(heads), [*on, "_part", "_open"], "left")
+    h = F.coalesce("_h", "_in")
     names = {c: c + suffix if c in low.columns else c for c in extra}
-    return both.select(*on, ts, *(F.col(f"_l.{c}").alias(c) for c in low.columns if c not in (*on, ts)),
-                       *(F.col(f"_hl.{c}").alias(n) for c, n in names.items()))
+    return rows.select(*on, ts, *(F.col(f"_l.{c}").alias(c) for c in own), *(h[c].alias(n) for c, n in names.items()))
+
+
+def _carried_forward(on: list[str]):
+    """Over a sorted range: left rows with the last right row of their key in the range; ``_open`` where the key may have
+    one in an earlier range; and for the range's last key its last right row, as a row of side 2."""
+    def run(batches):
+        part, first, key, held, last = TaskContext.get().partitionId(), True, None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, side, h = batch.num_rows, batch.column("_side").to_numpy(), batch.column("_h")
+            new = np.zeros(n, bool)
+            for c in on:
+                code = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            own = tuple(batch.column(c)[0].as_py() for c in on)
+            new[0] = key is None or own != key
+            if new[0]:
+                held = None
+                first = key is None
+            starts = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            latest = np.maximum.accumulate(np.where(side == 0, np.arange(n), -1))
+            inside = latest >= starts
+            later = starts > 0  # rows of keys that begin in this batch behind its first row
+            pool = pa.concat_arrays([held if held is not None else pa.nulls(1, h.type), h])
+            take = np.where(inside, latest + 1, np.where(later, -1, 0 if held is not None else -1))
+            at = np.flatnonzero(side == 1)
+            whole = pool.take(pa.array(take[at], mask=take[at] < 0))
+            open_ = (first & ~later & (take < 0))[at]
+            cols = [whole if f.name == "_h" else batch.column(f.name).take(pa.array(at)) for f in batch.schema]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(at), part, np.int32)), pa.array(open_)], names=[*batch.schema.names, "_part", "_open"])
+            if take[-1] >= 0:
+                held = pool.slice(int(take[-1]), 1)
+            elif later[-1]:
+                held = None
+            if new[1:].any():
+                first = False
+            key, last = tuple(batch.column(c)[n - 1].as_py() for c in on), batch
+        if last is not None:
+            end = last.slice(last.num_rows - 1, 1)
+            fixed = {"_side": pa.array([2], pa.int32()), "_h": held if held is not None else pa.nulls(1, last.column("_h").type), "_l": pa.nulls(1, last.column("_l").type)}
+            cols = [fixed.get(f.name, end.column(f.name)) for f in last.schema]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([part], pa.int32()), pa.array([False])], names=[*last.schema.names, "_part", "_open"])
+    return run
 
 
 def blackout_join(bars: DataFrame, events: DataFrame, currencies: DataFrame, minutes: int = 30) -> DataFrame:

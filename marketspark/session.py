@@ -44,6 +44,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
 
 
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet to the shared folder and read back: computed once, column-pruned, safe from lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once, keep on shared storage, and cut the lineage.
 
