@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketspark.functions import rolling as R
 from marketspark.functions.rolling import div
+from marketspark.operators.comoments import correlations
 from marketspark.operators.series import Series
 
 KEYS = ("symbol", "timeframe")
@@ -81,19 +82,18 @@ def lookahead_test(s: Series, feats: Sequence[str], preset: LookaheadPreset) ->
     return out.withColumn("suspicious", bad)
 
 
-def collinear(df: DataFrame, feats: Sequence[str], threshold: float = 0.95, keys: Sequence[str] = KEYS, batch: int = 500) -> DataFrame:
+def collinear(df: DataFrame, feats: Sequence[str], threshold: float = 0.95, keys: Sequence[str] = KEYS) -> DataFrame:
     """Features an earlier feature (kept or not) correlates with beyond the threshold are dropped.
 
-    All pairs come from aggregates of at most ``batch`` correlations per pass over the data.
+    All pairs come from one reading of the rows, see :func:`~marketspark.operators.comoments.correlations`.
     """
-    pairs = [(a, b) for j, b in enumerate(feats) for a in feats[:j]]
-    out = df.groupBy(*keys).agg(F.lit(feats[0]).alias("feature"), F.lit(None).cast("double").alias("max_corr")).select(*keys, "feature", "max_corr")
-    for i in range(0, len(pairs), batch):
-        part = pairs[i:i + batch]
-        agg = df.groupBy(*keys).agg(*(F.abs(agg_corr(F.col(a).cast("double"), F.col(b).cast("double"))).alias(f"_{n}") for n, (a, b) in enumerate(part)))
-        items = F.array(*(F.struct(F.lit(b).alias("feature"), F.col(f"_{n}").alias("max_corr")) for n, (_, b) in enumerate(part)))
-        out = out.unionByName(agg.select(*keys, F.inline(items)))
-    best = out.groupBy(*keys, "feature").agg(F.max("max_corr").alias("max_corr"))
+    feats = list(feats)
+    if len(feats) < 2:
+        return df.select(*keys).distinct().select(*keys, F.lit(feats[0]).alias("feature"), F.lit(None).cast("double").alias("max_corr"), F.lit(True).alias("keep"))
+    own = F.struct(F.col("b").alias("feature"), F.abs("corr").alias("max_corr"))
+    first = F.struct(F.lit(feats[0]).alias("feature"), F.lit(None).cast("double").alias("max_corr"))  # it has no earlier one
+    rows = F.when((F.col("a") == feats[0]) & (F.col("b") == feats[1]), F.array(own, first)).otherwise(F.array(own))
+    best = correlations(df, feats, keys).select(*keys, F.inline(rows)).groupBy(*keys, "feature").agg(F.max("max_corr").alias("max_corr"))
     return best.withColumn("keep", F.coalesce(F.col("max_corr") <= threshold, F.lit(True)))
 
 

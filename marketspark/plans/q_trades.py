@@ -11,6 +11,7 @@ from marketspark.operators import metrics as M
 from marketspark.operators import scoring as SC
 from marketspark.operators import sizing as SZ
 from marketspark.operators import trades as TR
+from marketspark.operators.bootstrap import start_sql
 from marketspark.operators.scan import running
 from marketspark.operators.series import blocked
 from marketspark.plans import inputs as I
@@ -267,10 +268,21 @@ def mt_8(spark, sf):
     return rnd(a.join(b, ["symbol", "timeframe"]), "symbol", "timeframe", d="profit_factor max_drawdown_pct total_return_pct stressed_pf stressed_dd")
 
 
-@query("mt_9_block_bootstrap")
+SQL_BOOT = f"""boot AS (SELECT symbol, pnl, return_pct, row_number() OVER (PARTITION BY symbol ORDER BY exit_time, trade_id) - 1 AS i FROM trades),
+sizes AS (SELECT symbol, count(*) AS n FROM boot GROUP BY symbol),
+plan AS (SELECT symbol, sim, b, {start_sql('sim', 'b', '(n - 10)', 7)} AS first FROM (SELECT symbol, n, sim, unnest(range(n // 10)) AS b FROM sizes, (SELECT unnest(range(1000)) AS sim) WHERE n > 10)),
+laid AS (SELECT symbol, sim, b * 10 + k AS place, pnl, return_pct FROM (SELECT symbol, sim, b, k, first + k AS i FROM plan, (SELECT unnest(range(10)) AS k)) JOIN boot USING (symbol, i)),
+upto AS (SELECT *, sum(pnl) OVER (PARTITION BY symbol, sim ORDER BY place ROWS UNBOUNDED PRECEDING) AS cum FROM laid),
+peaks AS (SELECT *, max(cum) OVER (PARTITION BY symbol, sim ORDER BY place ROWS UNBOUNDED PRECEDING) - cum AS fall FROM upto),
+runs AS (SELECT symbol, sim, sum(greatest(pnl, 0)) AS gp, sum(greatest(-pnl, 0)) AS gl, max(fall) / 1000 AS dd, coalesce(avg(return_pct) / nullif(stddev_pop(return_pct), 0), 0) AS sharpe FROM peaks GROUP BY symbol, sim),
+figures AS (SELECT symbol, count(*) AS sims, avg(pf) AS pf_mean, stddev_pop(pf) AS pf_std, quantile_cont(pf, 0.05) AS pf_5th, quantile_cont(pf, 0.95) AS pf_95th, avg(sharpe) AS sharpe_mean, avg(dd) AS dd_mean, quantile_cont(dd, 0.95) AS dd_95th
+ FROM (SELECT *, CASE WHEN gl > 0 THEN gp / gl ELSE gp END AS pf FROM runs) GROUP BY symbol)"""
+MT9 = "pf_mean pf_std pf_5th pf_95th sharpe_mean dd_mean dd_95th"
+
+
+@query("mt_9_block_bootstrap", f"WITH {T}, {SQL_BOOT} SELECT symbol, coalesce(sims, 0) AS sims, {', '.join(f'{q.r6(c)} AS {c}' for c in MT9.split())} FROM sizes LEFT JOIN figures USING (symbol)")
 def mt_9(spark, sf):
-    return rnd(M.block_bootstrap(I.trades(spark, sf)), "symbol", "sims",
-               d="pf_mean pf_std pf_5th pf_95th sharpe_mean dd_mean dd_95th")
+    return rnd(M.block_bootstrap(I.trades(spark, sf)), "symbol", "sims", d=MT9)
 
 
 @query("mt_10_period_rollup", f"""WITH {T}, x AS (SELECT symbol, timeframe, pnl, 'daily' AS period, exit_time::DATE AS period_start FROM trades

@@ -1,6 +1,7 @@
 """Hand-computed cases and invariants of the operators."""
 
 import datetime as dt
+import operator
 
 import numpy as np
 import pandas as pd
@@ -9,10 +10,13 @@ from helpers import T0, bars, closes, column, walk
 from pyspark.sql import functions as F
 
 from marketspark.functions.sessions import in_hours
+from marketspark.operators import bootstrap as BS
+from marketspark.operators import comoments as CM
 from marketspark.operators import joins as J
 from marketspark.operators import labels as L
 from marketspark.operators import metrics as M
 from marketspark.operators import quality as QA
+from marketspark.operators import selection as FSL
 from marketspark.operators import setups as SG
 from marketspark.operators import sizing as SZ
 from marketspark.operators import trades as TR
@@ -68,6 +72,8 @@ def test_label_up_flat_and_block_size(spark):
 def test_asof_sees_finished_bars_only(spark):
     low = closes(spark, range(10)).select("symbol", "bar_ts", "close")
     high = spark.createDataFrame([("S0", T0 + dt.timedelta(hours=4 * i), float(100 + i)) for i in range(3)], "symbol string, bar_ts timestamp_ntz, close double")
+    for rows_per_task in (1, 10 ** 6):
+        assert column(J.asof_join(low, high, rows_per_task=rows_per_task), "close_htf") == column(J.asof_join(low, high), "close_htf")
     open_ = column(J.asof_join(low, high), "close_htf")
     closed = column(J.asof_join(low, high, period_seconds=4 * 3600), "close_htf")
     assert open_ == [100.0] * 4 + [101.0] * 4 + [102.0] * 2
@@ -120,15 +126,17 @@ def test_deviation_keeps_its_digits_at_a_large_mean(spark):
     assert M.trade_metrics(own).first().sharpe_ratio == pytest.approx(2.0)
 
 
-@pytest.mark.parametrize("small", [500_000, 0])
-def test_bootstrap_equals_plain_loops_and_keeps_short_keys(spark, small):
+@pytest.mark.parametrize("held", [2_000_000, 0])
+def test_bootstrap_equals_plain_loops_and_keeps_short_keys(spark, held):
     rng = np.random.default_rng(4)
     pnls, rets = rng.normal(20, 900, 5300), rng.normal(0, 0.01, 5300)
     rows = [("S", T0 + dt.timedelta(hours=9 * i), i, float(p), float(r)) for i, (p, r) in enumerate(zip(pnls, rets))] + [("T", T0, i, 1.0, 0.1) for i in range(10)]
     t = spark.createDataFrame(rows, "symbol string, exit_time timestamp_ntz, trade_id long, pnl double, return_pct double")
-    got = {r.symbol: r for r in M.block_bootstrap(t, sims=40, small=small).collect()}
+    got = {r.symbol: r for r in M.block_bootstrap(t, sims=40, held=held).collect()}
     assert got["T"].sims == 0 and got["T"].pf_mean is None and got["S"].sims == 40
-    starts = {(r.s, r.b): r.x for r in spark.sql("SELECT s, b, pmod(xxhash64(7, s, b), 5290L) AS x FROM (SELECT explode(sequence(0, 39)) AS s), (SELECT explode(sequence(0L, 529L)) AS b)").collect()}
+    starts = {(s, b): BS.start(s, b, 5290, 7, operator.xor, operator.rshift) for s in range(40) for b in range(530)}
+    counts = np.bincount([x // 529 for x in starts.values()], minlength=10)
+    assert ((counts - 2120) ** 2 / 2120).sum() < 28  # even over tenths of the trades: chi-squared of 9, one in a thousand
     pf, sharpe, dd = [], [], []
     for s in range(40):
         at = np.concatenate([np.arange(starts[s, b], starts[s, b] + 10) for b in range(530)])
@@ -175,3 +183,51 @@ def test_versioned_table_replay_is_idempotent(spark, tmp_path):
     for _ in range(2):
         t.upsert(b, ["k"], 1)
     assert sorted((r.k, r.v) for r in t.read().collect()) == [("S0", 1), ("S1", 2), ("S2", 2)]
+
+
+def test_asof_join_of_one_day_in_many_ranges(spark):
+    """All rows on one day, most of one key; ranges of a few rows, keys over many ranges, keys without a right side."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    left = pd.DataFrame({"k": rng.choice(["a", "b", "c", "d"], n, p=[0.9, 0.05, 0.03, 0.02]), "t": rng.integers(0, 80_000, n), "v": np.arange(n)})
+    right = pd.DataFrame({"k": rng.choice(["a", "b", "d", "e"], 60, p=[0.2, 0.4, 0.2, 0.2]), "t": rng.choice(80_000, 60, replace=False), "w": rng.normal(0, 1, 60), "v": 1})
+    right.loc[::7, "w"] = np.nan  # a null on the right is carried like any value
+    stamp = lambda d: spark.createDataFrame(d).withColumn("t", F.timestamp_seconds(F.col("t") + 86400 * 10000).cast("timestamp_ntz")).withColumn("w", F.when(~F.isnan("w"), F.col("w"))) if "w" in d else spark.createDataFrame(d).withColumn("t", F.timestamp_seconds(F.col("t") + 86400 * 10000).cast("timestamp_ntz"))
+    want = pd.merge_asof(left.sort_values("t", kind="stable"), right.sort_values("t"), on="t", by="k", suffixes=("", "_htf"))
+    want = {r.v: (None if r.v_htf != r.v_htf else 1, None if r.w != r.w else r.w) for r in want.itertuples()}
+    for rows_per_task in (40, 10 ** 6):
+        got = J.asof_join(stamp(left), stamp(right), ["k"], "t", rows_per_task=rows_per_task).collect()
+        assert len(got) == n and {r["v"]: (r["v_htf"], r["w"]) for r in got} == want
+    nulls = spark.createDataFrame([(None, 5, 1), ("a", None, 2), ("a", 5, 3)], "k string, s long, v long").select("k", F.timestamp_seconds("s").cast("timestamp_ntz").alias("t"), "v")
+    got = {r["v"]: r["x"] for r in J.asof_join(nulls, nulls.withColumnRenamed("v", "x"), ["k"], "t").collect()}
+    assert got == {1: None, 2: None, 3: 3}
+    assert J.asof_join(nulls.limit(0), nulls, ["k"], "t").collect() == []
+
+
+def test_correlations_of_many_columns_in_one_reading(spark, monkeypatch):
+    """More columns than a tile, pairwise gaps, large means, constants; a hot key over many tasks."""
+    monkeypatch.setattr(CM, "HELD", 10)
+    rng = np.random.default_rng(8)
+    n, p = 900, 150
+    base = rng.normal(0, 1, (n, 5))
+    x = base[:, rng.integers(0, 5, p)] + rng.normal(0, 0.7, (n, p)) + np.where(np.arange(p) % 10 == 0, 1e8, 0)
+    x[rng.random((n, p)) < 0.1] = np.nan
+    x[:, 7] = 0.1
+    x[:, 8] = np.nan
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(p)]).assign(k=np.where(np.arange(n) < 700, "hot", "cold"))
+    df = spark.createDataFrame(pdf).select("k", *(F.when(~F.isnan(f"c{i}"), F.col(f"c{i}")).alias(f"c{i}") for i in range(p))).repartition(6)
+    got = CM.correlations(df, [f"c{i}" for i in range(p)], ["k"]).toPandas()
+    assert len(got) == 2 * p * (p - 1) // 2
+    for k, g in got.groupby("k"):
+        own = pdf[pdf.k == k].drop(columns="k")
+        want = own.corr()
+        a, b = g.a.str[1:].astype(int), g.b.str[1:].astype(int)
+        assert (a < b).all()
+        w = want.to_numpy()[a, b]
+        w[(a == 7) | (b == 7)] = np.nan
+        np.testing.assert_allclose(g["corr"], w, atol=1e-7, equal_nan=True)
+        has = own.notna().to_numpy().astype(int)
+        np.testing.assert_array_equal(g.n, (has.T @ has)[a, b])
+    assert CM.correlations(df.limit(0), ["c0", "c1"], ["k"]).collect() == []
+    one = FSL.collinear(df, ["c1"], 0.5, ["k"]).collect()
+    assert {(r["k"], r["feature"], r["keep"]) for r in one} == {("hot", "c1", True), ("cold", "c1", True)}
