@@ -9,6 +9,7 @@ from marketspark.plans import sqlkit as q
 from marketspark.plans.q_bars import BAR_COLS
 from marketspark.plans.registry import query
 from marketspark.session import scratch_path
+from marketspark.sources.sinks import latest_features
 from marketspark.streaming import stateful as SF
 from marketspark.streaming import stateless as SL
 
@@ -43,20 +44,19 @@ def st_1(spark, sf):
 
 @query("st_2_live_features", f"WITH {B} SELECT symbol, bar_ts, {q.r6('close')} AS close, {q.r6('e')} AS ema20 FROM (SELECT *, {q.ema('close', q.sp(20))} AS e FROM bars) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) = 1")
 def st_2(spark, sf):
-    latest = scratch_path(spark, "latest")
-    sink = SL.feature_sink(spark, scratch_path(spark, "store"), latest, lambda s: ind.ema(s, 20), 500)
-    SL.run_available(as_stream(spark, I.bars(spark, sf), "barstream"), "", scratch_path(spark, "ckpt"), foreach=sink)
-    return SL.VersionedTable(spark, latest).read().select("symbol", "bar_ts", F.round("close", 6).alias("close"), F.round("ema20", 6).alias("ema20"))
+    path = scratch_path(spark, "latest")
+    recent = SF.with_recent(as_stream(spark, I.bars(spark, sf), "barstream"), 500)
+    sink = SL.change_sink(path, lambda b: latest_features(SL.live_features(b, lambda s: ind.ema(s, 20), 500)))
+    SL.run_available(recent, "", scratch_path(spark, "ckpt"), foreach=sink)
+    return SL.current(spark, path).select("symbol", "bar_ts", F.round("close", 6).alias("close"), F.round("ema20", 6).alias("ema20"))
 
 
 @query("st_3_latest_upsert", f"WITH {B} SELECT symbol, timeframe, bar_ts, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) = 1")
 def st_3(spark, sf):
-    t = SL.VersionedTable(spark, scratch_path(spark, "upsert"))
-
-    def sink(batch, batch_id):
-        t.upsert(SL.latest_features(batch.select("symbol", "timeframe", "bar_ts", "close")), ["symbol", "timeframe"], batch_id)
+    path = scratch_path(spark, "upsert")
+    sink = SL.change_sink(path, lambda b: latest_features(b.select("symbol", "timeframe", "bar_ts", "close")))
     SL.run_available(as_stream(spark, I.bars(spark, sf), "barstream"), "", scratch_path(spark, "ckpt"), foreach=sink)
-    return t.read()
+    return SL.current(spark, path)
 
 
 def signal_stream(spark, sf):

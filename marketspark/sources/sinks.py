@@ -72,34 +72,3 @@ def freshness(df: DataFrame, now: Column, keys: Sequence[str] = KEYS, ts: str =
     """Last time, days behind and whether a series is up to date."""
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.max(ts).alias("last_ts"))
     return g.withColumn("days_behind", F.datediff(now, F.col("last_ts"))).withColumn("up_to_date", F.col("days_behind") <= max_days)
-
-
-class VersionedTable:
-    """A small parquet table replaced as a whole; a version is visible once its folder is complete.
-
-    Writing the same version twice gives the same result, so a replayed micro-batch does no harm.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and done(n))
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        vs = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/v={vs[-1]}") if vs else None
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-
-    def upsert(self, batch: DataFrame, keys: Sequence[str], version: int) -> None:
-        old = self.read(before=version)
-        self.write(batch if old is None else upsert(old, batch, keys), version)

@@ -1,7 +1,8 @@
-"""Operators that need ordered state per series: duplicate suppression, cooldown, outcome, drift, staleness.
+"""Operators that need ordered state per series: duplicate suppression, cooldown, recent bars, outcome, drift, staleness.
 
-State is small and bounded (a time, open signals, twenty results). A micro-batch's rows of a key arrive in
-chunks; they are put in time order before the state moves, so the size of a trigger bounds memory.
+State is small and bounded (a time, a run of bars, open signals, twenty results) and lives in the state store. A
+trigger's rows of a key arrive in chunks; they are put in time order before the state moves, so the size of a trigger
+(``maxFilesPerTrigger`` at the source) bounds memory.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 KEYS = ("symbol", "timeframe")
@@ -26,54 +28,125 @@ def _ordered(chunks: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True).sort_values(list(by), kind="stable") if parts else pd.DataFrame()
 
 
-def suppress_duplicates(signals: DataFrame, ts: str = "ts", validity: dict[str, int] | None = None) -> DataFrame:
-    """Keep a signal only when the last kept one of its series is no longer valid."""
-    minutes = validity or VALIDITY
-    schema = signals.schema
+class _LastAccepted(StatefulProcessor):
+    """One number a series: when its last accepted signal was. A subclass says which rows of a trigger are accepted."""
 
-    def step(key, chunks, state: GroupState):
-        rows = _ordered(chunks, ts)
-        times = rows[ts].to_numpy()
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        gap = pd.Timedelta(minutes=minutes.get(key[1], DEFAULT_VALIDITY))
-        keep = []
-        i = 0 if last is None else int(np.searchsorted(times, np.datetime64(last + gap)))
-        while i < len(times):  # from one kept signal to the next, not row by row
-            keep.append(i)
-            last = pd.Timestamp(times[i])
-            i = int(np.searchsorted(times, np.datetime64(last + gap)))
-        if last is not None:
-            state.update((last.to_pydatetime(),))
-        yield rows.iloc[keep]
-    return signals.groupBy(*KEYS).applyInPandasWithState(step, schema, "last timestamp", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
 
+    def close(self) -> None:
+        pass
 
-def cooldown(signals: DataFrame, ts: str = "ts", index: str = "bar_index", bars: int = 5) -> DataFrame:
-    """Veto signals within ``bars`` bars of the last accepted one, or while a position is open (``position_open``)."""
-    has_pos = "position_open" in signals.columns
-    schema = signals.withColumn("accepted", F.lit(True)).withColumn("veto", F.lit("")).schema
+    def _get(self) -> int | None:
+        return self.last.get()[0] if self.last.exists() else None
 
-    def step(key, chunks, state: GroupState):
-        rows = _ordered(chunks, ts)
-        at = rows[index].to_numpy()
-        free = ~rows["position_open"].to_numpy(dtype=bool) if has_pos else np.ones(len(rows), dtype=bool)
-        last = state.get[0] if state.exists else None
-        ready = np.zeros(len(rows), dtype=bool)
-        accepted = np.zeros(len(rows), dtype=bool)
+
+class _Suppress(_LastAccepted):
+    def __init__(self, ts: str, minutes: dict[str, int], expire: bool):
+        self.ts, self.minutes, self.expire = ts, minutes, expire
+
+    def handleInputRows(self, key, rows, timerValues):
+        got = _ordered(rows, self.ts)
+        times = got[self.ts].to_numpy().astype("datetime64[us]").astype(np.int64)
+        gap = self.minutes.get(key[1], DEFAULT_VALIDITY) * 60_000_000
+        last, keep = self._get(), []
+        i = 0 if last is None else int(np.searchsorted(times, last + gap))
+        while i < len(times):  # from one kept signal to the next, not row by row
+            keep.append(i)
+            last = int(times[i])
+            i = int(np.searchsorted(times, last + gap))
+        if keep:
+            self.last.update((last,))
+        if self.expire and last is not None:
+            self._until(last + gap)
+        yield got.iloc[keep]
+
+    def _until(self, end: int) -> None:
+        """The series is forgotten once event time is past ``end``: no later signal can be suppressed any more."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(end // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        return iter(())
+
+
+def suppress_duplicates(signals: DataFrame, ts: str = "ts", validity: dict[str, int] | None = None, delay: str | None = None) -> DataFrame:
+    """Keep a signal only when the last kept one of its series is no longer valid.
+
+    With ``delay`` signals later than that are dropped, and a series' state goes by a timer as soon as event time has
+    passed its last signal's validity; without, state is one number for every series ever seen.
+    """
+    schema = signals.schema
+    if delay is not None:
+        signals = signals.withWatermark(ts, delay)
+    step = _Suppress(ts, validity or VALIDITY, delay is not None)
+    return signals.groupBy(*KEYS).transformWithStateInPandas(step, schema, "append", "EventTime" if delay is not None else "None")
+
+
+class _Cooldown(_LastAccepted):
+    def __init__(self, ts: str, index: str, bars: int):
+        self.ts, self.index, self.bars = ts, index, bars
+
+    def handleInputRows(self, key, rows, timerValues):
+        got = _ordered(rows, self.ts)
+        at = got[self.index].to_numpy()
+        free = ~got["position_open"].to_numpy(dtype=bool) if "position_open" in got else np.ones(len(got), dtype=bool)
+        last = self._get()
+        ready, accepted = np.zeros(len(got), dtype=bool), np.zeros(len(got), dtype=bool)
         i = 0
-        while i < len(rows):  # from one accepted signal to the next
-            start = i if last is None else max(i, int(np.searchsorted(at, last + bars)))
+        while i < len(got):  # from one accepted signal to the next
+            start = i if last is None else max(i, int(np.searchsorted(at, last + self.bars)))
             hits = np.flatnonzero(free[start:])
-            stop = start + int(hits[0]) if len(hits) else len(rows)
+            stop = start + int(hits[0]) if len(hits) else len(got)
             ready[start:stop + 1] = True
-            if stop >= len(rows):
+            if stop >= len(got):
                 break
             accepted[stop] = True
             last, i = int(at[stop]), stop + 1
-        if last is not None:
-            state.update((last,))
-        yield rows.assign(accepted=accepted, veto=np.where(accepted, "", np.where(ready, "position_open", "cooldown")))
-    return signals.groupBy(*KEYS).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+        if accepted.any():
+            self.last.update((last,))
+        yield got.assign(accepted=accepted, veto=np.where(accepted, "", np.where(ready, "position_open", "cooldown")))
+
+
+def cooldown(signals: DataFrame, ts: str = "ts", index: str = "bar_index", bars: int = 5) -> DataFrame:
+    """Veto signals within ``bars`` bars of the last accepted one, or while a position is open (``position_open``)."""
+    schema = signals.withColumn("accepted", F.lit(True)).withColumn("veto", F.lit("")).schema
+    return signals.groupBy(*KEYS).transformWithStateInPandas(_Cooldown(ts, index, bars), schema, "append", "None")
+
+
+class _Recent(StatefulProcessor):
+    def __init__(self, ts: str, n: int, state: str):
+        self.ts, self.n, self.state = ts, n, state
+
+    def init(self, handle) -> None:
+        self.tail = handle.getListState("tail", self.state)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = _ordered(rows, self.ts).drop_duplicates(self.ts, keep="last")
+        old = pd.DataFrame(list(self.tail.get()), columns=new.columns) if self.tail.exists() else new.iloc[:0]
+        old = old[~old[self.ts].isin(new[self.ts])]
+        both = pd.concat([old.assign(fresh=False), new.assign(fresh=True)] if len(old) else [new.assign(fresh=True)], ignore_index=True).sort_values(self.ts, kind="stable")
+        kept = both.drop(columns="fresh").tail(self.n).astype(object)
+        self.tail.put([tuple(None if v is pd.NaT or v != v else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in r) for r in kept.itertuples(index=False)])
+        first = int(np.argmax(both["fresh"].to_numpy()))
+        yield both.iloc[max(first - self.n, 0):]
+
+
+def with_recent(bars: DataFrame, n: int, ts: str = "bar_ts") -> DataFrame:
+    """New bars (``fresh``) of each trigger, with up to ``n`` bars of their series before them, from state.
+
+    Work per trigger depends on the series it touches and on ``n``, never on the history. A bar that comes again
+    replaces the one in state.
+    """
+    state = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema)
+    out = bars.withColumn("fresh", F.lit(True)).schema
+    return bars.groupBy(*KEYS).transformWithStateInPandas(_Recent(ts, n, state), out, "append", "None")
 
 
 OUTCOME = "signal_id long, symbol string, direction string, status string, exit_price double, pnl double, exit_ts timestamp"

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketspark.operators.series import Series, blocked
 from marketspark.schema import KEYS, ORDER, timeframe_seconds
-from marketspark.sources.readers import tail_bars
-from marketspark.sources.sinks import VersionedTable, append_dedupe, latest_features
+
+
+#: the state store that keyed state with timers and lists needs
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_bars(ticks: DataFrame, tf: str, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
@@ -36,35 +38,36 @@ def signal_health_stream(signals: DataFrame, ts: str = "ts", hours: int = 6, sli
             .select(*KEYS, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "rows", "avg_confidence", "avg_edge", "last_ts"))
 
 
-def live_features(store: DataFrame | None, batch: DataFrame, features: Callable[[Series], Series], lookback: int) -> DataFrame:
-    """Features of the batch's bars, from the last ``lookback`` stored bars plus the batch, by the batch code."""
-    bars = batch if store is None else append_dedupe(tail_bars(store, lookback).select(*batch.columns), batch)
-    out = features(blocked(bars, back=lookback)).rows()
-    return out.join(batch.select(*KEYS, ORDER), [*KEYS, ORDER], "left_semi")
+def live_features(recent: DataFrame, features: Callable[[Series], Series], lookback: int) -> DataFrame:
+    """Features of the fresh bars in ``recent`` (bars with their ``lookback`` rows before them), by the batch code."""
+    out = features(blocked(recent, back=lookback)).rows()
+    return out.where("fresh").drop("fresh")
 
 
-def feature_sink(spark: SparkSession, store: str, latest: str, features: Callable[[Series], Series], lookback: int) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: bars go to ``store``, the newest feature row of each series is upserted in ``latest``.
-
-    Each batch writes its own bar folder and its own table version, so a replay overwrites instead of doubling.
-    """
-    table = VersionedTable(spark, latest)
-    bars = VersionedTable(spark, store)
-
+def change_sink(path: str, rows: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: ``rows(batch)`` into the batch's own folder, so that a replay overwrites what it wrote."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        vs = [v for v in bars.versions() if v < batch_id]
-        old = spark.read.parquet(*(f"{bars.path}/v={v}" for v in vs)) if vs else None
-        table.upsert(latest_features(live_features(old, batch, features, lookback)), KEYS, batch_id)
-        bars.write(batch, batch_id)
+        rows(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return run
 
 
+def current(spark: SparkSession, path: str, keys: Sequence[str] = KEYS, ts: str = ORDER) -> DataFrame:
+    """What upserts by ``keys`` into ``path`` (see :func:`change_sink`) have come to: the newest row, of equal ones the last written."""
+    changes = spark.read.parquet(path)
+    cols = [c for c in changes.columns if c != "batch"]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(ts, "batch")).alias("_r")).select("_r.*")
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", foreach: Callable | None = None) -> None:
-    """Run a streaming query over everything available and stop."""
+    """Run a streaming query over everything available and stop. State is kept in RocksDB, outside the heap."""
     w = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     w = w.foreachBatch(foreach) if foreach else w.outputMode(mode).format("parquet").option("path", path)
-    w.start().awaitTermination()
+    conf, key = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key)
+    conf.set(key, ROCKS)
+    try:
+        w.start().awaitTermination()
+    finally:
+        conf.set(key, before)
 
 

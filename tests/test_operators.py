@@ -24,7 +24,6 @@ from marketspark.operators.bars import market_open, ticks_to_bars
 from marketspark.operators.series import blocked
 from marketspark.schema import timeframe_seconds
 from marketspark.sources import dims
-from marketspark.sources.sinks import VersionedTable
 
 
 def with_atr(df, a=1.0):
@@ -175,16 +174,6 @@ def test_strategy_registry_checks_inputs(spark):
         SG.register("noop_test", SG.REGISTRY["noop_test"])
 
 
-def test_versioned_table_replay_is_idempotent(spark, tmp_path):
-    t = VersionedTable(spark, str(tmp_path / "t"))
-    a = spark.createDataFrame([("S0", 1), ("S1", 1)], "k string, v int")
-    b = spark.createDataFrame([("S1", 2), ("S2", 2)], "k string, v int")
-    t.upsert(a, ["k"], 0)
-    for _ in range(2):
-        t.upsert(b, ["k"], 1)
-    assert sorted((r.k, r.v) for r in t.read().collect()) == [("S0", 1), ("S1", 2), ("S2", 2)]
-
-
 def test_asof_join_of_one_day_in_many_ranges(spark):
     """All rows on one day, most of one key; ranges of a few rows, keys over many ranges, keys without a right side."""
     rng = np.random.default_rng(3)

@@ -2,11 +2,14 @@
 
 import datetime as dt
 
+import numpy as np
+import pytest
 from helpers import T0, bars, walk
 from pyspark.sql import functions as F
 
 from marketspark.functions import indicators as ind
 from marketspark.operators.series import blocked
+from marketspark.sources.sinks import latest_features
 from marketspark.streaming import stateful as SF
 from marketspark.streaming import stateless as SL
 
@@ -31,24 +34,60 @@ def test_late_tick_is_dropped(spark, tmp_path):
     assert got[0] == (1.0, 2.0, 2.0, 2.0) and got[3] == (3.0, 3.0, 3.0, 1.0) and got[6][0] == 4.0
 
 
-def test_live_features_equal_batch(spark, tmp_path):
-    df = bars(spark, walk(300))
+@pytest.mark.parametrize("hours", [(0, 300), (0, 150, 230, 300), (0, 20, 40, 41, 45, 90, 160, 200, 250, 299, 300)])
+def test_live_features_equal_batch(spark, tmp_path, hours):
+    """Every bar's features, in one, three and ten triggers; two symbols, of which one is silent for a while."""
+    a, b = bars(spark, walk(300)), bars(spark, walk(300, seed=2), symbol="S1").where("hour(bar_ts) < 12")
+    df = a.union(b)
     t = F.col("bar_ts")
-    edge = [T0 + dt.timedelta(hours=h) for h in (0, 150, 230, 300)]
-    parts = [df.where((t >= F.lit(a)) & (t < F.lit(b))) for a, b in zip(edge, edge[1:])]
-    sink = SL.feature_sink(spark, str(tmp_path / "store"), str(tmp_path / "latest"), lambda s: ind.rsi(ind.sma(s, 20), 14), 60)
-    feed(spark, df, str(tmp_path / "in"), parts, "", tmp_path, sink=sink)
-    got = SL.VersionedTable(spark, str(tmp_path / "latest")).read().first()
-    want = ind.rsi(ind.sma(blocked(df, back=60), 20), 14).rows().orderBy(F.col("bar_ts").desc()).first()
-    assert got.bar_ts == want.bar_ts and abs(got.sma20 - want.sma20) < 1e-9 and abs(got.rsi14 - want.rsi14) < 1e-9
+    edge = [T0 + dt.timedelta(hours=h) for h in hours]
+    parts = [df.where((t >= F.lit(lo)) & (t < F.lit(hi))) for lo, hi in zip(edge, edge[1:])]
+    features = lambda s: ind.rsi(ind.sma(s, 20), 14)
+    every, latest = str(tmp_path / "every"), str(tmp_path / "latest")
 
+    def sink(batch, batch_id):
+        live = SL.live_features(batch, features, 60).persist()
+        SL.change_sink(every, lambda _: live)(batch, batch_id)
+        SL.change_sink(latest, lambda _: latest_features(live))(batch, batch_id)
+        SL.change_sink(latest, lambda _: latest_features(live))(batch, batch_id)  # a replay
+    feed(spark, df, str(tmp_path / "in"), parts, "", tmp_path, sink=sink, run=lambda s: SF.with_recent(s, 60))
+    want = {(r.symbol, r.bar_ts): (r.sma20, r.rsi14) for r in features(blocked(df, back=60)).rows().collect()}
+    got = {(r.symbol, r.bar_ts): (r.sma20, r.rsi14) for r in spark.read.parquet(every).collect()}
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        assert got[k] == pytest.approx(w, abs=1e-9) or (got[k][0] is None) == (w[0] is None) and got[k] == w
+    now = SL.current(spark, latest).collect()
+    assert {(r.symbol, r.bar_ts) for r in now} == {max(k for k in want if k[0] == s) for s in ("S0", "S1")}
 
-def test_duplicates_restart_at_each_kept_signal(spark, tmp_path):
+
+def test_upserts_keep_the_newest_row_and_replays_do_no_harm(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame([("S0" if k == "a" else "S1", "1H", T0 + dt.timedelta(hours=h), v) for k, h, v in r], "symbol string, timeframe string, bar_ts timestamp_ntz, v int")
+    sink = SL.change_sink(path, lambda b: b)
+    sink(rows(("a", 0, 1), ("b", 0, 1)), 0)
+    for _ in range(2):
+        sink(rows(("b", 0, 2), ("a", -1, 9)), 1)
+    assert {(r.symbol, r.v) for r in SL.current(spark, path).collect()} == {("S0", 1), ("S1", 2)}
+
+
+@pytest.mark.parametrize("batches", [1, 3, 10])
+@pytest.mark.parametrize("delay", [None, "1 hour"])
+def test_duplicates_restart_at_each_kept_signal(spark, tmp_path, batches, delay):
     schema = "symbol string, timeframe string, ts timestamp, n int"
-    rows = [[("S", "5T", T0 + dt.timedelta(minutes=m), m)] for m in (0, 10, 20, 31, 36)]
-    dfs = [spark.createDataFrame(r, schema) for r in rows]
-    out = feed(spark, dfs[0], str(tmp_path / "in"), dfs, str(tmp_path / "out"), tmp_path, run=lambda s: SF.suppress_duplicates(s))
-    assert sorted(r.n for r in out.collect()) == [0, 20, 36]
+    rng = np.random.default_rng(batches)
+    at = {("S", "5T"): (0, 10, 20, 31, 36, 200, 201, 216), ("T", "15T"): sorted(rng.choice(600, 60, replace=False).tolist()), ("U", "4H"): (5, 94, 95, 300)}
+    rows = sorted((m, k) for k, ms in at.items() for m in ms)
+    cut = np.array_split(np.arange(len(rows)), batches)
+    dfs = [spark.createDataFrame([(*rows[i][1], T0 + dt.timedelta(minutes=rows[i][0]), rows[i][0]) for i in c], schema).repartition(2) for c in cut]
+    out = feed(spark, dfs[0], str(tmp_path / "in"), dfs, str(tmp_path / "out"), tmp_path, run=lambda s: SF.suppress_duplicates(s, delay=delay))
+    want = set()
+    for k, ms in at.items():
+        last = None
+        for m in ms:
+            if last is None or m >= last + SF.VALIDITY.get(k[1], SF.DEFAULT_VALIDITY):
+                last = m
+                want.add((*k, m))
+    assert {(r.symbol, r.timeframe, r.n) for r in out.collect()} == want and out.count() == len(want)
 
 
 def test_cooldown_and_open_position(spark, tmp_path):
