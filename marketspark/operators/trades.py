@@ -14,6 +14,7 @@ from marketspark.operators.joins import with_costs, with_tp_sl
 from marketspark.operators.scan import running
 from marketspark.operators.series import blocked
 from marketspark.operators.sizing import tp_sl_prices, with_trade_costs
+from marketspark.session import stash
 
 CAPITAL = 100000.0
 
@@ -99,12 +100,6 @@ BASE_COMMISSION = 0.00001
 BASE_SLIPPAGE = 0.000005
 
 
-def scenario_rows() -> Column:
-    """The stress grid as an array of (cost and position scenario, multipliers, cap), to be inlined per trade."""
-    return F.array(*(F.struct(F.lit(c).alias("cost_scenario"), F.lit(p).alias("position_scenario"), F.lit(com).alias("com"), F.lit(slip).alias("slip"), F.lit(cap).alias("cap"))
-                     for c, (com, slip) in COST_SCENARIOS.items() for p, cap in POSITION_SCENARIOS.items()))
-
-
 def _returns(outcomes: DataFrame, risk: float, com: Column, slip: Column, cap: Column, share: Column) -> DataFrame:
     """Return on equity of each trade when size follows equity: value is risk over stop distance, capped."""
     entry = F.col("entry_price")
@@ -119,25 +114,29 @@ def compound_equity(outcomes: DataFrame, risk: float = 0.02, keys=("symbol", "ti
                     order=("bar_ts",), capital: float = CAPITAL, stop_dd: float = 0.10) -> DataFrame:
     """Equity that compounds through every scenario, stopped after the first drawdown beyond ``stop_dd``.
 
-    Size is proportional to equity, so equity is the capital times the product of ``1 + r`` and needs no loop.
+    Size is proportional to equity, so equity is the capital times the product of ``1 + r`` and needs no loop. All
+    scenarios of a trade stay in its row: one scan runs them as columns, and they become rows only after the fold.
     """
-    k = [*keys, "cost_scenario", "position_scenario"]
-    t = _returns(outcomes.select("*", F.inline(scenario_rows())), risk, F.col("com"), F.col("slip"), F.col("cap"), F.lit(1.0))
-    t = running(t.withColumn("_f", 1 + F.col("r")), k, order, products={"growth": F.col("_f")}, peaks={"_pk": "growth"}, floor=1.0)
-    t = t.withColumn("_dd", 1 - F.col("growth") / F.col("_pk"))
-    stop = t.where(F.col("_dd") > stop_dd).groupBy(*k).agg(F.min(F.struct(*order)).alias("_stop"))
-    t = t.join(stop, k, "left")
-    at = F.struct(*order)
-    kept, seen = F.col("_stop").isNull() | (at < F.col("_stop")), F.col("_stop").isNull() | (at <= F.col("_stop"))
-    pnl = F.lit(capital) * (F.col("growth") - F.col("growth") / F.col("_f"))
-    win = F.col("target") == 1
-    g = t.where(seen).groupBy(*k).agg(
-        F.count_if(kept).alias("trades"), (F.count_if(kept & win) * 100.0).alias("_w"),
-        F.sum(F.when(kept & win, pnl)).alias("_g"), F.abs(F.sum(F.when(kept & ~win, pnl))).alias("_l"),
-        F.max_by("growth", at).alias("_end"), (F.max("_dd") * 100).alias("max_drawdown_pct"), F.max(F.col("_stop").isNotNull()).alias("stopped"))
-    g = g.select(*k, "trades", F.coalesce(div("_w", "trades"), F.lit(0.0)).alias("win_rate"),
-                 ((F.col("_end") - 1) * 100).alias("total_return_pct"), "max_drawdown_pct",
-                 F.coalesce(div(F.coalesce("_g", F.lit(0.0)), F.coalesce("_l", F.lit(1.0))), F.lit(0.0)).alias("profit_factor"), "stopped")
+    k, entry = list(keys), F.col("entry_price")
+    grid = [(c, p, com, slip, cap) for c, (com, slip) in COST_SCENARIOS.items() for p, cap in POSITION_SCENARIOS.items()]
+    exit_ = F.when(F.col("target") == 1, F.col("tp_price")).otherwise(F.col("sl_price"))
+    t = outcomes.where(entry > F.col("sl_price")).select(*k, *order, (F.col("target") == 1).alias("win"), div(F.lit(risk) * entry, entry - F.col("sl_price")).alias("size"), ((exit_ - entry) / entry).alias("move"))
+    step = [1 + F.least("size", F.lit(cap)) * (F.col("move") - com * BASE_COMMISSION - slip * BASE_SLIPPAGE) for _, _, com, slip, cap in grid]
+    t = stash(running(t, k, order, products={f"g{i}": f for i, f in enumerate(step)}, peaks={f"p{i}": f"g{i}" for i in range(len(grid))}, floor=1.0), "equity")
+    at, dd = F.struct(*order), [1 - F.col(f"g{i}") / F.col(f"p{i}") for i in range(len(grid))]
+    stop = t.groupBy(*k).agg(*(F.min(F.when(d > stop_dd, at)).alias(f"s{i}") for i, d in enumerate(dd)))
+    out = []
+    for i, f in enumerate(step):
+        end, g, win = F.col(f"s{i}"), F.col(f"g{i}"), F.col("win")
+        kept, seen = end.isNull() | (at < end), end.isNull() | (at <= end)
+        pnl = F.lit(capital) * (g - g / f)
+        out += [F.count_if(kept).alias(f"trades{i}"), (F.count_if(kept & win) * 100.0).alias(f"w{i}"), F.sum(F.when(kept & win, pnl)).alias(f"gain{i}"), F.abs(F.sum(F.when(kept & ~win, pnl))).alias(f"loss{i}"),
+                F.max_by(F.when(seen, g), F.when(seen, at)).alias(f"end{i}"), (F.max(F.when(seen, dd[i])) * 100).alias(f"dd{i}"), F.max(end.isNotNull()).alias(f"stopped{i}")]
+    g = t.join(stop, k).groupBy(*k).agg(*out)
+    rows = F.array(*(F.struct(F.lit(c).alias("cost_scenario"), F.lit(p).alias("position_scenario"), F.col(f"trades{i}").alias("trades"), F.coalesce(div(f"w{i}", f"trades{i}"), F.lit(0.0)).alias("win_rate"),
+                              ((F.col(f"end{i}") - 1) * 100).alias("total_return_pct"), F.col(f"dd{i}").alias("max_drawdown_pct"),
+                              F.coalesce(div(F.coalesce(f"gain{i}", F.lit(0.0)), F.coalesce(f"loss{i}", F.lit(1.0))), F.lit(0.0)).alias("profit_factor"), F.col(f"stopped{i}").alias("stopped")) for i, (c, p, *_) in enumerate(grid)))
+    g = g.select(*k, F.inline(rows))
     return g.withColumn("viable", (F.col("total_return_pct") > 10) & (F.col("max_drawdown_pct") < 6) & (F.col("profit_factor") > 1.5))
 
 
