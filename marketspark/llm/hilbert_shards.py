@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.llm.common import shuffles, stash
@@ -41,34 +42,54 @@ def hilbert_index(coords: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def text_key(c: Column) -> Column:
-    """The first seven bytes of a string as a number in the order of the strings; null is below all."""
-    head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
+def text_cuts(rows: DataFrame, column: Column, cells: int) -> list[str]:
+    """The ``cells - 1`` strings, sorted, at which ``column`` is cut into ``cells`` of about as many rows, by whole strings.
 
-
-def assign(rows: DataFrame, dims: dict[str, Column], order: list[str], shards: int, bits: int = 6, accuracy: int = 10_000) -> DataFrame:
+    Values are counted, cut into sorted ranges and added up; of all values only the cuts come to the driver, and a
+    count for each range. A value with the rows of several cells is as many cuts, so that the others keep their places.
+    """
+    spark = rows.sparkSession
+    v = rows.select(column.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    v = stash(v.repartitionByRange(shuffles(spark), "v").withColumn("part", F.spark_partition_id()), "values")
+    skips, total = [], 0
+    for r in v.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        skips.append((r["part"], total))
+        total += r["n"]
+    if not total:
+        return []
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    v = v.withColumn("upto", upto).join(F.broadcast(spark.createDataFrame(skips, "part int, skip long")), "part")
+    cell = lambda c: F.floor(c * cells / total)
+    end = F.col("skip") + F.col("upto")
+    v = v.withColumn("k", F.least(cell(end), F.lit(cells - 1)) - cell(end - F.col("n")))
+    return sorted(s for r in v.where("k > 0").select("v", "k").collect() for s in [r["v"]] * r["k"])
+
+
+def assign(rows: DataFrame, texts: dict[str, Column], dims: dict[str, Column], order: list[str], shards: int, bits: int = 6, accuracy: int = 10_000) -> DataFrame:
     """``rows`` with ``curve``, ``shard`` and ``slot``: runs of the curve order whose counts differ by one at most.
 
-    ``dims`` are numeric columns (null counts as the smallest). Each is cut at 2**bits - 1 quantiles from one mergeable
+    ``texts`` are string columns, ``dims`` numeric ones (null counts as the smallest). Strings are cut by their whole
+    length (:func:`text_cuts`). Each numeric one is cut at 2**bits - 1 quantiles from one mergeable
     sketch, so a value that holds a third of the rows takes a cell of its own and the rest still spreads. Rows sort by
     (curve, ``order``): equal curve places of any number are split between range partitions, no group is kept whole.
     The sorted rows are kept in the shared folder once, so a lost executor cannot change their order.
     """
-    if len(dims) * bits > 62:
+    if (len(texts) + len(dims)) * bits > 62:
         raise ValueError("the curve index must fit 62 bits")
     spark = rows.sparkSession
-    r = rows.select("*", *(F.coalesce(c.cast("double"), F.lit(float("-inf"))).alias(f"_d{i}") for i, c in enumerate(dims.values())))
+    words = [text_cuts(rows, c, 1 << bits) for c in texts.values()]
+    r = rows.select("*", *(c.alias(f"_t{i}") for i, c in enumerate(texts.values())), *(F.coalesce(c.cast("double"), F.lit(float("-inf"))).alias(f"_d{i}") for i, c in enumerate(dims.values())))
     at = [k / (1 << bits) for k in range(1, 1 << bits)]
     cuts = r.agg(*(F.percentile_approx(f"_d{i}", at, accuracy).alias(f"_d{i}") for i in range(len(dims)))).first()
-    edges = [np.unique(np.array(c, float)) if c else np.zeros(0) for c in cuts]
+    edges = [np.sort(np.array(c, float)) if c else np.zeros(0) for c in cuts]
 
     @F.pandas_udf("long")
     def curve(cols: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in cols:
-            cells = [np.searchsorted(e, s.to_numpy(), "right") for e, s in zip(edges, batch)]
+            cells = [s.map(lambda v, w=w: -1 if v is None else bisect_right(w, v)).to_numpy(np.int64) + 1 for w, s in zip(words, batch)]
+            cells = [np.minimum(c, (1 << bits) - 1) for c in cells] + [np.searchsorted(e, s.to_numpy(), "right") for e, s in zip(edges, batch[len(words):])]
             yield pd.Series(hilbert_index(cells, bits).astype(np.int64))
-    r = r.select(*rows.columns, curve(*(f"_d{i}" for i in range(len(dims)))).alias("curve"))
+    r = r.select(*rows.columns, curve(*(f"_t{i}" for i in range(len(texts))), *(f"_d{i}" for i in range(len(dims)))).alias("curve"))
     r = r.repartitionByRange(shuffles(spark), "curve", *order).sortWithinPartitions("curve", *order)
     r = stash(r.withColumn("_at", F.monotonically_increasing_id()), "curve")
     r = r.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit(_LOCAL))})
@@ -95,10 +116,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, bits: int = 6) -> DataFra
     the texts. Null text has 0 bytes, null metadata sorts first; repeated rows all stay; empty table, no rows.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    r = docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-                    text_key(F.col("source")).alias("_source"), text_key(F.col("lang")).alias("_lang"))
-    dims = {"source": F.col("_source"), "lang": F.col("_lang"), "size": F.col("size"), "doc_id": F.col("doc_id")}
-    out = assign(r, dims, ["doc_id", "size", "text_crc32"], shards, bits)
+    r = docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.col("source").alias("_source"), F.col("lang").alias("_lang"))
+    texts, dims = {"source": F.col("_source"), "lang": F.col("_lang")}, {"size": F.col("size"), "doc_id": F.col("doc_id")}
+    out = assign(r, texts, dims, ["doc_id", "size", "text_crc32"], shards, bits)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 

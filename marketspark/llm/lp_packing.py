@@ -158,40 +158,48 @@ def whole(x: dict[tuple[int, ...], float], left: Counter) -> Counter:
 
 
 def best_fit(left: Counter, capacity: int) -> Counter:
-    """Best-fit decreasing: each piece into the fullest open sequence that still has room."""
-    room: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # open sequences by what still fits
+    """Best-fit decreasing by counts: each length into the fullest open sequences that still have room, alike ones at once.
+
+    Sequences filled alike are one entry with a count, so the work goes with the number of lengths and of fillings in
+    use, however many pieces there are.
+    """
+    room: list[Counter] = [Counter() for _ in range(capacity + 1)]  # open fillings by what still fits
+    room[capacity][()] = left.total()
     for s in sorted(left, reverse=True):
-        fit = s
-        for k in range(left[s]):
-            while fit <= capacity and not room[fit]:
-                fit += 1
-            if fit > capacity:  # the rest of this length goes into new sequences, as many in each as fit
-                each = capacity // s
-                rest = left[s] - k
-                room[capacity - each * s] += [[s] * each for _ in range(rest // each)]
-                if rest % each:
-                    room[capacity - rest % each * s].append([s] * (rest % each))
-                break
-            seq = room[fit].pop()
-            seq.append(s)
-            room[fit - s].append(seq)
-            if fit - s >= s:
-                fit -= s
-    return Counter(tuple(sorted(seq, reverse=True)) for seqs in room for seq in seqs)
+        n = left[s]
+        for fit in range(s, capacity + 1):
+            each = fit // s
+            for f in list(room[fit]):
+                if not n:
+                    break
+                m = min(room[fit][f], n // each)  # so many take as many as fit, one more the rest
+                for seqs, k in ((m, each), (1, n % each if m < room[fit][f] and n < (m + 1) * each else 0)):
+                    if seqs and k:
+                        room[fit][f] -= seqs
+                        room[fit - k * s][f + (s,) * k] += seqs
+                        n -= seqs * k
+                if not room[fit][f]:
+                    del room[fit][f]
+    del room[capacity][()]
+    out: Counter = Counter()
+    for fillings_ in room:
+        out.update(fillings_)
+    return out
 
 
 def fillings(demand: dict[int, int], capacity: int = CAPACITY, rounds: int = 60) -> list[tuple[tuple[int, ...], int]]:
     """Whole numbers of fillings that use up every piece exactly.
 
-    The program's solution is cut to whole numbers and the program solved again for what is left, as long as that
-    places half of it; best fit deals with the last few pieces for each filling. So the work here is bounded by the
-    number of fillings and the logarithm of the counts, not by the corpus.
+    The program's solution is cut to whole numbers and the program solved again for what is left, until that is no more
+    than the fillings in use or a solution places less than a tenth of it; best fit by counts deals with the rest. So
+    the work here goes with the number of fillings and the logarithm of the counts, not with the corpus.
     """
     left = Counter({s: n for s, n in demand.items() if n})
     out: Counter = Counter()
-    while before := left.total():
+    while (before := left.total()) > len(out):
         out += whole(solve(left, capacity, rounds)[0], left)
-        if left.total() * 2 > before:
+        left = +left
+        if left.total() > before * 0.9:
             break
     return sorted((out + best_fit(left, capacity)).items())
 

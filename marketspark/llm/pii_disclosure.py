@@ -18,6 +18,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = (("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD, None), ("phone", PHONE, "+"))
 
 
+#: white space, a character at a time, so that places in a text are sums of lengths plus one
+WHITE = r"[\x20\x09-\x0D]"
+
+
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -52,12 +56,21 @@ def _found(text: Column) -> dict[str, Column]:
     return {kind: F.when(F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9 -]{14}"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))) for kind, pattern, needs in KINDS}
 
 
-def base_spans(docs: DataFrame, reach: int = 60) -> DataFrame:
+def _first(words: Column, n: int) -> Column:
+    return F.slice(words, F.lit(1), F.lit(n))
+
+
+def _last(words: Column, n: int) -> Column:
+    return F.slice(words, F.greatest(F.size(words) - (n - 1), F.lit(1)), F.lit(n))
+
+
+def base_spans(docs: DataFrame, window: int = 4) -> DataFrame:
     """(row, kind, rank, start, end, value, before, after) of the pattern matches in ``docs`` (row, text).
 
     Splitting a text at a pattern gives what stands between its matches, so places are running sums of lengths: of
-    rows, not of arrays, hence linear in a text's matches. ``before`` and ``after`` are up to ``reach`` characters
-    of what stands around. A match that fails its test is left out after its length has counted.
+    rows, not of arrays, hence linear in a text's matches. ``before`` and ``after`` are the ``window`` words on either
+    side, however long they are, as far as the neighbouring match of the same kind: what stands beyond that is told
+    of the neighbour. A match that fails its test is left out after its length has counted.
     """
     text = F.coalesce("text", F.lit(""))
     d = docs.select("row", text.alias("text"))
@@ -65,10 +78,11 @@ def base_spans(docs: DataFrame, reach: int = 60) -> DataFrame:
     parts = []
     for rank, (kind, pattern, _) in enumerate(KINDS):
         between = F.split(F.col("text"), pattern)
-        side = F.transform(between, lambda g: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(reach)).alias("tail"), F.left(g, F.lit(reach)).alias("head")))
+        words = F.transform(between, lambda g: F.struct(F.length(g).alias("gap"), F.filter(F.split(g, WHITE), lambda w: w != "").alias("w")))
+        side = F.transform(words, lambda g: F.struct(g["gap"].alias("gap"), _last(g["w"], window).alias("tail"), _first(g["w"], window).alias("head")))
         rows = F.zip_with(F.slice(side, F.lit(1), F.size(f"_{kind}")), F.zip_with(f"_{kind}", F.slice(side, F.lit(2), F.size(f"_{kind}")), lambda v, s: F.struct(v.alias("v"), s["head"].alias("head"))), lambda g, v: F.struct(
             F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), g["gap"].alias("gap"), v["v"].alias("value"), g["tail"].alias("before"), v["head"].alias("after")))
-        parts.append(F.when(F.size(f"_{kind}") > 0, rows).otherwise(F.array().cast("array<struct<kind:string,rank:int,gap:int,value:string,before:string,after:string>>")))
+        parts.append(F.when(F.size(f"_{kind}") > 0, rows).otherwise(F.array().cast("array<struct<kind:string,rank:int,gap:int,value:string,before:array<string>,after:array<string>>>")))
     x = d.where(F.greatest(*(F.size(f"_{k}") for k, _, _ in KINDS)) > 0).select("row", F.posexplode(F.concat(*parts)).alias("i", "m")).select("row", "i", "m.*")
     end = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("row", "kind").orderBy("i"))
     x = x.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
@@ -79,8 +93,6 @@ def base_spans(docs: DataFrame, reach: int = 60) -> DataFrame:
 
 
 # ---- terms -------------------------------------------------------------------------------
-#: white space, a character at a time, so that places in a text are sums of lengths plus one
-WHITE = r"[\x20\x09-\x0D]"
 PUNCT = ".,;:!?\"'()[]{}<>*-_"
 
 
@@ -107,9 +119,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, window: int = 4, support
     broadcast when there are at most ``small``, else by a shuffle of folded counts.
     """
     s = spans.select(F.lower("value").alias("entity"), "before", "after")
-    before = F.slice(F.reverse(F.filter(F.split("before", WHITE), lambda w: w != "")), 1, window)
-    after = F.slice(F.filter(F.split("after", WHITE), lambda w: w != ""), 1, window)
-    pairs = s.select("entity", F.explode(F.array_distinct(F.transform(F.concat(before, after), _term))).alias("term")).where(_is_term(F.col("term")))
+    pairs = s.select("entity", F.explode(F.array_distinct(F.transform(F.concat(_last(F.col("before"), window), _first(F.col("after"), window)), _term))).alias("term")).where(_is_term(F.col("term")))
     pairs = stash(pairs.groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support), "pairs")
     n_e = s.groupBy("entity").agg(F.count("*").alias("n_e"))
     cand = bounded(pairs.select("term").distinct(), small)
@@ -138,15 +148,15 @@ def term_spans(docs: DataFrame, terms: DataFrame, small: int = 100_000) -> DataF
     return pieces.select("row", start.cast("long").alias("start"), (start + F.length(value)).cast("long").alias("end"), value.alias("value"), "action")
 
 
-def find(docs: DataFrame, **thresholds) -> DataFrame:
+def find(docs: DataFrame, window: int = 4, **thresholds) -> DataFrame:
     """(row, doc_id, base, spans) for every row of ``docs`` (row, doc_id, text), arrays sorted by start, then kind.
 
     ``base`` holds the pattern matches, ``spans`` these and the terms that reveal one of them (kind ``term``); a term
     that overlaps a pattern match is left out. ``row`` is any distinct number of a row, the same at every reading.
     Null text is empty and has no spans; repeated rows each have theirs; an empty table gives no rows.
     """
-    base = stash(base_spans(docs), "base-spans")
-    terms = stash(disclosing_terms(docs, base, **thresholds), "terms")
+    base = stash(base_spans(docs, window), "base-spans")
+    terms = stash(disclosing_terms(docs, base, window, **thresholds), "terms")
     rows = base.select("row", "start", "end", "rank", "kind", F.lit("remove").alias("action"))
     more = term_spans(docs, terms).select("row", "start", "end", F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), "action")
     g = rows.union(more).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", "action"))).alias("all"))

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from marketspark.llm import backoff_lm, chat_prefix, hilbert_shards, jaccard_join, lp_packing, lsi_decontam, pii_disclosure, queries, toxicity, trie_dedup, url_vocab
@@ -190,6 +191,24 @@ def test_hilbert(spark, docs):
     assert hilbert_shards.shard_documents(docs.limit(0)).collect() == []
 
 
+def test_hilbert_tells_long_names_apart(spark):
+    """Sources that share twenty bytes and more: each lies in few shards, so the others' files can be left out."""
+    names = [f"https://crawl.example.org/2024/part-{i:02d}" for i in range(8)]
+    rows = [(i, "t" * (i % 50), "en", names[i % 8]) for i in range(4000)] + [(None, None, None, None)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cuts = hilbert_shards.text_cuts(d, d["source"], 64)
+    assert cuts == sorted(cuts) and set(cuts) == set(names) and len(cuts) == 63
+    out = hilbert_shards.assign(d, {"source": F.col("source")}, {"doc_id": F.col("doc_id")}, ["doc_id"], 64, 6)
+    path = scratch_path(spark, "shards")
+    hilbert_shards.write_shards(out, path, 64)
+    held = spark.read.parquet(path).groupBy("source").agg(F.countDistinct("shard").alias("n"), F.count("*").alias("rows")).collect()
+    assert sum(r["rows"] for r in held) == len(rows) and all(r["n"] <= 24 for r in held)
+    skewed = spark.createDataFrame([("hot",)] * 500 + [(f"cold{i}",) for i in range(500)], "s string")
+    cuts = hilbert_shards.text_cuts(skewed, skewed["s"], 8)
+    assert len(cuts) == 7 and cuts.count("hot") in (3, 4)
+    assert hilbert_shards.text_cuts(skewed.limit(0), skewed["s"], 8) == []
+
+
 def test_toxicity_held_out(spark, docs):
     bad = ["vilest", "rottener", "scummy"]
     rows = [(i, prose(i, 60) + (" " + " ".join(np.random.default_rng(i).choice(bad, 4)) if i % 4 == 0 else "")) for i in range(600)]
@@ -241,6 +260,43 @@ def test_packing(spark, docs):
     assert lp_packing.pack(docs.limit(0), queries.ranks_path()).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["lognormal", "two", "uniform"])
+def test_little_is_left_to_best_fit_of_millions_of_pieces(kind, monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = {"lognormal": np.clip(rng.lognormal(5.5, 1, 200_000).astype(int), 1, 1024), "two": rng.choice([342, 341, 683], 200_000), "uniform": rng.integers(1, 1025, 200_000)}[kind]
+    demand = {int(k): 100 * int(v) for k, v in zip(*np.unique(sizes, return_counts=True))}
+    rest = []
+    plain = lp_packing.best_fit
+    monkeypatch.setattr(lp_packing, "best_fit", lambda left, capacity: rest.append(left.total()) or plain(left, capacity))
+    out = lp_packing.fillings(demand)
+    used = Counter()
+    for f, q in out:
+        assert sum(f) <= 1024
+        for s in f:
+            used[s] += q
+    assert used == Counter(demand)
+    # of two sizes, each 683 goes with a 341 at best, and then two of 342 together
+    best = demand[683] + demand[342] / 2 if kind == "two" else lp_packing.solve(demand)[1]
+    assert sum(q for _, q in out) <= (1.02 if kind == "uniform" else 1.005) * best
+    assert kind != "lognormal" or rest[0] <= len(out)
+
+
+def test_best_fit_by_counts_equals_piece_by_piece():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        cap = int(rng.integers(5, 40))
+        left = Counter(rng.integers(1, cap + 1, rng.integers(0, 60)).tolist())
+        room: list = []
+        for s in sorted(left.elements(), reverse=True):
+            fit = min((r for r in room if r >= s), default=cap)
+            if fit in room:
+                room.remove(fit)
+            room.append(fit - s)
+        got = lp_packing.best_fit(left, cap)
+        assert Counter(s for f, q in got.items() for s in f * q) == left
+        assert Counter(cap - sum(f) for f, q in got.items() for _ in range(q)) == Counter(room)
+
+
 def test_fillings_near_the_bound():
     rng = np.random.default_rng(3)
     lengths = np.clip(rng.lognormal(5.5, 1, 40_000).astype(int), 1, 1024)
@@ -358,6 +414,18 @@ def test_pii_terms_that_reveal(spark):
     assert "term:8:15" in spans[200] and spans[100] == ""
 
 
+def test_pii_words_of_any_length_between_name_and_address(spark):
+    far = "x" * 64
+    rows = [(i, f"{prose(i, 10)} write Zebulon {far}{i} at z@q.example {prose(i + 50, 10)} z@q.example,") for i in range(6)] + [(100 + i, prose(200 + i, 40)) for i in range(30)] + [(200, "so said Zebulon!")]
+    path = scratch_path(spark, "far")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    d = numbered(spark.read.parquet(path))
+    spans = pii_disclosure.base_spans(d).where("kind = 'email'").orderBy("row", "start").collect()
+    assert spans[0]["before"][:2] == ["write", "Zebulon"] and spans[0]["before"][2].startswith(far) and spans[0]["before"][3:] == ["at"] and len(spans[0]["after"]) == 4 and spans[1]["after"] == [","]
+    got = {r["doc_id"]: r["spans"] for r in pii_disclosure.digest(pii_disclosure.find(d)).collect()}
+    assert "term:8:15" in got[200]
+
+
 def test_pii_names_with_digits_reveal(spark):
     rows = [(i, f"{prose(i, 10)} user Max1990 at m@q.example or +49 30 12345678 {prose(i + 50, 10)}") for i in range(6)] + [(100 + i, prose(200 + i, 40)) for i in range(30)] + [(200, "so said max1990!")]
     path = scratch_path(spark, "names")
