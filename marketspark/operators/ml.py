@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketspark.operators.quantiles import exact_quantiles
+
 #: fixed values: extra weight per class (flat, up, down)
 BOOSTS = {"none": {}, "directional": {0: 1.5, 1: 1.2, 2: 1.2}, "flat": {0: 4.0, 1: 1.3, 2: 1.3}}
 
@@ -36,6 +38,16 @@ def scaler(kind: str = "robust", inp: str = "raw", out: str = "features"):
     return StandardScaler(inputCol=inp, outputCol=out, withMean=True, withStd=True)
 
 
+def robust_scaled(df: DataFrame, cols: Sequence[str], suffix: str = "_scaled") -> DataFrame:
+    """``df`` with each column less its median, over its quartile range, from exact quantiles; null where that is zero."""
+    cols = list(cols)
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(i).alias("_f"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(cols)))))
+    cuts = {r["_f"]: r for r in exact_quantiles(long, ["_f"], "_value", {"lo": 0.25, "mid": 0.5, "hi": 0.75}).collect()}  # a row for each column
+    none = {"lo": None, "mid": None, "hi": None}
+    of = lambda i, k: F.lit((cuts.get(i) or none)[k]).cast("double")
+    return df.withColumns({f"{c}{suffix}": F.try_divide(F.col(c) - of(i, "mid"), of(i, "hi") - of(i, "lo")) for i, c in enumerate(cols)})
+
+
 LEARNERS = {
     "logistic": lambda **k: LogisticRegression(maxIter=k.pop("maxIter", 30), regParam=0.01, **k),
     "forest": lambda **k: RandomForestClassifier(numTrees=k.pop("numTrees", 20), maxDepth=5, seed=7, **k),

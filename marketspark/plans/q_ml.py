@@ -42,12 +42,11 @@ def ml_2(spark, sf):
     return out.select("symbol", "bar_ts", F.round(F.col("v")[0], 6).alias("body_scaled"), F.round(F.col("v")[1], 6).alias("rng_scaled"))
 
 
-@query("ml_2_robust_scaling")
+@query("ml_2_robust_scaling", f"""WITH {FT}, m AS (SELECT median(body) AS m1, quantile_cont(body, 0.75) - quantile_cont(body, 0.25) AS s1, median(rng) AS m2, quantile_cont(rng, 0.75) - quantile_cont(rng, 0.25) AS s2 FROM ft)
+SELECT symbol, bar_ts, {q.r6('(body - m1) / nullif(s1, 0)')} AS body_scaled, {q.r6('(rng - m2) / nullif(s2, 0)')} AS rng_scaled FROM ft, m""")
 def ml_2r(spark, sf):
     b = I.bars(spark, sf).withColumns({"body": F.col("close") - F.col("open"), "rng": F.col("high") - F.col("low")})
-    v = VectorAssembler(inputCols=["body", "rng"], outputCol="raw").transform(b)
-    out = ML.scaler("robust").fit(v).transform(v).withColumn("v", vector_to_array("features"))
-    return out.select("symbol", "bar_ts", F.col("v")[0].alias("body_scaled"), F.col("v")[1].alias("rng_scaled"))
+    return ML.robust_scaled(b, ["body", "rng"]).select("symbol", "bar_ts", F.round("body_scaled", 6).alias("body_scaled"), F.round("rng_scaled", 6).alias("rng_scaled"))
 
 
 def _learner(name):

@@ -16,7 +16,8 @@ SF = "/root/testdata/sf0.001"
 SOME = """bar_1_ticks_to_bars bar_3_resample_bars win_3_rolling_quantile win_14_running win_18_max_consecutive ind_5_macd ind_8_vwap ta_12_three_bar_candles
 fs_1_features_base rg_6_regime_stats sg_4b_breakout_retest_scored lb_1_triple_barrier lb_4_adaptive_two_sided lb_9_quantile_return jn_2_asof_join_closed jn_3_blackout_join
 mt_1_trade_metrics mt_2_backtest_metrics mt_10_period_rollup tr_1_barrier_trades tr_3_compound_equity sc_6_vote_performance_weighted sz_2_trade_costs gt_1_guardrails gt_5_hard_gates
-qa_1_audit_timestamps fsl_3_drop_collinear cv_1_walk_forward_splits rp_1_loss_breakdown rp_13_sentiment_by_symbol src_2_read_quotes snk_5_stamp_changes st_1_stream_bars st_4_suppress_duplicates""".split()
+qa_1_audit_timestamps fsl_3_drop_collinear cv_1_walk_forward_splits rp_1_loss_breakdown rp_13_sentiment_by_symbol src_2_read_quotes snk_5_stamp_changes st_1_stream_bars st_4_suppress_duplicates
+win_11_ema_sparse win_12_ema_adjusted_sparse mt_9_block_bootstrap st_2_live_features st_3_latest_upsert ml_2_robust_scaling""".split()
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +32,7 @@ def test_registry_is_consistent():
     q, s = entry.queries(), entry.oracle_sql()
     assert set(s) <= set(q) and len(q) > 200
     assert set(load()[0]) <= set(q)
-    assert {k for k in load()[0] if k not in s} == {"mt_9_block_bootstrap", "ml_2_robust_scaling", "ml_3_logistic", "ml_3_forest", "ml_3_boosted", "ml_4_stacking", "ml_5_walk_forward_evaluation",
+    assert {k for k in load()[0] if k not in s} == {"ml_3_logistic", "ml_3_forest", "ml_3_boosted", "ml_4_stacking", "ml_5_walk_forward_evaluation",
                                             "ml_6_batch_scoring", "fsl_6_select_by_importance"}
 
 
