@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.llm.common import bounded, components, shingles, shuffles, slices, stash, text_buffer, word_hashes
@@ -120,6 +120,11 @@ class _Cells:
         return j[found <= most], found[found <= most]
 
 
+def _pivots(s: np.ndarray, often: int) -> np.ndarray:
+    """Numbers of shingles as pivots, in the one order of all windows: rare ones first, then by hash."""
+    return (s >> np.uint64(2)).astype(np.int64) + (often << 62)
+
+
 def _measured(words: int, percent: int, common):
     """Each row's set: size, digest and window of pivots; equal sets of one task show their window once."""
     def run(batches):
@@ -142,7 +147,7 @@ def _measured(words: int, percent: int, common):
                 low = s & np.uint64((1 << BITS) - 1)
                 often = (table[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & 1
                 rare = s[often == 0][:k]
-                win.append((rare if len(rare) == k else np.concatenate((rare, s[often == 1][:k - len(rare)]))).view(np.int64))
+                win.append(np.concatenate((_pivots(rare, 0), _pivots(s[often == 1][:k - len(rare)], 1))))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(win, pa.list_(pa.int64())), pa.array(hist, pa.binary())],
                                              names=["row", "doc_id", "n", "dig", "window", "cells"])
     return run
@@ -307,6 +312,7 @@ def _unlike(members: DataFrame) -> DataFrame:
     """Members (s, ref, n) of one region for each set of members: the others would try the same pairs again.
 
     Documents that share a passage meet in every region of its shingles. Sets compare by size and two 64-bit digests.
+    The first region in the order of the windows stays: a pair's first common pivot is then never one that goes.
     """
     digests = (F.bit_xor(F.xxhash64(F.lit(k), "ref")).alias(f"d{k}") for k in (1, 2))
     sets = members.groupBy("s").agg(F.count("*").alias("k"), *digests)
@@ -315,7 +321,7 @@ def _unlike(members: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, lab: DataFrame) -> DataFrame:
-    """Members (s, ref, n, comp) of the regions that still hold more than one component."""
+    """Members (s, ref, n, comp) of the regions that still hold more than one component; stored."""
     m = members.select("s", "ref", "n").join(lab.withColumnRenamed("node", "ref"), "ref", "left").select("s", "ref", "n", F.coalesce("comp", "ref").alias("comp"))
     mixed = m.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
     return stash(m.join(mixed, "s"), "open")
@@ -323,13 +329,17 @@ def _open(members: DataFrame, lab: DataFrame) -> DataFrame:
 
 def _candidates(percent: int, most: int | None):
     """Pairs that may link, from rows sorted by (s, lo, hi): of different components, near enough by sizes, by cell
-    counts and by the triangle inequality at the region's pivot; of each member the ``most`` nearest by cell counts."""
+    counts and by the triangle inequality at the region's pivot; of each member the ``most`` nearest by cell counts.
+
+    A pair is tried in one region only, the first open one that holds both, however many it shares: ``earlier`` are a
+    member's open regions before this one."""
     r = 1 - percent / 100 + 1e-9
     names = ("ref", "n", "comp", "block", "low", "high")
 
     def tried(key, rows) -> list[tuple[int, int]]:
         ref, n, comp, block, low, high = (np.concatenate([x[k] for x in rows]) for k in names)
         cells = _Cells([c for x in rows for c in x["cells"]])
+        earlier = [set(w) for x in rows for w in x["earlier"]]
         out = []
         for i in range(len(ref) - 1):
             z = slice(i + 1, None)
@@ -340,6 +350,8 @@ def _candidates(percent: int, most: int | None):
             if not len(j):
                 continue
             j, differ = cells.differ(i, j, (100 - percent) * (n[j] + n[i]) // (100 + percent))
+            here = np.fromiter((earlier[i].isdisjoint(earlier[x]) for x in j.tolist()), bool, len(j))
+            j, differ = j[here], differ[here]
             if most is not None and len(j) > most:
                 j = j[np.argpartition(differ, most)[:most]]
             out += [(min(int(ref[i]), int(x)), max(int(ref[i]), int(x))) for x in ref[j]]
@@ -350,6 +362,7 @@ def _candidates(percent: int, most: int | None):
         for batch in batches:
             cols = {k: batch.column(k).to_numpy() for k in ("s", "lo", "hi", *names)}
             cols["cells"] = batch.column("cells").to_pylist()
+            cols["earlier"] = batch.column("earlier").to_pylist()
             keys = np.stack([cols[k] for k in ("s", "lo", "hi")], axis=1)
             cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             out = []
@@ -359,7 +372,7 @@ def _candidates(percent: int, most: int | None):
                     if key != now:
                         out += tried(now, held) if held else []
                         now, held = key, []
-                    held.append({k: cols[k][i:j] for k in (*names, "cells")})
+                    held.append({k: cols[k][i:j] for k in (*names, "cells", "earlier")})
             yield _pairs(out)
         yield _pairs(tried(now, held) if held else [])
     return run
@@ -379,9 +392,10 @@ def _block_pairs(m: DataFrame, reps: DataFrame, measured: DataFrame, percent: in
     d = measured.select("a", "b", "low", "high")
     d = d.union(d.select("b", "a", "low", "high")).toDF("p", "ref", "low", "high")
     own = F.col("p") == F.col("ref")
+    m = m.withColumn("earlier", F.collect_list("s").over(Window.partitionBy("ref").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)))
     x = m.join(first, "s").join(d, ["p", "ref"], "left").withColumns({"low": F.when(own, 0.0).otherwise(F.coalesce("low", F.lit(0.0))), "high": F.when(own, 0.0).otherwise(F.coalesce("high", F.lit(1.0)))})
     x = x.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "ref"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.select("s", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "ref", "n", "comp", "block", "low", "high").join(reps.select("ref", "cells"), "ref")
+    x = x.select("s", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "ref", "n", "comp", "block", "low", "high", "earlier").join(reps.select("ref", "cells"), "ref")
     x = x.repartition(n, "s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
     return x.mapInArrow(_candidates(percent, most), "a long, b long").distinct()
 
