@@ -1,9 +1,10 @@
 """Phrase collocations by SON partitioning: shards are mined completely at lowered support, then all are counted.
 
-A shard's share of its language's text bytes lowers the support for it in proportion. A phrase with the support in
-the whole corpus reaches the lowered one in some shard, or its counts would not add up; so the union of what the shards
-find holds every frequent phrase. The second reading counts that union everywhere, exactly. Inside a shard phrases
-grow word by word from those that are still in (a phrase is never more frequent than its parts).
+A shard's share of its language's text bytes lowers the support for it in proportion, and then by LOWER. A phrase that
+a shard does not find has less than that there, so all shards together leave out less than support / LOWER of it: a
+phrase with the support in the whole corpus is found with the rest of its count. The union of what the shards find keeps
+the phrases of which that is so. The second reading counts this union everywhere, exactly. Inside a shard phrases grow
+word by word from those that are still in (a phrase is never more frequent than its parts).
 """
 
 from __future__ import annotations
@@ -18,11 +19,15 @@ from pyspark.sql import functions as F
 
 from marketspark.llm.common import chain, slices, spread_join, stash, text_buffer
 
-#: text of a shard; larger shards keep the lowered support high, and a task holds about ten times this
-SHARD = 32 << 20
+#: text of a shard at most, about: larger shards keep the lowered support high, and a task holds about ten times this
+SHARD = 48 << 20
+#: shards at least
+SHARDS = 16
 #: the union of the shards' phrases is kept as 2**FLAGS flags of phrase hashes, a fixed size for any corpus; a false
 #: hit only counts a phrase in vain
 FLAGS = 26
+#: a shard's support is its share of the support divided by this
+LOWER = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: 0: part of a word, 1: between words, 2: between pieces
@@ -70,14 +75,16 @@ class Shard:
         """(word numbers, whether a piece begins, dictionary)."""
         one = pa.chunked_array(self.parts).unify_dictionaries().combine_chunks()
         one = one.chunk(0) if isinstance(one, pa.ChunkedArray) else one
-        return one.indices.to_numpy(), np.concatenate(self.begins), one.dictionary
+        begins = np.concatenate(self.begins)
+        self.parts, self.begins = [], []
+        return one.indices.to_numpy(), begins, one.dictionary
 
 
 def shards(batches, limit: int):
-    """(language, Shard) from rows (lang, whole, text): a task's rows until they hold ``limit`` bytes of text."""
+    """(language, Shard) from rows (lang, whole, text): a task's rows, or as many as hold ``limit`` bytes of text."""
     held: dict[str, Shard] = {}
     size = 0
-    for batch in slices(batches, "text", min(limit, 8 << 20)):
+    for batch in slices(batches, "text", min(limit, 4 << 20)):
         order = pc.sort_indices(batch.column("lang"))
         lang = batch.column("lang").take(order)
         names, texts, whole = lang.to_pylist(), batch.column("text").take(order), batch.column("whole").take(order)
@@ -86,46 +93,56 @@ def shards(batches, limit: int):
             held.setdefault(names[a], Shard()).add(texts.slice(a, b - a), whole[a].as_py())
         size += batch.column("text").nbytes
         if size >= limit:
-            yield from held.items()
-            held, size = {}, 0
-    yield from held.items()
+            yield from _drained(held)
+            size = 0
+    yield from _drained(held)
 
 
-def grown(ids: np.ndarray, begins: np.ndarray, seeds: np.ndarray, longest: int, keep):
+def _drained(held: dict):
+    while held:
+        yield held.popitem()
+        pa.default_memory_pool().release_unused()
+
+
+def grown(ids: np.ndarray, begins: np.ndarray, seeds: np.ndarray, longest: int, keep, spelled: bool = True):
     """(words of each kept phrase, how often it occurs, its hash) for phrases of 1 to ``longest`` words.
 
     ``keep(hashes, counts)`` says which phrases stay in; longer ones are made only of those. Phrases are told apart by
     numbers (that of the phrase without its last word, and that word's), so nothing rests on hashes being distinct.
+    Without ``spelled`` the words are left out.
     """
     counts = np.bincount(ids, minlength=len(seeds))
     kept = np.flatnonzero((counts > 0) & keep(seeds, counts))
     rank = np.full(len(seeds), -1, np.int32)
     rank[kept] = np.arange(len(kept))
     at = first = rank[ids]  # the kept phrase that starts at each word, and the word itself
-    rows, hashes, wide = kept[:, None], seeds[kept], max(len(kept), 1)
-    words, own = kept, seeds[kept]
+    rows, hashes, wide = kept[:, None].astype(np.int32) if spelled else None, seeds[kept], max(len(kept), 1)
+    words, own = kept.astype(np.int32), seeds[kept]
     yield rows, counts[kept], hashes
     for k in range(2, longest + 1):
-        if len(at) < 2 or not len(rows):
+        if len(at) < 2 or not len(hashes):
             return
         ok = (at[:-1] >= 0) & (at[1:] >= 0)
         if k == 2:
             ok &= ~begins[1:]
         place = np.flatnonzero(ok)
-        key = at[place].astype(np.int64) * wide + first[place + k - 1]
+        key = at[place] * np.int64(wide) + first[place + (k - 1)]
         run = np.sort(key)
         cut = np.concatenate(([0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)])) if len(run) else np.zeros(1, np.int64)
         found, counts = run[cut[:-1]], np.diff(cut)
+        del run, cut, ok
         h = chain([hashes[found // wide], own[found % wide]]) if len(found) else hashes[:0]
         stay = np.flatnonzero(keep(h, counts)) if len(found) else np.zeros(0, np.int64)
         found, counts, hashes = found[stay], counts[stay], h[stay]
-        rows = np.concatenate((rows[found // wide], words[found % wide][:, None]), axis=1)
+        if spelled:
+            rows = np.concatenate((rows[found // wide], words[found % wide][:, None]), axis=1)
         yield rows, counts, hashes
         at = np.full(len(at) - 1, -1, np.int32)
-        if len(found):
-            i = np.minimum(np.searchsorted(found, key), len(found) - 1)
-            hit = found[i] == key
-            at[place[hit]] = i[hit]
+        for a in range(0, len(key), 1 << 20) if len(found) else ():
+            part = key[a:a + (1 << 20)]
+            i = np.minimum(np.searchsorted(found, part), len(found) - 1)
+            hit = found[i] == part
+            at[place[a:a + (1 << 20)][hit]] = i[hit]
 
 
 def _seeds(dictionary: pa.Array, lang: str) -> np.ndarray:
@@ -136,16 +153,13 @@ def _seeds(dictionary: pa.Array, lang: str) -> np.ndarray:
 
 # ---- the two readings --------------------------------------------------------------------
 def _locally_frequent(support: int, longest: int, limit: int):
+    """(h, v): the phrases with the lowered support, by hash, and by how much they are above what others may have."""
     def run(batches):
         for lang, shard in shards(batches, limit):
             ids, begins, dictionary = shard.close()
-            least = -(-support * shard.bytes // shard.whole)  # in whole numbers of any size
-            got = [h for _, _, h in grown(ids, begins, _seeds(dictionary, lang), longest, lambda _, n, least=least: n >= least)]
-            slot = np.unique(np.concatenate(got) & np.uint64((1 << FLAGS) - 1))
-            w = (slot >> np.uint64(6)).astype(np.int64)
-            cut = np.concatenate(([0], np.flatnonzero(w[1:] != w[:-1]) + 1)) if len(w) else np.zeros(0, np.int64)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (slot & np.uint64(63)), cut) if len(w) else slot
-            yield pa.RecordBatch.from_arrays([pa.array(w[cut]), pa.array(bits.view(np.int64))], names=["w", "bits"])
+            least = -(-support * shard.bytes // (LOWER * shard.whole))  # in whole numbers of any size
+            for _, n, h in grown(ids, begins, _seeds(dictionary, lang), longest, lambda _, n, least=least: n >= least, False):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((n - (least - 1)).astype(np.int64))], names=["h", "v"])
     return run
 
 
@@ -173,21 +187,23 @@ def mine(docs: DataFrame, support: int, longest: int = 5, shard: int = SHARD) ->
     """(lang, k, phrase, n): every phrase of 1 to ``longest`` words with ``support`` occurrences or more in ``docs``
     (lang, text), and for each language a row with k = 0: how many words it has. Exact.
 
-    Shards are a task's rows up to ``shard`` bytes; input partitions are joined, without a shuffle, to about that size
-    but no fewer than the cores. A language's text is weighed in bytes, of which its whole total travels as a column.
-    Where there are more shards than ``support``, the lowered support is below one, and the second reading counts all
-    phrases: exact as before, and the work stays in proportion to the text.
+    A shard is a task's rows. Input partitions are joined, without a shuffle, to SHARDS shards, or as many more as keep
+    them at ``shard`` bytes; much larger ones are cut. A language's text is weighed in bytes, of which its whole total
+    travels as a column. Where there are more shards than ``support / LOWER``, a shard reports all its phrases, by hash
+    and count; the work stays in proportion to the text, and the second reading still counts the frequent ones only.
     """
     spark = docs.sparkSession
     d = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     totals = stash(d.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("whole")), "languages")
     size = totals.agg(F.sum("whole")).first()[0] or 0
-    x = d.join(totals.where(F.col("whole") >= support), "lang").select("lang", "whole", "text")
-    x = x.coalesce(max(math.ceil(size / shard), spark.sparkContext.defaultParallelism))
-    bits = x.mapInArrow(_locally_frequent(support, longest, shard), "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**FLAGS / 64 rows
+    x = d.join(totals.where(F.col("whole") >= support), "lang").select("lang", "whole", "text").coalesce(max(math.ceil(size / shard), SHARDS))
+    found = x.mapInArrow(_locally_frequent(support, longest, shard + shard // 2), "h long, v long")
+    union = found.groupBy("h").agg(F.sum("v").alias("v")).where(F.col("v") > support - support / LOWER).select(F.col("h").bitwiseAND(F.lit((1 << FLAGS) - 1)).alias("slot"))
+    flag = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    bits = union.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(flag).alias("bits")).toArrow()  # at most 2**FLAGS / 64 rows
     table = np.zeros(1 << (FLAGS - 6), np.uint64)
     table[bits.column("w").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
-    rows = x.mapInArrow(_counted(spark.sparkContext.broadcast(table), longest, shard), "lang string, k int, phrase string, n long")
+    rows = x.mapInArrow(_counted(spark.sparkContext.broadcast(table), longest, shard + shard // 2), "lang string, k int, phrase string, n long")
     return stash(rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= support) | (F.col("k") == 0)), "phrases")
 
 
