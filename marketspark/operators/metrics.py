@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.functions.rolling import div
-from marketspark.operators.bootstrap import RUN, simulated, start_column
+from marketspark.operators.bootstrap import RUN, simulated, simulated_long
 from marketspark.operators.joins import join_index_returns
 from marketspark.operators.scan import day_of, running
 from marketspark.session import materialize, stash
@@ -177,30 +177,16 @@ def approximate_stress(m: DataFrame) -> DataFrame:
     return m.withColumns({"stressed_pf": F.col("profit_factor") * 0.85 * 0.9, "stressed_dd": F.col("max_drawdown_pct") * 1.2})
 
 
-#: per run of trades: gross profit and loss, sum, highest and lowest running sum, drawdown; count, mean and squares of the returns
-_RUN = {"gp": 0.0, "gl": 0.0, "t": 0.0, "hi": float("-inf"), "lo": float("inf"), "dd": 0.0, "n": 0.0, "m": 0.0, "s": 0.0}
-
-
-def _end_to_end(runs: Column) -> Column:
-    """One run of many laid end to end; squares are about the runs' own means, so that a large mean costs no digits."""
-    def add(a: Column, x: Column) -> Column:
-        n, d = a["n"] + x["n"], x["m"] - a["m"]
-        part = F.when(n > 0, x["n"] / F.greatest(n, F.lit(1.0))).otherwise(0.0)
-        out = {"gp": a["gp"] + x["gp"], "gl": a["gl"] + x["gl"], "t": a["t"] + x["t"], "hi": F.greatest(a["hi"], a["t"] + x["hi"]), "lo": F.least(a["lo"], a["t"] + x["lo"]),
-               "dd": F.greatest(a["dd"], x["dd"], a["hi"] - a["t"] - x["lo"]), "n": n, "m": a["m"] + d * part, "s": a["s"] + x["s"] + d * d * a["n"] * part}
-        return F.struct(*(c.alias(k) for k, c in out.items()))
-    return F.aggregate(runs, F.struct(*(F.lit(v).alias(k) for k, v in _RUN.items())), add)
-
-
 def block_bootstrap(trades: DataFrame, keys=("symbol",), order=("exit_time", "trade_id"), pnl: str = "pnl", sims: int = 1000,
                     block: int = 10, seed: int = 7, returns: str = "return_pct", held: int = 2_000_000) -> DataFrame:
     """Spread of profit factor, Sharpe and drawdown over resampled blocks of consecutive trades.
 
     Block starts come from a generator over (seed, simulation, block number), so reruns and partitionings agree. A key
     of up to ``held`` trades is simulated where its trades are (:func:`~marketspark.operators.bootstrap.simulated`):
-    blocks are looked up and folded there, and only a row for each simulation leaves. Of longer keys every block is
-    folded once and meets its draws by a shuffle, 256 of a simulation at a time first, so that no task holds a key. A
-    key of ``block`` trades or fewer has no block to draw: 0 ``sims`` and null figures.
+    blocks are looked up and folded there, and only a row for each simulation leaves. Of longer keys a task holds the
+    trades alone, 16 bytes each, and folds a block when it is drawn (:func:`~marketspark.operators.bootstrap.simulated_long`),
+    with the same result; draws are neither shuffled nor broadcast. A key of ``block`` trades or fewer has no block to
+    draw: 0 ``sims`` and null figures.
     """
     keys = list(keys)
     idx = trades.select(*keys, *order, F.coalesce(F.col(pnl).cast("double"), F.lit(0.0)).alias("_v"), F.col(returns if returns in trades.columns else pnl).cast("double").alias("_r"))
@@ -210,7 +196,7 @@ def block_bootstrap(trades: DataFrame, keys=("symbol",), order=("exit_time", "tr
     far = every.where(F.col("_total") > max(held, block))
     m = simulated(idx.join(near, keys, "left_semi"), keys, sims, block, seed).select(*keys, *RUN)
     if far.limit(1).count():
-        m = m.unionByName(_drawn(idx.join(far.select(*keys), keys, "left_semi"), far, keys, sims, block, seed).select(*keys, *RUN))
+        m = m.unionByName(simulated_long(idx.join(far, keys), keys, sims, block, seed).select(*keys, *RUN))
     mean, sd = F.col("m"), F.sqrt(F.try_divide("s", "n"))
     m = m.select(*keys, F.when(F.col("gl") > 0, F.col("gp") / F.col("gl")).otherwise(F.col("gp")).alias("pf"),
                  F.coalesce(F.when(sd > F.abs(mean) * 1e-14, mean / sd), F.lit(0.0)).alias("sharpe"), (F.col("dd") / CAPITAL * 100).alias("dd"))
@@ -221,29 +207,6 @@ def block_bootstrap(trades: DataFrame, keys=("symbol",), order=("exit_time", "tr
     return every.select(*keys).join(m, keys, "left").withColumn("sims", F.coalesce("sims", F.lit(0)).cast("long"))
 
 
-def _drawn(idx: DataFrame, every: DataFrame, keys: list[str], sims: int, block: int, seed: int) -> DataFrame:
-    """(keys, sim, run columns) of keys too long for a task: folded blocks joined to their draws."""
-    step, width, at, v = 4096, 256, F.col("_i"), F.col("_v")
-    # runs of ``step`` trades, each with the trades after it that its last blocks reach
-    cut = idx.withColumn("_cut", F.explode(F.sequence(F.greatest(F.floor((at - (block - 1)) / step), F.lit(0)), F.floor(at / step))))
-    w = Window.partitionBy(*keys, "_cut").orderBy("_i").rowsBetween(0, block - 1)
-    one = {"gp": F.greatest(v, F.lit(0.0)), "gl": F.greatest(-v, F.lit(0.0)), "t": v, "hi": v, "lo": v, "dd": F.lit(0.0),
-           "n": F.col("_r").isNotNull().cast("double"), "m": F.coalesce("_r", F.lit(0.0)), "s": F.lit(0.0)}
-    runs = cut.select(*keys, "_cut", at.alias("_start"), F.collect_list(F.struct(*(c.alias(k) for k, c in one.items()))).over(w).alias("_all"))
-    runs = stash(runs.where((F.floor(F.col("_start") / step) == F.col("_cut")) & (F.size("_all") == block)).select(*keys, "_start", _end_to_end(F.col("_all")).alias("_x")), "blocks")
-    # one row per simulation and part of its blocks, exploded in separate steps so that tasks share the work
-    plan = every.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.floor(F.col("_total") / block) - 1) / width))))
-    plan = plan.repartition(*keys, "_part").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).repartition(*keys, "sim", "_part")
-    last = F.least((F.col("_part") + 1) * width, F.floor(F.col("_total") / block)) - 1
-    plan = plan.withColumn("_b", F.explode(F.sequence(F.col("_part") * width, last)))
-    drawn = plan.select(*keys, "sim", "_part", "_b", start_column(F.col("sim"), F.col("_b"), F.col("_total") - block, seed).alias("_start")).join(runs, [*keys, "_start"])
-
-    def fold(df: DataFrame, by: Sequence[str], place: str) -> DataFrame:
-        parts = F.transform(F.array_sort(F.collect_list(F.struct(place, "_x"))), lambda p: p["_x"])
-        return df.groupBy(*by).agg(parts.alias("_all")).select(*by, _end_to_end(F.col("_all")).alias("_x"))
-    return fold(fold(drawn, [*keys, "sim", "_part"], "_b"), [*keys, "sim"], "_part").select(*keys, "sim", "_x.*")
-
-
 def period_rollup(trades: DataFrame, keys=("symbol", "timeframe"), ts: str = "exit_time", pnl: str = "pnl") -> DataFrame:
     """Counts and results per day, week, month and over all time. Each day is folded once, then rolled up."""
     p = F.col(pnl)
