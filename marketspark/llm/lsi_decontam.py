@@ -19,8 +19,11 @@ from marketspark.llm.common import slices, stash, text_buffer, word_hashes
 PASSAGE, STRIDE = 32, 16
 #: latent dimensions, and the extra ones while fitting
 RANK, EXTRA, POWER = 64, 8, 2
-#: the space is fitted to the passages of so many documents, drawn by a hash of the row, and the items; all are searched
+#: the space is fitted to all passages of all documents and the items; documents weigh as much as so many of them do on
+#: average, so that items keep their share of the space in a corpus of any size
 FIT_DOCS = 2_000
+#: strides whose vectors are held at a time while fitting
+HELD = 8_192
 #: an item counts as so many passages squared, so that the space has room for what tells items apart
 ITEM_WEIGHT = 16.0
 #: items that are searched in one reading of the documents
@@ -67,9 +70,15 @@ class Terms:
         return at[ok], k[ok]
 
 
-def document_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """In how many documents each vocabulary word occurs, over all of them, and how many there are."""
+def occurrences(docs: DataFrame, items: Items) -> tuple[DataFrame, np.ndarray, int]:
+    """(occurrences of vocabulary words; in how many documents each occurs; how many documents there are), in one reading.
+
+    A stored row stands for a slice of documents: the words found, by number and in order; how many of them lie in each
+    STRIDE of a document; and whether that is the document's first (1) or last (2). Two neighbours are a passage; so is
+    the one of a short document. Documents of fewer than LEAST_WORDS words have no passage but count.
+    """
     vocabulary = docs.sparkSession.sparkContext.broadcast(items.vocabulary)
+    names = ["words", "found", "ends", "k", "n"]
 
     def run(batches):
         terms, total, n = Terms(vocabulary.value), np.zeros(len(vocabulary.value), np.int64), 0
@@ -79,13 +88,77 @@ def document_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
             row = np.searchsorted(at, i, "right") - 1
             total += np.bincount(np.unique(row * len(total) + k) % len(total), minlength=len(total))
             n += batch.num_rows
+            long = np.diff(at)
+            long = np.where(long >= LEAST_WORDS, -(-long // STRIDE), 0)
+            upto = np.cumsum(long)
+            use = long[row] > 0
+            i, k, row = i[use], k[use], row[use]
+            stride = (upto - long)[row] + (i - at[row]) // STRIDE
+            ends = np.zeros(int(upto[-1]) if len(upto) else 0, np.uint8)
+            ends[(upto - long)[long > 0]] |= 1
+            ends[upto[long > 0] - 1] |= 2
+            found = np.bincount(stride, minlength=len(ends)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (k.astype(np.uint32), found, ends)] + [pa.nulls(1, pa.list_(pa.int64()))] * 2, names=names)
         k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(total[k], n))], names=["k", "n"])
-    rows = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row for each vocabulary word
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary())] * 3 + [pa.array([x], pa.list_(pa.int64())) for x in (np.append(k, -1), np.append(total[k], n))], names=names)
+    held = stash(docs.select("text").mapInArrow(run, "words binary, found binary, ends binary, k array<long>, n array<long>"), "lsi-words")
+    each = held.where("k IS NOT NULL").select(F.explode(F.arrays_zip("k", "n")).alias("x")).select("x.k", "x.n")
+    rows = each.groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row for each vocabulary word
     k, n = rows.column("k").to_numpy(), rows.column("n").to_numpy()
     df = np.zeros(len(items.vocabulary), np.int64)
     df[k[k >= 0]] = n[k >= 0]
-    return df, int(n[k < 0].sum())
+    return held.where("words IS NOT NULL").select("words", "found", "ends"), df, int(n[k < 0].sum())
+
+
+def _summed(table: np.ndarray, at: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Sums of the rows ``at`` of ``table``, whose last row is zero, over runs that begin at ``starts``, ``width`` rows at a time."""
+    n = np.diff(np.append(starts, len(at)))
+    rows = -(-n // width)
+    upto = np.cumsum(rows)
+    slots = np.full((int(upto[-1]), width), len(table) - 1)
+    slots.reshape(-1)[np.arange(len(at)) + np.repeat((upto - rows) * width - starts, n)] = at
+    out = np.empty((len(slots), table.shape[1]), table.dtype)
+    for lo in range(0, len(slots), 1024):
+        own = slots[lo:lo + 1024]
+        part = table[own[:, 0]]
+        for j in range(1, width):
+            part += table[own[:, j]]
+        out[lo:lo + 1024] = part
+    return out if len(out) == len(starts) else np.add.reduceat(out, upto - rows, axis=0)
+
+
+def moments(words: np.ndarray, found: np.ndarray, ends: np.ndarray, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The sum over passages, rows w of TF-IDF of length one, of w times (w q); arrays of a row of :func:`occurrences`.
+
+    A word's vector is added once for its stride, a stride's once for each of its one or two passages. Runs of HELD
+    strides, and the one after, are worked out at a time.
+    """
+    total, size = np.zeros(q.shape), len(idf)
+    at = np.concatenate(([0], np.cumsum(found, dtype=np.int64)))
+    scaled = np.concatenate(((q * idf[:, None]).astype(np.float32), np.zeros((1, q.shape[1]), np.float32)))
+    for lo in range(0, len(found), HELD):
+        hi = min(lo + HELD + 1, len(found))
+        w, f = words[at[lo]:at[hi]], found[lo:hi]
+        if not len(w):
+            continue
+        first, last = ends[lo:hi] & 1 > 0, ends[lo:hi] & 2 > 0
+        passage = ~last | first & last  # begins here; all but those of a single stride go on in the next
+        passage[HELD:] = False
+        goes = np.concatenate(([False], passage[:-1] & ~last[:-1]))  # the passage before goes on here
+        stride, own = np.repeat(np.arange(len(f)), f), at[lo:hi] - at[lo]
+        key, times = np.unique(np.concatenate([(stride[m] - back) * size + w[m] for m, back in ((passage[stride], 0), (goes[stride], 1))]), return_counts=True)
+        squares = np.bincount(key // size, (times * idf[key % size]) ** 2, minlength=len(f))
+        z = np.zeros((len(f) + 1, q.shape[1]), np.float32)
+        z[np.flatnonzero(f)] = _summed(scaled, w, own[f > 0], STRIDE)
+        u = z[:-1] + np.where(last[:, None], np.float32(0), z[1:])
+        u *= np.where(passage & (squares > 0), 1 / np.maximum(squares, 1e-300), 0.0).astype(np.float32)[:, None]
+        z[:-1] = u
+        z[1:-1] += np.where(goes[1:, None], u[:-1], np.float32(0))
+        by = np.argsort(w.astype(np.uint16) if size <= 1 << 16 else w, kind="stable")
+        sorted_ = w[by]
+        new = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+        total[sorted_[new]] += _summed(z, stride[by], new, 8)
+    return total * idf[:, None]
 
 
 def _windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,17 +184,16 @@ def _latent(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, terms: Terms, b
     return v, np.maximum(np.linalg.norm(v, axis=1), 1e-6)
 
 
-def fit(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 1) -> np.ndarray:
-    """The latent basis (vocabulary by RANK, already weighed by idf), from a randomised SVD.
+def fit(words: DataFrame, n: int, items: Items, idf: np.ndarray, seed: int = 1) -> np.ndarray:
+    """The latent basis (vocabulary by RANK, already weighed by idf), from a randomised SVD; ``words`` and ``n`` of
+    :func:`occurrences`.
 
-    Rows of the matrix are the passages of FIT_DOCS documents, of length one, and the items, of length ITEM_WEIGHT. Each round multiplies a
+    Rows of the matrix are all passages of all documents, of length one, and the items, of length ITEM_WEIGHT. Each round multiplies a
     block of RANK + EXTRA vectors by the matrix and its transpose where the passages lie and adds up the products;
     the driver holds vocabulary by RANK + EXTRA numbers and orthonormalises them.
     """
-    spark, size, width = docs.sparkSession, len(items.vocabulary), min(RANK + EXTRA, len(items.vocabulary))
-    pick = docs.select("row").orderBy(F.xxhash64(F.lit(seed), "row"), "row").limit(FIT_DOCS)
-    sample = stash(docs.join(F.broadcast(pick), "row").select("text"), "lsi-sample")
-    weight, vocabulary = spark.sparkContext.broadcast(idf), spark.sparkContext.broadcast(items.vocabulary)
+    spark, size, width = words.sparkSession, len(items.vocabulary), min(RANK + EXTRA, len(items.vocabulary))
+    weight, each = spark.sparkContext.broadcast(idf), min(1.0, FIT_DOCS / max(n, 1))
 
     def rows(h, starts, ends, terms, idf):
         i, k = terms.find(h)
@@ -145,12 +217,11 @@ def fit(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 1) -> np.nda
         shared = spark.sparkContext.broadcast(q)
 
         def run(batches):
-            t = Terms(vocabulary.value)
             total = np.zeros_like(shared.value)
-            for batch in slices(batches, "text"):
-                h, bounds = word_hashes(*text_buffer(batch.column("text")))
-                _, starts, ends = _windows(bounds)
-                total += product(rows(h, starts, ends, t, weight.value), shared.value)
+            for batch in batches:
+                for row in zip(*(batch.column(c) for c in ("words", "found", "ends"))):
+                    own, found, ends = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.uint32, np.uint8, np.uint8)))
+                    total += moments(own.astype(np.int64), found, ends, weight.value, shared.value)
             at = range(0, size, 256)
             yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int64()), pa.array([total[a:a + 256].tobytes() for a in at], pa.binary())], names=["at", "sums"])
 
@@ -159,8 +230,8 @@ def fit(docs: DataFrame, items: Items, idf: np.ndarray, seed: int = 1) -> np.nda
             return pa.table({"at": table.column("at").slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary())})
         ddl = "at long, sums binary"
         total = product(own_rows, q)
-        for r in sample.mapInArrow(run, ddl).groupBy("at").applyInArrow(add, ddl).collect():  # size by width numbers in all
-            total[r["at"]:r["at"] + 256] += np.frombuffer(r["sums"]).reshape(-1, q.shape[1])
+        for r in words.mapInArrow(run, ddl).groupBy("at").applyInArrow(add, ddl).collect():  # size by width numbers in all
+            total[r["at"]:r["at"] + 256] += each * np.frombuffer(r["sums"]).reshape(-1, q.shape[1])
         return total
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
     for _ in range(POWER):
@@ -219,9 +290,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, mass: floa
 
 def _search(docs: DataFrame, items: Items, ddl: str, cosine: float, mass: float, limits: tuple[float, float, float]) -> DataFrame:
     least = min(limits[:2]) - 0.2  # of the distinct words; repeated words may make a subsequence longer
-    df, n = document_counts(docs, items)
+    words, df, n = occurrences(docs, items)
     idf = np.log((1 + n) / (1 + df)) + 1e-3
-    basis = fit(docs, items, idf)
+    basis = fit(words, n, items, idf)
     terms = Terms(items.vocabulary)
     at = np.concatenate(([0], np.cumsum([len(w) for w in items.words])))
     v, length = _latent(np.concatenate(items.words), at[:-1], at[1:], terms, basis)
