@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import _BYTE, _SPACE, is_training, slices, stash, text_buffer
+from marketspark.llm.common import _BYTE, _SPACE, bounded, is_training, slices, stash, text_buffer
 
 ORDERS = (4, 5, 6)
 #: hashed features; a fixed size for any corpus
 BITS = 20
-#: most labelled rows that are learnt from, drawn by a hash of the id
-TRAIN_ROWS = 12_000
+#: features whose counts travel together
+_SPAN = 1 << 14
 _RUN = 1 << 20
 
 
@@ -52,65 +52,88 @@ def _rows(batch: pa.RecordBatch, column: str):
             yield i, whole[lo:lo + _RUN + max(ORDERS) - 1]
 
 
-def presence(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``features``: the sorted distinct features of the whole text."""
-    keep = [c for c in docs.columns if c != text]
-
-    def run(batches):
-        for batch in slices(batches, text):
-            found: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
-            for i, piece in _rows(batch, text):
-                found[i] += [np.unique(_grams(piece, k)) for k in ORDERS]
-            sets = [np.unique(np.concatenate(x)).astype(np.int32) if x else np.zeros(0, np.int32) for x in found]
-            off = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(off, pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], names=[*keep, "features"])
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != text) + ", features array<int>")
+def _sets(batch: pa.RecordBatch, text: str) -> list[np.ndarray]:
+    """For each row the sorted distinct features of the whole text."""
+    found: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
+    for i, piece in _rows(batch, text):
+        found[i] += [np.unique(_grams(piece, k)) for k in ORDERS]
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint32) for x in found]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: int = TRAIN_ROWS) -> DataFrame:
-    """(text, label) of at most ``limit`` labelled documents whose crc32(doc_id as text) is not divisible by ``folds``.
+def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+    """(text, label) of all labelled documents whose crc32(doc_id as text) is not divisible by ``folds``.
 
-    A document with several labels counts as toxic when one says so; rows without label or id are left out. Where
-    there are more than ``limit``, those with the smallest hash of the id stay.
+    A document with several labels counts as toxic when one says so; rows without label or id are left out.
     """
     y = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     y = y.where(is_training("doc_id", folds))
-    y = y.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(limit)
-    # at most ``limit`` rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("text", "label")
+    return docs.select("doc_id", "text").join(bounded(y, 1_000_000), "doc_id").select("text", "label")
+
+
+def feature_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(rows by class and feature, rows by class) of all (text, label); the driver gets 2**BITS counts of each class."""
+    ddl, width = "at long, n binary", 1 << BITS
+
+    def run(batches):
+        n, mass = np.zeros((2, width), np.int64), np.zeros(2, np.int64)
+        for batch in slices(batches, "text"):
+            for y, own in zip((batch.column("label").to_numpy() > 0).astype(int).tolist(), _sets(batch, "text")):
+                n[y, own] += 1
+                mass[y] += 1
+        if mass.any():
+            at = range(0, width, _SPAN)
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([mass.tobytes(), *(n[:, a:a + _SPAN].tobytes() for a in at)], pa.binary())], names=["at", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("n"))
+        return pa.table({"at": table.column("at").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+    n, mass = np.zeros((2, width), np.int64), np.zeros(2, np.int64)
+    for r in rows.mapInArrow(run, ddl).groupBy("at").applyInArrow(add, ddl).collect():
+        got = np.frombuffer(r["n"], np.int64).reshape(2, -1)
+        if r["at"] < 0:
+            mass = got[:, 0]
+        else:
+            n[:, r["at"]:r["at"] + _SPAN] = got
+    return n, mass
 
 
 def fit(rows: DataFrame, alpha: float = 1.0, least: int = 3, ratio: float = 1.0, c: float = 0.1, rounds: int = 40) -> Model:
-    """Learn from (text, label).
+    """Learn from every (text, label), read twice.
 
     r = ln((p + alpha) / |p|) - ln((q + alpha) / |q|) over documents that hold a feature, per class; features in
     at least ``least`` documents with \\|r\\| >= ``ratio`` form the input r * presence of a logistic regression (Spark's,
     fitted on distributed rows), its strength ``c`` of the L2 penalty on standardless inputs. With one class only, the
-    score is that class's share.
+    score is that class's share. Only chosen features of a text are stored.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors, VectorUDT
 
-    x = stash(presence(rows), "toxic-train")
-    mass = {r["label"]: r["n"] for r in x.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    (q, p), mass = feature_counts(rows)
     width = 1 << BITS
-    if not mass.get(0) or not mass.get(1):
-        return Model(np.zeros(width, np.float32), 4.0 if mass.get(1) else -4.0)
-
-    counts = x.select("label", F.explode("features").alias("f")).groupBy("f").agg(F.sum("label").alias("p"), F.count("*").alias("n")).where(F.col("n") >= least)
-    log = lambda n, of: F.log((n + alpha) / (of + 2 * alpha))
-    r = counts.select("f", (log(F.col("p"), mass[1]) - log(F.col("n") - F.col("p"), mass[0])).alias("r"))
-    # at most 2**BITS rows, by the hash's width
-    t = r.where(F.abs("r") >= ratio).orderBy("f").toArrow()
-    known, scale = t.column("f").to_numpy(), t.column("r").to_numpy()
+    if not mass[0] or not mass[1]:
+        return Model(np.zeros(width, np.float32), 4.0 if mass[1] else -4.0)
+
+    r = np.log((p + alpha) / (mass[1] + 2 * alpha)) - np.log((q + alpha) / (mass[0] + 2 * alpha))
+    known = np.flatnonzero((p + q >= least) & (np.abs(r) >= ratio))
+    scale, place = r[known], np.full(width, -1, np.int32)
+    place[known] = np.arange(len(known), dtype=np.int32)
+    sc = rows.sparkSession.sparkContext
+    places, scales = sc.broadcast(place), sc.broadcast(scale)
+
+    def chosen(batches):
+        for batch in slices(batches, "text"):
+            sets = [x[x >= 0] for x in (places.value[s] for s in _sets(batch, "text"))]
+            off = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            label = pa.array((batch.column("label").to_numpy() > 0).astype(float))
+            yield pa.RecordBatch.from_arrays([label, pa.ListArray.from_arrays(off, pa.array(np.concatenate(sets)))], names=["label", "at"])
+    x = stash(rows.mapInArrow(chosen, "label double, at array<int>"), "toxic-train")
+    many = len(known)
 
     @F.udf(VectorUDT())
-    def scaled(features):
-        at = np.flatnonzero(np.isin(known, np.asarray(features), assume_unique=True))
-        return Vectors.sparse(len(known), at, scale[at])
-    data = stash(x.select(F.col("label").cast("double").alias("label"), scaled("features").alias("features")), "toxic-scaled")
-    model = LogisticRegression(maxIter=rounds, regParam=c, elasticNetParam=0.0, standardization=False).fit(data)
+    def scaled(at):
+        at = np.asarray(at, np.int32)
+        return Vectors.sparse(many, at, scales.value[at])
+    model = LogisticRegression(maxIter=rounds, regParam=c, elasticNetParam=0.0, standardization=False).fit(x.select("label", scaled("at").alias("features")))
     w = np.zeros(width, np.float32)
     w[known] = scale * model.coefficients.toArray()
     return Model(w, float(model.intercept))
