@@ -56,8 +56,8 @@ def _sets(batch: pa.RecordBatch, text: str) -> list[np.ndarray]:
     """For each row the sorted distinct features of the whole text."""
     found: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
     for i, piece in _rows(batch, text):
-        found[i] += [np.unique(_grams(piece, k)) for k in ORDERS]
-    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint32) for x in found]
+        found[i].append(np.unique(np.concatenate([_grams(piece, k) for k in ORDERS])))
+    return [np.unique(np.concatenate(x)) if len(x) > 1 else x[0] for x in found]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
@@ -122,7 +122,11 @@ def fit(rows: DataFrame, alpha: float = 1.0, least: int = 3, ratio: float = 1.0,
 
     def chosen(batches):
         for batch in slices(batches, "text"):
-            sets = [x[x >= 0] for x in (places.value[s] for s in _sets(batch, "text"))]
+            found: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
+            for i, piece in _rows(batch, "text"):
+                own = places.value[np.concatenate([_grams(piece, k) for k in ORDERS])]
+                found[i].append(own[own >= 0])  # few are chosen: distinct ones are sought among these
+            sets = [np.unique(np.concatenate(x)) for x in found]
             off = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             label = pa.array((batch.column("label").to_numpy() > 0).astype(float))
             yield pa.RecordBatch.from_arrays([label, pa.ListArray.from_arrays(off, pa.array(np.concatenate(sets)))], names=["label", "at"])
