@@ -40,6 +40,10 @@ CELL_BITS, CELL_FILL = (7, 13), 4
 ROUNDS = (4, 16, None)
 #: members of a block of a region; blocks of large regions meet pairwise
 BLOCK = 2_000
+#: regions of one pivot are tried in one place, up to so many members, so that a pair they share is tried once
+TOGETHER = 16 * BLOCK
+#: pairs of members, and cells of such pairs, that are looked at at a time
+PAIRS, CELLS = 1 << 16, 1 << 22
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
@@ -106,18 +110,26 @@ class _Cells:
             self.table[width] = np.concatenate([_folded(self.own[w], width) for w in wide])
         return self.table[width][self.at[width][i]]
 
-    def differ(self, i: int, j: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Those of ``j`` whose counts differ from those of ``i`` by ``most`` at most, and by how much."""
-        def apart(j, w):
-            x, y = self.counts(j, w), self.counts([i], w)
-            return (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
-        low = 1 << CELL_BITS[0]
-        found = apart(j, low)
-        j, most, found = (x[found <= most] for x in (j, most, found))
+    def apart(self, i: np.ndarray, j: np.ndarray, width: int) -> np.ndarray:
+        """By how much the counts of ``i`` and ``j`` differ, pair by pair, in ``width`` cells; CELLS of them at a time."""
+        out, step = np.empty(len(j), np.int64), max(CELLS // width, 1)
+        for lo in range(0, len(j), step):
+            x, y = self.counts(i[lo:lo + step], width), self.counts(j[lo:lo + step], width)
+            out[lo:lo + step] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+        return out
+
+    def differ(self, i, j: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs of ``i`` (one for each of ``j``, or the same for all) and ``j`` have counts that differ by
+        ``most`` at most, and by how much."""
+        i, low = np.broadcast_to(i, j.shape), 1 << CELL_BITS[0]
+        found = self.apart(i, j, low)
+        at = np.flatnonzero(found <= most)
+        i, j, most, found = i[at], j[at], most[at], found[at]
         common = np.minimum(self.width[j], self.width[i])
         for w in np.unique(common[common > low]).tolist():
-            found[common == w] = apart(j[common == w], w)
-        return j[found <= most], found[found <= most]
+            wide = common == w
+            found[wide] = self.apart(i[wide], j[wide], w)
+        return at[found <= most], found[found <= most]
 
 
 def _pivots(s: np.ndarray, often: int) -> np.ndarray:
@@ -294,12 +306,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[D
     reps = stash(first.select(F.col("m.row").alias("ref"), F.col("m.n").alias("n"), F.col("m.window").alias("window"), F.col("m.cells").alias("cells")), "refs")
     index = reps.select("ref", "n", F.explode("window").alias("s")).repartition(n, "s").sortWithinPartitions("s", F.xxhash64("ref")).select("s", "ref", "n")
     met = stash(index.mapInArrow(_met(percent, SMALL, PIVOTS), "a long, b long, s long, n long"), "regions")
-    members = _unlike(met.where("s IS NOT NULL").select("s", F.col("b").alias("ref"), "n"))
     measured = compare(stash(met.where("a IS NOT NULL").select("a", "b").distinct(), "pairs"), reps, docs, words, percent)
+    members = _placed(_unlike(met.where("s IS NOT NULL").select("s", F.col("b").alias("ref"), "n")), measured)
     near = F.col("both") * 100 >= F.col("all") * percent
     lab = components(measured.where(near))
     for most in ROUNDS:
-        pairs = _block_pairs(_open(members, lab), reps, measured, percent, most).join(measured, ["a", "b"], "left_anti")
+        pairs = _block_pairs(_open(members, lab), reps, percent, most).join(measured, ["a", "b"], "left_anti")
         measured = measured.union(compare(stash(pairs, "pairs"), reps, docs, words, percent))
         lab = components(measured.where(near))
     refs = sets.where("dig IS NOT NULL").groupBy("dig").agg(F.min("row").alias("ref"))
@@ -312,69 +324,91 @@ def _unlike(members: DataFrame) -> DataFrame:
     """Members (s, ref, n) of one region for each set of members: the others would try the same pairs again.
 
     Documents that share a passage meet in every region of its shingles. Sets compare by size and two 64-bit digests.
-    The first region in the order of the windows stays: a pair's first common pivot is then never one that goes.
     """
     digests = (F.bit_xor(F.xxhash64(F.lit(k), "ref")).alias(f"d{k}") for k in (1, 2))
     sets = members.groupBy("s").agg(F.count("*").alias("k"), *digests)
     one = sets.groupBy("k", "d1", "d2").agg(F.min("s").alias("s")).select("s")
-    return stash(members.join(one, "s", "left_semi"), "members")
+    return members.join(one, "s", "left_semi")
+
+
+def _placed(members: DataFrame, measured: DataFrame) -> DataFrame:
+    """Members with the pivot p of their region and their distance from it, between low and high; stored.
+
+    The pivot is the first of the region's members by hash, as where regions streamed by; who was too long or too short
+    to be measured against it may be at any distance.
+    """
+    first = members.groupBy("s").agg(F.min(F.struct(F.xxhash64("ref").alias("h"), "ref")).alias("p")).select("s", F.col("p.ref").alias("p"))
+    d = measured.select("a", "b", "low", "high")
+    d = d.union(d.select("b", "a", "low", "high")).toDF("p", "ref", "low", "high")
+    own = F.col("p") == F.col("ref")
+    x = members.join(first, "s").join(d, ["p", "ref"], "left")
+    return stash(x.select("s", "ref", "n", "p", F.when(own, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(own, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high")), "members")
 
 
 def _open(members: DataFrame, lab: DataFrame) -> DataFrame:
-    """Members (s, ref, n, comp) of the regions that still hold more than one component; stored."""
-    m = members.select("s", "ref", "n").join(lab.withColumnRenamed("node", "ref"), "ref", "left").select("s", "ref", "n", F.coalesce("comp", "ref").alias("comp"))
-    mixed = m.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
-    return stash(m.join(mixed, "s"), "open")
+    """Members with their comp, of the regions that still hold more than one component; stored. ``blocks``: of the
+    region; ``part``: regions of one pivot have the same, if they have up to TOGETHER members in all."""
+    m = members.join(lab.withColumnRenamed("node", "ref"), "ref", "left").withColumn("comp", F.coalesce("comp", "ref"))
+    mixed = m.groupBy("s", "p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("s", "p", "k")
+    parts = mixed.groupBy("p").agg(F.ceil(F.sum("k") / TOGETHER).alias("parts"))
+    regions = mixed.join(parts, "p").select("s", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"), F.pmod(F.xxhash64("s"), F.col("parts")).alias("part"))
+    return stash(m.join(regions, "s"), "open")
 
 
 def _candidates(percent: int, most: int | None):
-    """Pairs that may link, from rows sorted by (s, lo, hi): of different components, near enough by sizes, by cell
-    counts and by the triangle inequality at the region's pivot; of each member the ``most`` nearest by cell counts.
+    """Pairs that may link, from rows sorted by (p, part, lo, hi, s): of different components, near enough by sizes, by
+    cell counts and by the triangle inequality at the region's pivot; of each member the ``most`` nearest by cell counts.
 
-    A pair is tried in one region only, the first open one that holds both, however many it shares: ``earlier`` are a
-    member's open regions before this one."""
+    Texts that resemble each other share many regions, and most of these have the same member as pivot. They come one
+    after the other, so a pair that was tried in one is not tried in the next."""
     r = 1 - percent / 100 + 1e-9
-    names = ("ref", "n", "comp", "block", "low", "high")
+    place, names = ("p", "part", "lo", "hi"), ("ref", "n", "comp", "block", "low", "high")
 
-    def tried(key, rows) -> list[tuple[int, int]]:
+    def tried(rows, apart: bool, seen: set) -> list[tuple[int, int]]:
+        """``apart``: only pairs of different blocks."""
         ref, n, comp, block, low, high = (np.concatenate([x[k] for x in rows]) for k in names)
-        cells = _Cells([c for x in rows for c in x["cells"]])
-        earlier = [set(w) for x in rows for w in x["earlier"]]
-        out = []
-        for i in range(len(ref) - 1):
-            z = slice(i + 1, None)
-            ok = (comp[z] != comp[i]) & (np.minimum(n[z], n[i]) * 100 >= percent * np.maximum(n[z], n[i])) & (low[z] - high[i] <= r) & (low[i] - high[z] <= r)
-            if key[1] != key[2]:
-                ok &= block[z] != block[i]
-            j = np.flatnonzero(ok) + i + 1
-            if not len(j):
+        cells, out, every = _Cells([c for x in rows for c in x["cells"]]), [], np.arange(len(ref))
+        step = max(PAIRS // len(ref), 1)
+        for at in range(0, len(ref) - 1, step):
+            x, y = every[at:at + step, None], every[None, at + 1:]
+            ok = (y > x) & (comp[y] != comp[x]) & (np.minimum(n[y], n[x]) * 100 >= percent * np.maximum(n[y], n[x])) & (low[y] - high[x] <= r) & (low[x] - high[y] <= r)
+            if apart:
+                ok &= block[y] != block[x]
+            i, j = np.nonzero(ok)
+            if not len(i):
                 continue
-            j, differ = cells.differ(i, j, (100 - percent) * (n[j] + n[i]) // (100 + percent))
-            here = np.fromiter((earlier[i].isdisjoint(earlier[x]) for x in j.tolist()), bool, len(j))
-            j, differ = j[here], differ[here]
-            if most is not None and len(j) > most:
-                j = j[np.argpartition(differ, most)[:most]]
-            out += [(min(int(ref[i]), int(x)), max(int(ref[i]), int(x))) for x in ref[j]]
+            i, j = i + at, j + at + 1
+            near, differ = cells.differ(i, j, (100 - percent) * (n[j] + n[i]) // (100 + percent))
+            pairs = [(min(a, b), max(a, b)) for a, b in zip(ref[i[near]].tolist(), ref[j[near]].tolist())]
+            new = np.fromiter((p not in seen for p in pairs), bool, len(pairs))
+            if most is not None:
+                k = np.flatnonzero(new)
+                k = k[np.lexsort((differ[k], i[near][k]))]
+                rank = np.arange(len(k)) - np.searchsorted(i[near][k], i[near][k])
+                new[k[rank >= most]] = False
+            out += [p for p, use in zip(pairs, new.tolist()) if use]
+        seen.update(out)
         return out
 
     def run(batches):
-        now, held = None, []
+        now, held, seen = None, [], set()
         for batch in batches:
-            cols = {k: batch.column(k).to_numpy() for k in ("s", "lo", "hi", *names)}
-            cols["cells"] = batch.column("cells").to_pylist()
-            cols["earlier"] = batch.column("earlier").to_pylist()
-            keys = np.stack([cols[k] for k in ("s", "lo", "hi")], axis=1)
+            cols = {k: batch.column(k).to_numpy() for k in ("s", *place, *names)}
+            cells = batch.column("cells")
+            keys = np.stack([cols[k] for k in (*place, "s")], axis=1)
             cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             out = []
             for i, j in zip(cut, cut[1:]):
                 if j > i:
                     key = tuple(keys[i].tolist())
                     if key != now:
-                        out += tried(now, held) if held else []
+                        out += tried(held, now[2] != now[3], seen) if held else []
+                        if now is None or key[:-1] != now[:-1]:
+                            seen.clear()
                         now, held = key, []
-                    held.append({k: cols[k][i:j] for k in (*names, "cells", "earlier")})
+                    held.append({k: cols[k][i:j] for k in names} | {"cells": cells.slice(i, j - i).to_pylist()})
             yield _pairs(out)
-        yield _pairs(tried(now, held) if held else [])
+        yield _pairs(tried(held, now[2] != now[3], seen) if held else [])
     return run
 
 
@@ -383,20 +417,14 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
-def _block_pairs(m: DataFrame, reps: DataFrame, measured: DataFrame, percent: int, most: int | None) -> DataFrame:
+def _block_pairs(m: DataFrame, reps: DataFrame, percent: int, most: int | None) -> DataFrame:
     """(a, b): pairs of open regions that may link. A region is one block, or blocks that meet two at a time, each
     meeting in a task of its own; only pairs that pass every test leave it."""
     n = shuffles(m.sparkSession)
-    first = m.groupBy("s").agg(F.min(F.struct(F.xxhash64("ref").alias("h"), "ref")).alias("p"), F.count("*").alias("k"))
-    first = first.select("s", F.col("p.ref").alias("p"), F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    d = measured.select("a", "b", "low", "high")
-    d = d.union(d.select("b", "a", "low", "high")).toDF("p", "ref", "low", "high")
-    own = F.col("p") == F.col("ref")
-    m = m.withColumn("earlier", F.collect_list("s").over(Window.partitionBy("ref").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)))
-    x = m.join(first, "s").join(d, ["p", "ref"], "left").withColumns({"low": F.when(own, 0.0).otherwise(F.coalesce("low", F.lit(0.0))), "high": F.when(own, 0.0).otherwise(F.coalesce("high", F.lit(1.0)))})
+    x = m.join(reps.select("ref", "cells"), "ref")
     x = x.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "ref"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.select("s", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "ref", "n", "comp", "block", "low", "high", "earlier").join(reps.select("ref", "cells"), "ref")
-    x = x.repartition(n, "s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
+    x = x.select("p", "part", "s", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "ref", "n", "comp", "block", "low", "high", "cells")
+    x = x.repartition(n, "p", "part", "lo", "hi").sortWithinPartitions("p", "part", "lo", "hi", "s")
     return x.mapInArrow(_candidates(percent, most), "a long, b long").distinct()
 
 

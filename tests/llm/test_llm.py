@@ -133,6 +133,24 @@ def test_cell_counts_bound_the_difference():
         assert len(none) == 0
 
 
+def test_jaccard_rounds_send_no_region_lists(spark, monkeypatch):
+    """What a member takes along does not grow with its regions; a pair that many regions share is tried once."""
+    plans, block_pairs = [], jaccard_join._block_pairs
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    monkeypatch.setattr(jaccard_join, "_block_pairs", lambda *a: plans.append(x := block_pairs(*a)) or x)
+    base = prose(9, 60)
+    rows = [(i, near(base, 7 * i)) for i in range(8)] + [(100 + i, base + " " + prose(50 + i, 10 + 6 * i)) for i in range(6)]
+    path = scratch_path(spark, "lists")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    jaccard_join.linked(numbered(spark.read.parquet(path))).collect()
+    assert plans and not any("collect_list" in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)
+    s = [np.unique(np.random.default_rng(5).integers(0, 1 << 64, 40, dtype=np.uint64))] * 3
+    held = [{"p": 0, "part": 0, "lo": 0, "hi": 0, "s": r, "ref": i, "n": 40, "comp": i, "block": 0, "low": 0.0, "high": 1.0, "cells": jaccard_join._cells(s[i])} for r in range(20) for i in range(3)]
+    batch = pa.RecordBatch.from_pylist(held)
+    got = [tuple(r.values()) for most in (None, 1) for b in jaccard_join._candidates(80, most)([batch.slice(0, 31), batch.slice(31)]) for r in b.to_pylist()]
+    assert sorted(got) == sorted([(0, 1), (0, 2), (1, 2)] * 2)
+
+
 def test_trie_dedup(spark, docs):
     for budget in (trie_dedup.BUDGET, 3000):
         got = trie_dedup.dedup(row_docs(docs), budget).collect()
