@@ -86,7 +86,8 @@ def occurrences(docs: DataFrame, items: Items) -> tuple[DataFrame, np.ndarray, i
             h, at = word_hashes(*text_buffer(batch.column("text")))
             i, k = terms.find(h)
             row = np.searchsorted(at, i, "right") - 1
-            total += np.bincount(np.unique(row * len(total) + k) % len(total), minlength=len(total))
+            own = np.sort(row * len(total) + k)
+            total += np.bincount(own[np.flatnonzero(np.diff(own, prepend=-1))] % len(total), minlength=len(total))
             n += batch.num_rows
             long = np.diff(at)
             long = np.where(long >= LEAST_WORDS, -(-long // STRIDE), 0)
@@ -175,12 +176,21 @@ def _windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _latent(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, terms: Terms, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Latent vectors of passages and their lengths, by running sums over the words."""
+    """Latent vectors of passages and their lengths; a word's vector is added once for its stride, a stride's for each
+    of its passages."""
     lo, hi = int(starts[0]), int(ends.max())
     i, k = terms.find(h[lo:hi])
-    run = np.zeros((len(i) + 1, basis.shape[1]), np.float32)
-    np.cumsum(basis[k], axis=0, out=run[1:])
-    v = run[np.searchsorted(i, ends - lo)] - run[np.searchsorted(i, starts - lo)]
+    middle = starts + STRIDE
+    cuts = np.unique(np.concatenate([starts, ends, middle[middle < ends]])) - lo
+    at = np.searchsorted(i, cuts)
+    at, full = at[:-1], np.flatnonzero(np.diff(at))
+    z = np.zeros((len(cuts), basis.shape[1]), np.float32)
+    if len(full):
+        z[full] = _summed(np.concatenate((basis, np.zeros((1, basis.shape[1]), np.float32))), k, at[full], STRIDE)
+    first, last = np.searchsorted(cuts, starts - lo), np.searchsorted(cuts, ends - lo)
+    v = z[first]
+    for j in range(1, int((last - first).max())):
+        v += z[np.where(first + j < last, first + j, len(z) - 1)]  # the last one is empty
     return v, np.maximum(np.linalg.norm(v, axis=1), 1e-6)
 
 
@@ -310,7 +320,9 @@ def _search(docs: DataFrame, items: Items, ddl: str, cosine: float, mass: float,
                 s, e = starts[lo:lo + 4096], ends[lo:lo + 4096]
                 v, own = _latent(h, s, e, terms, basis)
                 along = v @ vectors
-                for w, j in zip(*(x.tolist() for x in np.nonzero((along >= cosine * own[:, None]) & (along >= mass * length)))):
+                w, j = np.nonzero(along >= mass * length)
+                near = along[w, j] >= cosine * own[w]
+                for w, j in zip(w[near].tolist(), j[near].tolist()):
                     r, item = int(row[lo + w]), items.words[j]
                     a, z = max(int(s[w]) - len(item), int(bounds[r])), min(int(e[w]) + len(item), int(bounds[r + 1]))
                     if len(sets[j].intersection(h[a:z].tolist())) < least * len(sets[j]):

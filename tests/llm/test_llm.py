@@ -483,6 +483,22 @@ def test_common_subsequence():
         assert lsi_decontam.common_subsequence(a, b) == t[-1, -1]
 
 
+def test_latent_vectors_do_not_depend_on_what_comes_before():
+    rng = np.random.default_rng(7)
+    vocabulary = np.sort(rng.integers(0, 1 << 64, 50, dtype=np.uint64))
+    basis = (3 + rng.random((50, 8))).astype(np.float32)  # sums over all words grow large
+    lengths = [5, 16, 17, 31, 32, 33, 4, 0, 48, 700, 2, *([400] * 150)]
+    h = vocabulary[rng.integers(0, 50, sum(lengths))]
+    h[rng.random(len(h)) < 0.3] = 1  # in no item
+    bounds = np.concatenate(([0], np.cumsum(lengths)))
+    _, starts, ends = lsi_decontam._windows(bounds)
+    v, size = lsi_decontam._latent(h, starts, ends, lsi_decontam.Terms(vocabulary), basis)
+    place = {w: k for k, w in enumerate(vocabulary.tolist())}
+    for x, n, a, b in zip(v, size, starts.tolist(), ends.tolist()):
+        true = sum((basis[place[w]].astype(float) for w in h[a:b].tolist() if w in place), np.zeros(8))
+        assert np.allclose(x, true, rtol=2e-6, atol=1e-6) and np.isclose(n, max(np.linalg.norm(true), 1e-6), rtol=2e-6)
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as P
     d, kept = spark.read.parquet(f"{SF}/documents.parquet"), None
