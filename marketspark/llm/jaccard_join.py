@@ -10,7 +10,8 @@ against them exactly, and those within r of a pivot fall into its component. A r
 is done, as its other pairs cannot change the result. In the rest, pairs of different components are left, and of these
 only such as the triangle inequality at a pivot, the sizes and the counts of shingles by cell allow (all of them lower
 bounds of the distance, so nothing is lost). They are measured nearest first, in rounds, so that components grow before
-the last round tries whatever is still open; large regions split into blocks that meet two at a time.
+the last round tries whatever is still open; a region that had no more pairs than its round takes is done, and is sent
+to no later round. Large regions split into blocks that meet two at a time.
 """
 
 from __future__ import annotations
@@ -271,8 +272,9 @@ def compare(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int = WO
     that a third of all rows is measured against is spread.
     """
     n = shuffles(pairs.sparkSession)
-    r = reps.select("ref", "n", "cells")
-    x = pairs.join(r.toDF("a", "n_a", "cells_a"), "a").join(r.toDF("b", "n_b", "cells_b"), "b")
+    r, few = reps.select("ref", "n", "cells"), bounded(pairs.select("a", "b"), small)
+    partner = r.toDF("b", "n_b", "cells_b").join(few, "b", "left_semi")  # counts of sets in no pair do not travel
+    x = r.toDF("a", "n_a", "cells_a").join(few, "a").join(partner, "b")
     x = stash(x.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(_far(percent), "a long, b long, may boolean, low double"), "bounded")
     p = x.where("may").select("a", "b", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int").alias("salt"))
     t = texts.select("row", "text")
@@ -302,8 +304,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[D
     spark, n = docs.sparkSession, shuffles(docs.sparkSession)
     common = spark.sparkContext.broadcast(common_shingles(docs, words))
     sets = stash(docs.select("row", "doc_id", "text").mapInArrow(_measured(words, percent, common), "row long, doc_id long, n long, dig binary, window array<long>, cells binary"), "sets")
-    first = sets.where("window IS NOT NULL").groupBy("dig").agg(F.min(F.struct("row", "n", "window", "cells")).alias("m"))
-    reps = stash(first.select(F.col("m.row").alias("ref"), F.col("m.n").alias("n"), F.col("m.window").alias("window"), F.col("m.cells").alias("cells")), "refs")
+    reps = stash(_first(sets.where("window IS NOT NULL")).select(F.col("row").alias("ref"), "n", "window", "cells"), "refs")
     index = reps.select("ref", "n", F.explode("window").alias("s")).repartition(n, "s").sortWithinPartitions("s", F.xxhash64("ref")).select("s", "ref", "n")
     met = stash(index.mapInArrow(_met(percent, SMALL, PIVOTS), "a long, b long, s long, n long"), "regions")
     measured = compare(stash(met.where("a IS NOT NULL").select("a", "b").distinct(), "pairs"), reps, docs, words, percent)
@@ -311,15 +312,31 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[D
     near = F.col("both") * 100 >= F.col("all") * percent
     lab = components(measured.where(near))
     for most in ROUNDS:
-        pairs = _block_pairs(_open(members, lab), reps, percent, most).join(measured, ["a", "b"], "left_anti")
-        measured = measured.union(compare(stash(pairs, "pairs"), reps, docs, words, percent))
-        lab = components(measured.where(near))
+        pairs = stash(_block_pairs(_open(members, lab), reps, percent, most).join(measured, ["a", "b"], "left_anti"), "pairs")
+        new, left = pairs.select(F.count("a"), F.count_if(F.col("a").isNull())).first()
+        if new:
+            found = compare(pairs.where("a IS NOT NULL"), reps, docs, words, percent)
+            measured = measured.union(found)
+            if not found.where(near).isEmpty():
+                lab = components(measured.where(near))
+        if not left:
+            break
+        members = members.join(pairs.where("a IS NULL").select(F.col("b").alias("s")), "s", "left_semi")
     refs = sets.where("dig IS NOT NULL").groupBy("dig").agg(F.min("row").alias("ref"))
     refs = refs.join(lab.withColumnRenamed("node", "ref"), "ref", "left").select("dig", "ref", F.coalesce("comp", "ref").alias("component"))
     classes = sets.select("row", "doc_id", F.col("n").alias("n_shingles"), "dig").join(refs, "dig", "left")
     return classes.select("row", "doc_id", "n_shingles", F.coalesce("ref", "row").alias("ref"), F.coalesce("component", "row").alias("component")), measured.where(near).select("a", "b", "both", "all")
 
 
+def _first(sets: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """The row with the smallest number of each digest. Only numbers and digests are grouped, and the numbers of the
+    other rows, up to ``small`` of them, go to where the sets are."""
+    x = sets.select("dig", "row")
+    least = x.groupBy("dig").agg(F.min("row").alias("least"))
+    others = stash(x.join(least, "dig").where("row <> least").select("row"), "others")
+    return sets.join(bounded(others, small), "row", "left_anti")
+
+
 def _unlike(members: DataFrame) -> DataFrame:
     """Members (s, ref, n) of one region for each set of members: the others would try the same pairs again.
 
@@ -355,17 +372,19 @@ def _open(members: DataFrame, lab: DataFrame) -> DataFrame:
     return stash(m.join(regions, "s"), "open")
 
 
-def _candidates(percent: int, most: int | None):
+def _candidates(percent: int, most: int | None, left: bool = False):
     """Pairs that may link, from rows sorted by (p, part, lo, hi, s): of different components, near enough by sizes, by
     cell counts and by the triangle inequality at the region's pivot; of each member the ``most`` nearest by cell counts.
+    With ``left`` also (null, s) for regions where some member had more than that: all others have no pair left to try.
 
     Texts that resemble each other share many regions, and most of these have the same member as pivot. They come one
     after the other, so a pair that was tried in one is not tried in the next."""
     r = 1 - percent / 100 + 1e-9
     place, names = ("p", "part", "lo", "hi"), ("ref", "n", "comp", "block", "low", "high")
 
-    def tried(rows, apart: bool, seen: set) -> list[tuple[int, int]]:
-        """``apart``: only pairs of different blocks."""
+    def tried(rows, key: tuple, seen: set) -> list[tuple[int | None, int]]:
+        """Only pairs of different blocks, where two blocks meet."""
+        apart, more = key[2] != key[3], False
         ref, n, comp, block, low, high = (np.concatenate([x[k] for x in rows]) for k in names)
         cells, out, every = _Cells([c for x in rows for c in x["cells"]]), [], np.arange(len(ref))
         step = max(PAIRS // len(ref), 1)
@@ -386,9 +405,10 @@ def _candidates(percent: int, most: int | None):
                 k = k[np.lexsort((differ[k], i[near][k]))]
                 rank = np.arange(len(k)) - np.searchsorted(i[near][k], i[near][k])
                 new[k[rank >= most]] = False
+                more |= bool((rank >= most).any())
             out += [p for p, use in zip(pairs, new.tolist()) if use]
         seen.update(out)
-        return out
+        return out + [(None, key[4])] if left and more else out
 
     def run(batches):
         now, held, seen = None, [], set()
@@ -402,30 +422,31 @@ def _candidates(percent: int, most: int | None):
                 if j > i:
                     key = tuple(keys[i].tolist())
                     if key != now:
-                        out += tried(held, now[2] != now[3], seen) if held else []
+                        out += tried(held, now, seen) if held else []
                         if now is None or key[:-1] != now[:-1]:
                             seen.clear()
                         now, held = key, []
                     held.append({k: cols[k][i:j] for k in names} | {"cells": cells.slice(i, j - i).to_pylist()})
             yield _pairs(out)
-        yield _pairs(tried(held, now[2] != now[3], seen) if held else [])
+        yield _pairs(tried(held, now, seen) if held else [])
     return run
 
 
-def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+def _pairs(rows: list[tuple[int | None, int]]) -> pa.RecordBatch:
     cols = list(zip(*set(rows))) or [[], []]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
 def _block_pairs(m: DataFrame, reps: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """(a, b): pairs of open regions that may link. A region is one block, or blocks that meet two at a time, each
-    meeting in a task of its own; only pairs that pass every test leave it."""
+    """(a, b): pairs of open regions that may link, and (null, s) of regions that keep some for the next round. A region
+    is one block, or blocks that meet two at a time, each meeting in a task of its own; only pairs that pass every test
+    leave it."""
     n = shuffles(m.sparkSession)
     x = m.join(reps.select("ref", "cells"), "ref")
     x = x.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "ref"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x = x.select("p", "part", "s", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "ref", "n", "comp", "block", "low", "high", "cells")
     x = x.repartition(n, "p", "part", "lo", "hi").sortWithinPartitions("p", "part", "lo", "hi", "s")
-    return x.mapInArrow(_candidates(percent, most), "a long, b long").distinct()
+    return x.mapInArrow(_candidates(percent, most, left=True), "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -151,6 +151,53 @@ def test_jaccard_rounds_send_no_region_lists(spark, monkeypatch):
     assert sorted(got) == sorted([(0, 1), (0, 2), (1, 2)] * 2)
 
 
+def test_jaccard_later_rounds_read_unfinished_regions(spark, monkeypatch):
+    """A region whose members had no more partners than their round takes is sent to no later round; none is lost."""
+    calls, block_pairs = [], jaccard_join._block_pairs
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    monkeypatch.setattr(jaccard_join, "_block_pairs", lambda m, *a: calls.append(m.count()) or block_pairs(m, *a))
+    base = prose(9, 60)
+    rows = [(i, near(near(base, 7 * i), 11 * i + 1)) for i in range(24)] + [(100 + i, base + " " + prose(50 + i, 10 + 6 * i)) for i in range(10)]
+    path = scratch_path(spark, "later")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    own = classes([i for i, _ in rows], sets([t for _, t in rows]))
+    for rounds, most in (((64, None), 1), ((1, None), 2)):
+        calls.clear()
+        monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.linked(numbered(spark.read.parquet(path))).collect()}
+        assert got == {i: rows[k][0] for (i, _), k in zip(rows, own)}
+        assert len(calls) <= most and calls[0] > 0 and calls[1:] <= calls[:1]
+    s = np.unique(np.random.default_rng(5).integers(0, 1 << 64, 40, dtype=np.uint64))
+    held = [{"p": 0, "part": 0, "lo": 0, "hi": 0, "s": r, "ref": i, "n": 40, "comp": i, "block": 0, "low": 0.0, "high": 1.0, "cells": jaccard_join._cells(s)} for r, k in ((7, 4), (8, 2)) for i in range(k)]
+    found = {most: {tuple(r.values()) for b in jaccard_join._candidates(80, most, left=True)([pa.RecordBatch.from_pylist(held)]) for r in b.to_pylist()} for most in (1, 3, None)}
+    assert {r for r in found[1] if r[0] is None} == {(None, 7)}
+    assert found[3] == found[None] == {(i, j) for j in range(4) for i in range(j)}
+
+
+def test_jaccard_first_of_equal_sets_groups_numbers_only(spark):
+    rows = [(i, f"d{i % 3}".encode(), [i, 7], b"c" * i) for i in range(12)] + [(40, b"only", [1], b"x")]
+    path = scratch_path(spark, "first")
+    spark.createDataFrame(rows, "row long, dig binary, window array<long>, cells binary").write.parquet(path)
+    for small in (100, 1):
+        got = jaccard_join._first(spark.read.parquet(path), small)
+        assert sorted((r["row"], bytes(r["dig"]), r["window"], bytes(r["cells"])) for r in got.collect()) == [*rows[:3], rows[-1]]
+        assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_jaccard_compare_with_few_and_many_pairs(spark):
+    """Pairs that are few enough go to the sets; more of them meet the sets by a shuffle, with the same result."""
+    base = prose(9, 60)
+    texts = [base, near(base, 7), *(prose(60 + i, 40) for i in range(6))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    s = jaccard_join._sets(pa.RecordBatch.from_pylist([{"text": t} for t in texts]), 5)
+    reps = spark.createDataFrame([(i, len(x), jaccard_join._cells(x)) for i, x in enumerate(s)], "ref long, n long, cells binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (3, 2)], "a long, b long")
+    for small in (500_000, 0):
+        got = {(r["a"], r["b"]): r for r in jaccard_join.compare(pairs, reps, docs, small=small).collect()}
+        assert set(got) == {(0, 1), (0, 2), (3, 2)}
+        assert got[0, 1]["both"] == len(np.intersect1d(s[0], s[1])) and got[0, 1]["all"] == len(np.union1d(s[0], s[1]))
+
+
 def test_trie_dedup(spark, docs):
     for budget in (trie_dedup.BUDGET, 3000):
         got = trie_dedup.dedup(row_docs(docs), budget).collect()
